@@ -58,16 +58,24 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+class SpanHasher:
     """64-bit hashes of codes[start:end]; equal spans hash alike wherever they stand.
 
     ``codes``: bytes (uint8) or code points (uint32).
     """
-    values = _byte_codes()[codes] if codes.dtype == np.uint8 else mix64((codes.astype(np.uint64) + np.uint64(1)) * _MUL)
-    up, down = _pow(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(values * up[: len(codes)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+    def __init__(self, codes: np.ndarray):
+        values = _byte_codes()[codes] if codes.dtype == np.uint8 else mix64((codes.astype(np.uint64) + np.uint64(1)) * _MUL)
+        up, self.down = _pow(len(codes) + 1)
+        self.total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(values * up[: len(codes)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return SpanHasher(codes)(starts, ends)
 
 
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
