@@ -3,7 +3,7 @@
 One weight for each hashed text feature is shared by all grades; ordered
 thresholds t_0 < t_1 < ... part the score s into grades,
 P(grade <= k) = sigmoid(t_k - s). The score is the sum of a text's feature
-weights over all its words, divided by the fourth root of the number of words.
+weights over all its words, divided by the root of the number of words.
 Features of a word: the word, its first four and last three bytes, whether it
 repeats the word before, whether it is in capitals, and its count of symbols.
 Before the fit, features are scaled by how differently often they occur in
@@ -36,8 +36,8 @@ from tallyglass.llm import textspans as S
 BITS = 18
 SAMPLE = 12_000
 RARE = 0.003  # of the sample's documents, and at least 3
-DAMPING = 0.25
-LEAST = 0.7
+DAMPING = 0.5
+LEAST = 0.65
 N_KINDS = 6
 ABSENT = 0  # this feature's weight stays zero
 
@@ -99,7 +99,7 @@ class OrdinalModel:
         return np.concatenate([np.zeros(0), *out])
 
 
-def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.5, decay: float = 1e-5) -> OrdinalModel:
+def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.5, decay: float = 1e-4) -> OrdinalModel:
     """Minibatch AdaGrad on the log likelihood; rows are sparse: ``counts`` entries each of index and value."""
     grades = sorted(set(ratings.tolist()))
     weights = np.zeros(1 << BITS)
