@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import bpe, exact_dedup, html_main, near_dedup, packing, quality, token_counts
+from tallyglass.llm import bpe, context_tree, exact_dedup, html_main, near_dedup, packing, quality, token_counts
 from tallyglass.llm.storage import table
 
 
@@ -14,6 +14,10 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
 
 
+def op2_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
