@@ -4,7 +4,7 @@ Two texts are equal when they are identical after each run of blanks became one
 space; a null text counts as empty. One scan gives each row's normalised length
 and the hash of its prefix. A length group is the union of its prefix groups,
 so both are counted in one shuffle of narrow rows. The keys of the groups with
-more than one row set bits in a bitmap of fixed size (``BITS``, 1 MB), and in a
+more than one row set bits in a bitmap of fixed size (1 MB), and in a
 second scan only rows whose bit is set have their full text hashed and grouped;
 a row that shares a bit by chance is hashed in vain, never grouped wrongly.
 Texts themselves are never shuffled.
@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.llm.bitmaps import flagged
 from tallyglass.llm.storage import settle
 
 PREFIX = 64
-BITS = 1 << 23
 
 
 def normal(text: Column) -> Column:
@@ -33,13 +33,8 @@ def _marked(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with ``norm`` and ``candidate``: whether a row's length and prefix may be shared with another row."""
     base = docs.withColumn("norm", normal(F.col(f"`{text_col}`")))
     key = F.xxhash64(F.octet_length("norm"), F.xxhash64(F.substring("norm", 1, PREFIX)))
-    bit = F.pmod(F.col("key"), F.lit(BITS)) + 1
     several = base.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bitmap = several.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = base.withColumn("key", key).withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket", "left")
-    return marked.withColumn("candidate", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("bits", "bucket", "key")
+    return flagged(base, key, several, F.col("key"), "candidate")
 
 
 def full_hash() -> Column:

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textspans as S
+from tallyglass.llm.bitmaps import flagged
 from tallyglass.llm.components import components
 from tallyglass.llm.storage import settle
 
@@ -44,7 +45,6 @@ TREES = 3
 BRANCHES = 4
 SMALL = 32
 LEVELS = 8
-BITS = 1 << 23
 
 _random = np.random.default_rng(20240601)
 _TIMES = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,12 +157,8 @@ class _Join:
         if pairs.isEmpty():
             return
         self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
-        need = pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id")).select(bit.alias("bit"))
-        bitmap = need.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        place = F.bitmap_bit_position(bit)
-        byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        wanted = self.docs.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1)
+        reps = pairs.select(F.explode(F.array("ra", "rb")).alias("rep"))
+        wanted = flagged(self.docs, F.col("doc_id"), reps, F.col("rep"), "wanted").where("wanted")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         found = _sets(wanted.select("doc_id", "text")).join(asked, "cls", "left_semi").dropDuplicates(["cls"])
         met = pairs.join(found.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
@@ -211,5 +207,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: one document of each group, with docs' columns."""
-    gone = near_groups(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    gone = settle(near_groups(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    key = F.col(f"`{id_col}`")
+    marked = flagged(docs, key, gone, F.col("_gone"), "_maybe")  # only these few texts are shuffled
+    left = marked.where("_maybe").join(gone, key == F.col("_gone"), "left_anti")
+    return marked.where("NOT _maybe").unionByName(left).drop("_maybe")
