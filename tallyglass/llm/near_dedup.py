@@ -8,13 +8,15 @@ branch the classes by selected minwise tokens: a node passes each class on to
 value there. A link of similarity 0.75 misses all four children of one node with
 probability 0.004, and all three trees already at their roots with 6e-8.
 
-At each level, every class of a node is compared with the node's first class
-(a linear number of pairs), confirmed links join components, and nodes within
-one component are done. Of the others, those with at most ``SMALL`` classes
-outside their largest component are compared exhaustively between components:
-each row meets at most ``SMALL`` others. Larger nodes branch again. After
-``LEVELS`` levels whatever is left is compared however large, so nothing is
-dropped. A comparison first counts equal signature coordinates (a true link
+Every class of a root's child is first compared with that node's first class (a
+linear number of pairs), and confirmed links join components, so that a group of
+near copies is one component before anything is compared exhaustively. At each
+level nodes within one component are done. Of the others, those with at most
+``FEW`` classes outside their largest component compare these with all others (a
+linear number again), those with at most ``SMALL`` classes are compared
+exhaustively between components, and larger ones branch again, by coordinates
+that no level above has used. At the last level whatever is left is compared
+however large, so nothing is dropped. A comparison first counts equal signature coordinates (a true link
 falls short of ``ALIKE`` of ``COORDINATES`` with probability 5e-6), then confirms
 on the full sets of 64-bit shingle hashes. Sets are computed again from the
 texts of the classes concerned; texts themselves are never shuffled.
@@ -43,8 +45,9 @@ COORDINATES = 40
 ALIKE = 17
 TREES = 3
 BRANCHES = 4
-SMALL = 32
-LEVELS = 8
+FEW = 32
+SMALL = 1024
+LEVELS = 3
 
 _random = np.random.default_rng(20240601)
 _TIMES = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,7 +145,7 @@ class _Join:
         """rows with comp, major (the node's largest component) and minor (classes outside it), of nodes with more than one component."""
         counts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
         nodes = counts.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-        nodes = nodes.where(F.col("all") > F.col("top.n")).select("node", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.n")).alias("minor"))
+        nodes = nodes.where(F.col("all") > F.col("top.n")).select("node", "all", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.n")).alias("minor"))
         return rows.join(nodes, "node")
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -164,14 +167,48 @@ class _Join:
         met = pairs.join(found.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         new = met.where(100 * both >= PERCENT * (F.col("n") + F.col("m") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        self.links = components(self.links.unionByName(new))
-
-
-def _children(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each class in BRANCHES children of its node, by coordinates that the node's hash selects."""
-    start = F.pmod("node", F.lit(COORDINATES)).cast("int")
-    step = (F.pmod(F.xxhash64("node"), F.lit(COORDINATES // BRANCHES - 1)) + 1).cast("int")
-    at = [(start + k * step) % COORDINATES for k in range(BRANCHES)]
+        new = settle(new)
+        if not new.isEmpty():
+            self.links = components(self.links.unionByName(new))
+
+    def exhaustive(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) across the components of each node whose signatures are alike; a node's rows meet in one task."""
+
+        def of_node(comp: np.ndarray, cls: np.ndarray, n: np.ndarray, sig: np.ndarray):
+            for i in range(len(cls) - 1):
+                some = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))) + i + 1
+                some = some[(sig[some] == sig[i]).sum(axis=1) >= ALIKE]
+                if len(some):
+                    yield pd.DataFrame({"a": np.full(len(some), cls[i]), "b": cls[some]})
+
+        def run(batches):
+            held = None
+            for batch in batches:
+                held = batch if held is None else pd.concat((held, batch))
+                ends = np.flatnonzero(np.diff(held["node"].to_numpy())) + 1
+                yield from cut(held, ends)
+                held = held.iloc[ends[-1] :] if len(ends) else held
+            if held is not None and len(held):
+                yield from cut(held, np.array([len(held)]))
+
+        def cut(held, ends):
+            comp, cls, n = (held[c].to_numpy() for c in ("comp", "cls", "n"))
+            begin = 0
+            for end in ends.tolist():
+                yield from of_node(comp[begin:end], cls[begin:end], n[begin:end], np.array(held["sig"].iloc[begin:end].tolist(), np.int32))
+                begin = end
+
+        full = rows.select("node", "cls", "comp").join(self.classes.select("cls", "n", "sig"), "cls")
+        return full.repartition("node").sortWithinPartitions("node").select("node", "cls", "comp", "n", "sig").mapInPandas(run, "a long, b long")
+
+
+def _children(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """Each class in BRANCHES children of its node, by coordinates of this level's own that the node's hash selects."""
+    first = TREES * BRANCHES
+    each = (COORDINATES - first) // (LEVELS - 1)
+    start = F.pmod("node", F.lit(each)).cast("int")
+    step = (F.pmod(F.xxhash64("node"), F.lit(each // BRANCHES)) + 1).cast("int")
+    at = [(start + k * step) % each + first + (level - 2) * each for k in range(BRANCHES)]
     held = rows.select("node", "cls").join(classes.select("cls", "sig"), "cls")
     return held.select("cls", F.explode(F.array(*[F.xxhash64("node", x, F.col("sig")[x]) for x in at])).alias("node"))
 
@@ -187,16 +224,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = [F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(TREES * BRANCHES)]
     rows = classes.select("cls", F.explode(F.array(*roots)).alias("node"))
     for level in range(1, LEVELS + 1):
-        rows = settle(join.open(join.placed(rows)).select("node", "cls"))
+        rows = settle(join.open(join.placed(rows)))
         if rows.isEmpty():
             break
-        first = rows.groupBy("node").agg(F.min("cls").alias("b"))
-        join.confirm(rows.join(first, "node").select(F.col("cls").alias("a"), "b"))
-        rows = settle(join.open(join.placed(rows)))
-        small = rows if level == LEVELS else rows.where(F.col("minor") <= SMALL)
-        others = small.where("comp <> major").select("node", F.col("cls").alias("b"), F.col("comp").alias("other"))
-        join.confirm(small.join(others, "node").where("comp <> other").select(F.col("cls").alias("a"), "b"))
-        rows = _children(rows.where(F.col("minor") > SMALL), classes)
+        if level == 1:
+            first = rows.groupBy("node").agg(F.min("cls").alias("b"))
+            join.confirm(rows.join(first, "node").select(F.col("cls").alias("a"), "b"))
+            rows = settle(join.open(join.placed(rows.select("node", "cls"))))
+        whole = (F.col("minor") > FEW) & (F.col("all") <= SMALL)
+        linear = rows.where(~whole) if level == LEVELS else rows.where(F.col("minor") <= FEW)
+        others = linear.where("comp <> major").select("node", F.col("cls").alias("b"), F.col("comp").alias("other"))
+        met = linear.join(others, "node").where("comp <> other").select(F.col("cls").alias("a"), "b")
+        join.confirm(met.unionByName(join.exhaustive(rows.where(whole))))
+        if level < LEVELS:
+            rows = _children(rows.where((F.col("minor") > FEW) & (F.col("all") > SMALL)), classes, level + 1)
     of = classes.select("cls", "rep").join(join.links.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = of.join(least, "root").select("cls", "component_id")
