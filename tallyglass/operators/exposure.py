@@ -1,8 +1,10 @@
 """Which values occur in a corpus, without comparing every value with every document.
 
-A value is found by its longest word run: values and documents meet on hashed
-runs of consecutive words, and only those pairs are verified with ``contains``.
-Values of fewer words than a run are met on their single first word.
+Values and documents meet on hashed runs of consecutive words, and only those
+pairs are verified with ``contains``. A value's first and last word may be cut off
+within a longer word of the document, so only its inner words anchor it: up to
+``RUN`` of them. Values of one or two words have none and are searched for in
+every document; callers keep such value sets small.
 """
 
 from __future__ import annotations
@@ -22,22 +24,23 @@ def _runs(w: Column, size: int) -> Column:
 
 
 def exposed(values: DataFrame, docs: DataFrame, value_id: str, doc_id: str) -> DataFrame:
-    """Pairs (value_id, doc_id) where the document's lower-cased text contains the value's.
-
-    Anchors are a value's inner words: its first and last word may be cut off
-    within a longer word of the document, so they never anchor. Values without
-    enough inner words are compared directly; their number is checked to be small.
-    """
+    """Pairs (value_id, doc_id) where the document's lower-cased text contains the value's. Null and empty values occur nowhere."""
     v = values.select(F.col(value_id), F.lower("text").alias("value")).where("length(value) > 0").withColumn("w", _words(F.col("value")))
     d = docs.select(F.col(doc_id), F.lower("text").alias("body")).where("body IS NOT NULL")
-    inner = F.slice("w", 2, F.size("w") - 2)
-    long = v.where(F.size("w") >= RUN + 2).withColumn("anchor", F.xxhash64(F.array_join(F.slice(inner, 1, RUN), " "))).drop("w")
-    grams = d.withColumn("w", _words(F.col("body"))).where(F.size("w") >= RUN).select(doc_id, F.explode(F.array_distinct(_runs(F.col("w"), RUN))).alias("anchor"))
-    pairs = grams.join(long, "anchor").select(doc_id, value_id, "value").distinct()
-    found = pairs.join(d, doc_id).where(F.contains("body", "value")).select(value_id, doc_id)
-    short = v.where(F.size("w") < RUN + 2).drop("w")
-    direct = d.join(short, F.contains("body", "value")).select(value_id, doc_id)
-    return found.unionByName(direct)
+    size = F.least(F.lit(RUN), F.size("w") - 2)
+    anchored = v.where(F.size("w") > 2).withColumn("size", size).withColumn("anchor", F.xxhash64(F.array_join(F.slice("w", 2, size), " "))).drop("w")
+    found = None
+    words = d.withColumn("w", _words(F.col("body")))
+    for n in sorted(r["size"] for r in anchored.select("size").distinct().collect()):  # at most RUN rows
+        grams = words.where(F.size("w") >= n).select(doc_id, "body", F.explode(F.array_distinct(_runs(F.col("w"), n))).alias("anchor"))
+        met = grams.select(doc_id, "anchor").join(anchored.where(F.col("size") == n).drop("size"), "anchor").select(doc_id, value_id, "value").distinct()
+        part = met.join(d, doc_id).where(F.contains("body", "value")).select(value_id, doc_id)
+        found = part if found is None else found.unionByName(part)
+    short = v.where(F.size("w") <= 2).drop("w")
+    if found is None or not short.isEmpty():
+        direct = d.join(short, F.contains("body", "value")).select(value_id, doc_id)
+        found = direct if found is None else found.unionByName(direct)
+    return found
 
 
 def unexposed(values: DataFrame, docs: DataFrame, value_id: str, doc_id: str) -> DataFrame:

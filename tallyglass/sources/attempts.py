@@ -28,7 +28,7 @@ def read_attempts(spark: SparkSession, folder: str, run_id: str | None = None, e
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], ATTEMPT)
-    rows = spark.read.schema(ATTEMPT).parquet(folder)
+    rows = spark.read.schema(ATTEMPT).parquet(folder).select(*ATTEMPT.names)
     for name, value in (("run_id", run_id), ("exp_id", exp_id)):
         rows = rows.where(F.col(name) == value) if value is not None else rows
     return rows
