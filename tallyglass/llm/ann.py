@@ -9,7 +9,8 @@ distance to a code is its norm less twice the sum of looked-up inner products
 query are ranked again by exact distance on the original vectors.
 
 Queries meet the codes block by block: at most ``BLOCK`` queries with at most
-``CHUNK`` codes. Equal vectors are indexed once and keep their k + 1 smallest ids,
+``CHUNK`` codes. A block's chunks are dealt to ``LANES`` tasks, each of which keeps the
+block's best codes so far, so memory and what is passed on follow the queries. Equal vectors are indexed once and keep their k + 1 smallest ids,
 which no answer of k neighbours can exceed, so a vector that a third of the rows
 share is one code.
 
@@ -36,6 +37,7 @@ ROUNDS = 12
 SHORTLIST = 400
 BLOCK = 256
 CHUNK = 4096
+LANES = 4
 
 
 def _nearest(x: np.ndarray, words: np.ndarray, n: int = 1) -> np.ndarray:
@@ -117,17 +119,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
     chunks = settle(classes.select("cls", "x").mapInPandas(index, "cls binary, codes binary, norms binary"))
 
     def score(batches):
+        books, best = shared.value, {}
         for pdf in batches:
-            books = shared.value
             for row in pdf.itertuples():
                 ids, q = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.queries, "<f4").reshape(-1, books.shape[2]).astype(float)
                 cls, codes = np.frombuffer(row.cls, "<i8"), np.frombuffer(row.codes, np.uint8).reshape(-1, len(books))
                 gap = np.broadcast_to(np.frombuffer(row.norms, "<f4").astype(float), (len(q), len(cls))).copy()
                 for m, words in enumerate(books):
                     gap -= 2 * (q @ words.T)[:, codes[:, m]]
-                keep = min(shortlist, len(cls))
-                best = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
-                yield pd.DataFrame({"query_id": np.repeat(ids, keep), "cls": cls[best].ravel(), "gap": np.take_along_axis(gap, best, axis=1).ravel()})
+                cls = np.broadcast_to(cls, gap.shape)
+                if row.block in best:
+                    _, cls0, gap0 = best[row.block]
+                    cls, gap = np.concatenate((cls0, cls), axis=1), np.concatenate((gap0, gap), axis=1)
+                keep = min(shortlist, gap.shape[1])
+                top = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
+                best[row.block] = (ids, np.take_along_axis(cls, top, axis=1), np.take_along_axis(gap, top, axis=1))
+        for ids, cls, gap in best.values():
+            yield pd.DataFrame({"query_id": np.repeat(ids, gap.shape[1]), "cls": cls.ravel(), "gap": gap.ravel()})
 
     def deal(batches):
         for pdf in batches:
@@ -135,8 +143,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
 
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     dealt = dealt.groupBy("block").applyInPandas(lambda pdf: next(deal([pdf])), "block long, ids binary, queries binary")
-    met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    found = met.select("ids", "queries", "cls", "codes", "norms").mapInPandas(score, "query_id long, cls long, gap double")
+    met = chunks.withColumn("lane", F.pmod(F.xxhash64("cls"), F.lit(LANES))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
+    found = met.repartition("block", "lane").select("block", "ids", "queries", "cls", "codes", "norms").mapInPandas(score, "query_id long, cls long, gap double")
     near = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "cls"))).where(F.col("place") <= shortlist)
 
     def rank_again(batches):
