@@ -99,8 +99,8 @@ class OrdinalModel:
         return np.concatenate([np.zeros(0), *out])
 
 
-def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.ndarray, epochs: int = 20, batch: int = 256, rate: float = 0.5, decay: float = 1e-4) -> OrdinalModel:
-    """Minibatch AdaGrad on the log likelihood; rows are sparse: ``counts`` entries each of index and value."""
+def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.ndarray, epochs: int = 20, steps: int = 40, rate: float = 0.5, decay: float = 1e-4) -> OrdinalModel:
+    """AdaGrad on the log likelihood with at least ``steps`` minibatches an epoch; rows are sparse: ``counts`` entries each of index and value."""
     grades = sorted(set(ratings.tolist()))
     weights = np.zeros(1 << BITS)
     if len(grades) < 2:
@@ -109,6 +109,7 @@ def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.nd
     share = np.cumsum([np.mean(y == k) for k in range(len(grades))])[:-1]
     cut = np.log(share / (1 - share))
     starts = np.cumsum(counts) - counts
+    batch = min(256, max(8, len(y) // steps))
     random = np.random.default_rng(7)
     seen, seen_cut = np.full(1 << BITS, 1e-6), np.full(len(cut), 1e-6)
     for _ in range(epochs):
