@@ -79,20 +79,22 @@ def one_to_one(df: DataFrame, features: list[str], by: str, key: str, treated: s
         pdf = pdf.sort_values(key)
         t, c = pdf[pdf[treated]], pdf[~pdf[treated]]
         x, y = (side.filter(like="z_").to_numpy(float) for side in (t, c))
-        cost = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+        cost = ((x[:, None] - y[None]) ** 2).sum(axis=2) if len(t) and len(c) else np.zeros((0, 0))
+        rows: list[tuple[int, int]] = []
         if not len(t) or not len(c):
-            rows: list[tuple[int, int]] = []
+            pass
         elif optimal:
             flip = len(t) > len(c)
             got = assign(cost.T if flip else cost)
             rows = [(b, a) if flip else (a, b) for a, b in enumerate(got)]
         else:
-            free, rows = np.ones(len(c), bool), []
+            free = np.ones(len(c), bool)
             for i in range(min(len(t), len(c))):
                 j = int(np.where(free, cost[i], np.inf).argmin())
                 free[j] = False
                 rows.append((i, j))
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(rows), key: [t[key].iloc[a] for a, _ in rows], "control": [c[key].iloc[b] for _, b in rows], "gap": [cost[a, b] for a, b in rows]})
+        found = pd.DataFrame({by: [pdf[by].iloc[0]] * len(rows), key: [t[key].iloc[a] for a, _ in rows], "control": [c[key].iloc[b] for _, b in rows], "gap": [cost[a, b] for a, b in rows]})
+        return found.astype({by: object, key: pdf[key].dtype, "control": pdf[key].dtype, "gap": float})
 
     kinds = dict(df.dtypes)
     return z.groupBy(by).applyInPandas(match, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, control {kinds[key]}, gap double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import text as X
 from tallyglass.functions.intervals import Z95, ratio
-from tallyglass.operators import exposure, gates, matching, models, ranks, rates, resample, survival
+from tallyglass.operators import bounds, corpus, exposure, gates, matching, models, ranks, rates, resample, survival
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.sources.attempts import GRID, event_attempts
 
@@ -468,3 +468,67 @@ def classifier_filter(spark, d):
 def anova_interaction(spark, d):
     found = models.two_way_anova(event_attempts(spark, d).withColumn("hit", is_hit().cast("double")), "target_membership", "field", "hit")
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double")
+
+
+# ---- bounds, power and corpus ----------------------------------------------------------------
+
+
+@query(f"""SELECT capacity_k, round(CASE WHEN m > 0 AND m <= 1 AND a < 1 THEN {bounds.z_sum()!r}::DOUBLE ** 2 * ((1 - m) / m + (2 - m) / (m * m) * a / nullif(1 - a, 0)) END, 6) AS n_needed, round((sqrt((z2 * (1 - 2 * a) / 2) ** 2 + (150 + z2) * 2 * z2 * a * (1 - a)) + z2 * (1 - 2 * a) / 2) / (150 + z2) / nullif(1 - a, 0), 9) AS detectable, round((rate_d - a) / nullif(1 - a, 0), 9) AS recall_fraction
+  FROM (SELECT capacity_k, rate_c AS a, rate_d, 0.1::DOUBLE AS m, {bounds.z_sum()!r}::DOUBLE ** 2 AS z2 FROM curve)""", (ATT, CURVE))
+def power_table(spark, d):
+    c, z, a = rates.curve(event_attempts(spark, d)), bounds.z_sum(), F.col("rate_c")
+    need = bounds.needed_n(a, F.lit(0.1), z)
+    return c.select("capacity_k", F.round(F.when(need < float("inf"), need), 6).alias("n_needed"), r9(bounds.detectable(a, F.lit(150), z)).alias("detectable"), r9(bounds.recall_fraction(F.col("rate_d"), a)).alias("recall_fraction"))
+
+
+@query("SELECT person_id, CAST(ceil(b / log2(50257)) AS BIGINT) AS vacuous_k, round(least(1.0::DOUBLE, 2.0::DOUBLE ** (2 * log2(50257) - b)), 9) AS counting_2, round(least(1.0::DOUBLE, 1000 * 2.0::DOUBLE ** (-b)), 9) AS blind_1000, round(least(1.0::DOUBLE, 2.0::DOUBLE ** (least(20 * log2(50257), 24) - b)), 9) AS fluent_24 FROM (SELECT DISTINCT person_id, (28 + 1.5 * (person_id % 50))::DOUBLE AS b FROM att)")
+def entropy_bounds(spark, d):
+    b = F.col("bits")
+    p = event_attempts(spark, d).select("person_id", (28 + F.lit(1.5) * (F.col("person_id") % 50)).cast("double").alias("bits")).distinct()
+    return p.select("person_id", bounds.vacuous_k(b, 50257).alias("vacuous_k"), r9(bounds.counting_bound(F.lit(2), 50257, b)).alias("counting_2"), r9(bounds.blind_bound(F.lit(1000), b)).alias("blind_1000"), r9(bounds.fluency_bound(F.lit(24.0), F.lit(20), 50257, b)).alias("fluent_24"))
+
+
+@query("SELECT capacity_k, round((60 + log2(rate_c)) / capacity_k, 9) AS address_rate FROM curve WHERE capacity_k > 0 AND rate_c > 0", (ATT, CURVE))
+def address_rates(spark, d):
+    return bounds.address_rates(rates.curve(event_attempts(spark, d)), 60.0)
+
+
+@query("SELECT count(*) AS n, round(sum(w * x * y) / nullif(sum(w * x * x), 0), 9) AS m FROM (SELECT 1 - rate_c AS x, tau AS y, 1 / (tau_hi - tau_lo) ** 2 AS w FROM curve WHERE capacity_k >= 6 AND tau_hi > tau_lo)", (ATT, CURVE))
+def gap_decay(spark, d):
+    return bounds.gap_decay(rates.curve(event_attempts(spark, d)))
+
+
+@query("SELECT field, round((avg(final_target_nll) FILTER (target_membership = 'trained') - avg(final_target_nll) FILTER (target_membership = 'control')) / sqrt((((count(*) FILTER (target_membership = 'trained')) - 1) * var_samp(final_target_nll) FILTER (target_membership = 'trained') + ((count(*) FILTER (target_membership = 'control')) - 1) * var_samp(final_target_nll) FILTER (target_membership = 'control')) / (count(*) - 2)), 9) AS d FROM att GROUP BY ALL")
+def cohen_d(spark, d):
+    of = lambda arm: F.when(F.col("target_membership") == arm, F.col("final_target_nll"))
+    t, c = of("trained"), of("control")
+    pooled = ((F.count(t) - 1) * F.var_samp(t) + (F.count(c) - 1) * F.var_samp(c)) / (F.count("*") - 2)
+    return event_attempts(spark, d).groupBy("field").agg(r9((F.avg(t) - F.avg(c)) / F.sqrt(pooled)).alias("d"))
+
+
+@query("SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id) - 1 AS others FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))", ())
+def random_record_match(spark, d):
+    pairs = exposure.exposed(_table(spark, d, "benchmark"), _table(spark, d, "documents"), "item_id", "doc_id")
+    return pairs.select("doc_id", "item_id", (F.count("*").over(Window.partitionBy("doc_id")) - 1).alias("others"))
+
+
+@query("SELECT max(n) AS multiplicity, count(*) AS n_docs FROM (SELECT doc_id, count(*) AS n FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY doc_id)", ())
+def empirical_multiplicity(spark, d):
+    n = exposure.exposed(_table(spark, d, "benchmark"), _table(spark, d, "documents"), "item_id", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return n.agg(F.max("n").alias("multiplicity"), F.count("*").alias("n_docs"))
+
+
+@query()
+def curve_families(spark, d):
+    return bounds.fit_families(rates.curve(event_attempts(spark, d)))
+
+
+@query()
+def value_registry(spark, d):
+    return corpus.registry(_table(spark, d, "documents"), ASCII_PII["ipv4"])
+
+
+@query()
+def synthetic_corpus(spark, d):
+    n = _table(spark, d, "customer").count()
+    return corpus.documents(corpus.people(spark, n, 7), corpus.scale_groups({1: 2, 5: 1, 20: 1}, n))
