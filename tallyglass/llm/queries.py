@@ -74,3 +74,18 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256)""",
 }
+
+_PHRASES = ", ".join(f"({i}, '{label}', {i < len(license_scan.PHRASES)}, '{words}')".lower() for i, (label, words) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES]))
+
+ORACLES["op7_license_diagonals"] = rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    phrase AS (SELECT template, label, is_phrase, string_split(p, ' ') AS tw FROM (VALUES {_PHRASES}) v(template, label, is_phrase, p)),
+    known AS (SELECT template, label, is_phrase, len(tw) - 2 AS grams, t, array_to_string(tw[t + 1:t + 3], ' ') AS gram FROM phrase, unnest(range(0, len(tw) - 2)) u(t)),
+    rolling AS (SELECT doc_id, p, array_to_string(words[p + 1:p + 3], ' ') AS gram FROM w, unnest(range(0, greatest(0, len(words) - 2))) u(p)),
+    diagonals AS (SELECT doc_id, template, label, is_phrase, grams, p - t AS diagonal, list(DISTINCT t) AS ts, min(p) AS low, max(p) AS high FROM rolling JOIN known USING (gram) GROUP BY ALL),
+    turns AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= {license_scan.SLACK} AND low - lag(high) OVER o <= {license_scan.REACH} THEN 0 ELSE 1 END AS turn FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY low, diagonal)),
+    parts AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, template ORDER BY low, diagonal ROWS UNBOUNDED PRECEDING) AS span, is_phrase AND len(ts) = grams AS whole FROM turns),
+    spans AS (SELECT doc_id, label, len(list_distinct(flatten(list(ts)))) / grams::DOUBLE AS coverage, count(*) FILTER (whole) AS places, min(diagonal) FILTER (whole) AS first, max(diagonal) FILTER (whole) AS last FROM parts GROUP BY doc_id, template, label, grams, span),
+    found AS (SELECT doc_id, sum(places) AS n_base, min(first) AS first_word, max(last) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0)), ',') AS base_labels,
+        array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0 OR coverage >= {license_scan.COVERAGE})), ',') AS labels, max(CASE WHEN coverage >= {license_scan.COVERAGE} THEN coverage ELSE 0 END) AS score FROM spans GROUP BY doc_id)
+    SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM w LEFT JOIN found ON w.doc_id = found.doc_id"""
