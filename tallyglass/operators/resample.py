@@ -48,3 +48,14 @@ def difference_ci(att: DataFrame, reps: int, *by: str) -> DataFrame:
     ci = percentile_ci(both, "tau", *by)
     p = both.groupBy(*by).agg(r9(F.least(F.lit(1.0), 2 * ratio(tail + 1, F.count("*") + 1))).alias("p"))
     return ci.join(p, list(by)) if by else ci.crossJoin(p)
+
+
+def auc_replicates(att: DataFrame, reps: int, by: str = "field") -> DataFrame:
+    """rep, by, auc of each replicate; persons' draws weigh their scores, which are summed by distinct score before ranking."""
+    scores = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").select("target_membership", "person_id", by, F.col("final_target_nll").alias("nll"))
+    arm = lambda name: F.sum(F.when(F.col("target_membership") == name, F.col("w")).otherwise(0))
+    counts = draws(att, reps).join(scores, ["target_membership", "person_id"]).groupBy("rep", by, "nll").agg(arm("trained").alias("d"), arm("control").alias("c"))
+    below = Window.partitionBy("rep", by).orderBy(F.desc("nll")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)))
+    sums = ranked.groupBy("rep", by).agg(F.sum(F.col("d") * (2 * F.col("below") + F.col("c"))).alias("twice"), F.sum("d").alias("n_d"), F.sum("c").alias("n_c"))
+    return sums.select("rep", by, ratio(F.col("twice"), 2 * F.col("n_d") * F.col("n_c")).alias("auc"))

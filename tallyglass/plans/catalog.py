@@ -532,3 +532,10 @@ def value_registry(spark, d):
 def synthetic_corpus(spark, d):
     n = _table(spark, d, "customer").count()
     return corpus.documents(corpus.people(spark, n, 7), corpus.scale_groups({1: 2, 5: 1, 20: 1}, n))
+
+
+@query("""SELECT field, count(auc) AS reps, round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi FROM (
+  SELECT rep, field, sum(d * (2 * below + c))::DOUBLE / (2 * sum(d) * sum(c))::DOUBLE AS auc FROM (SELECT *, coalesce(sum(c) OVER (PARTITION BY rep, field ORDER BY nll DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+    SELECT rep, field, final_target_nll AS nll, sum(CASE WHEN w.target_membership = 'trained' THEN w ELSE 0 END) AS d, sum(CASE WHEN w.target_membership = 'control' THEN w ELSE 0 END) AS c FROM w JOIN att USING (target_membership, person_id) GROUP BY ALL)) GROUP BY ALL) GROUP BY ALL""", (ATT, DRAWS))
+def bootstrap_auc_ci_hash(spark, d):
+    return resample.percentile_ci(resample.auc_replicates(event_attempts(spark, d), REPS), "auc", "field")

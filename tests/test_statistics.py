@@ -104,3 +104,39 @@ def test_gates_raise(spark):
     with pytest.raises(gates.GateError, match="x is set"):
         gates.require(gates.violations(df, {"x is set": F.col("x").isNotNull()}))
     gates.require(gates.violations(df.limit(0), {"x is set": F.col("x").isNotNull()}))
+
+
+def test_copy_shares(spark):
+    from tallyglass.operators.copying import copy_shares
+
+    rows = [("control", 2, True, "abc def", "say ABC  def"), ("control", 2, True, "abcdef", "xxabcxx"), ("control", 4, True, "abcdef", "zz"), ("control", 4, False, "abc", "abc"), ("trained", 4, True, None, None)]
+    got = {(r[0], r[1]): tuple(r[2:]) for r in copy_shares(spark.createDataFrame(rows, "target_membership string, capacity_k int, exact_match boolean, target_string string, prompt_text string")).collect()}
+    assert got == {("control", 2): (2, 0.5, 0.5, 0.0), ("control", 4): (1, 0.0, 0.0, 1.0), ("trained", 4): (1, 0.0, 0.0, 1.0), (None, None): (4, 0.25, 0.25, 0.5)}
+
+
+def test_curve_families_find_their_own(spark):
+    from tallyglass.operators.bounds import fit_families
+
+    rows = [(k, round(100_000 / (1 + math.exp(4 - 1.5 * math.log2(k)))), 100_000) for k in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)]
+    best = fit_families(spark.createDataFrame(rows, "capacity_k int, hits_c long, n_c long")).first()
+    assert best.family.startswith("logistic_log2k") and best.deviance < 1 and best.parameters[:2] == pytest.approx([-4, 1.5], abs=0.05)
+
+
+def test_corpus_building(spark):
+    from tallyglass.operators import corpus
+
+    people = corpus.people(spark, 8, 3)
+    docs = corpus.documents(people, corpus.scale_groups({1: 1, 3: 1}, 8))
+    assert docs.count() == 4 + 12 and docs.where("text IS NULL OR text LIKE '%{%'").count() == 0
+    texts = spark.createDataFrame([(1, "at 1.2.3.4 and 1.2.3.4"), (2, "1.2.3.4"), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in corpus.registry(texts, r"\d\.\d\.\d\.\d").collect()] == [("1.2.3.4", 3, 1, "at ")]
+    assert corpus.absent_controls(people, people.where("id < 6"), "ssn", 5).count() == 2
+
+
+def test_reports(spark):
+    from tallyglass.plans.reports import p_value, render
+
+    df = spark.createDataFrame([("a_b", 0.5), (None, None)], "name string, x double")
+    assert render(df) == "name  x\n-----------\na_b   0.500\n-     -".replace("-----------", "-" * len("name  x"), 1)
+    assert render(df, "markdown").splitlines()[2] == "| a_b | 0.500 |" and "a\\_b & 0.500" in render(df, "latex")
+    assert p_value(0.0001) == "<.001" and p_value(0.25) == ".250"
