@@ -539,3 +539,32 @@ def synthetic_corpus(spark, d):
     SELECT rep, field, final_target_nll AS nll, sum(CASE WHEN w.target_membership = 'trained' THEN w ELSE 0 END) AS d, sum(CASE WHEN w.target_membership = 'control' THEN w ELSE 0 END) AS c FROM w JOIN att USING (target_membership, person_id) GROUP BY ALL)) GROUP BY ALL) GROUP BY ALL""", (ATT, DRAWS))
 def bootstrap_auc_ci_hash(spark, d):
     return resample.percentile_ci(resample.auc_replicates(event_attempts(spark, d), REPS), "auc", "field")
+
+
+@query("SELECT field, capacity_k, target_membership, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n, round(sum(hit) / count(*)::DOUBLE, 9) AS rate FROM att WHERE capacity_k IS NOT NULL GROUP BY ALL")
+def per_field_curve(spark, d):
+    return rates.rates(event_attempts(spark, d), "field", "capacity_k", "target_membership")
+
+
+@query("SELECT seed, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n, round(sum(hit) / count(*)::DOUBLE, 9) AS rate FROM att WHERE target_membership = 'control' GROUP BY ALL")
+def canary_rate(spark, d):
+    return rates.rates(event_attempts(spark, d).where("target_membership = 'control'"), "seed")
+
+
+@query("SELECT capacity_k, c_hi <= 0.5 AS floor_held, tau_lo > 0 AS signal, c_hi <= 0.5 AND tau_lo > 0 AS feasible FROM curve WHERE capacity_k IS NOT NULL", (ATT, CURVE))
+def feasibility(spark, d):
+    c = rates.curve(event_attempts(spark, d)).where("capacity_k IS NOT NULL")
+    return c.selectExpr("capacity_k", "c_hi <= 0.5 AS floor_held", "tau_lo > 0 AS signal", "c_hi <= 0.5 AND tau_lo > 0 AS feasible")
+
+
+@query("SELECT count(*) AS reps, round(quantile_cont(tau, 0.025), 9) AS lo, round(quantile_cont(tau, 0.975), 9) AS hi FROM (SELECT rep, sum(w * hd)::DOUBLE / sum(w * nd) - sum(w * hc)::DOUBLE / sum(w * nc) AS tau FROM pw JOIN ps USING (pair) GROUP BY rep)", (ATT, f"""side AS (SELECT target_membership, person_id, sum(hit) AS h, count(*) AS n, row_number() OVER (PARTITION BY target_membership ORDER BY person_id) - 1 AS pair FROM att GROUP BY 1, 2),
+ps AS (SELECT a.pair, a.h AS hd, a.n AS nd, b.h AS hc, b.n AS nc FROM side a JOIN side b ON a.pair = b.pair AND a.target_membership = 'trained' AND b.target_membership = 'control'),
+pw AS (SELECT rep, ('0x' || substr(md5('pair' || '|' || rep || '|' || i), 1, 8))::BIGINT % (SELECT count(*) FROM ps) AS pair, count(*) AS w FROM (SELECT pair AS i FROM ps), range({REPS}) r(rep) GROUP BY ALL)"""))
+def bootstrap_pair_ci_hash(spark, d):
+    att = event_attempts(spark, d)
+    sums = att.groupBy("target_membership", "person_id").agg(F.sum(is_hit()).alias("h"), F.count("*").alias("n")).withColumn("pair", F.row_number().over(Window.partitionBy("target_membership").orderBy("person_id")) - 1)
+    side = lambda arm, x: sums.where(F.col("target_membership") == arm).select("pair", F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
+    pairs = side("trained", "d").join(side("control", "c"), "pair")
+    w = resample.draws(pairs.select(F.lit("pair").alias("arm"), "pair"), REPS, "arm", "pair").select("rep", "pair", "w")
+    of = lambda x: ratio(F.sum(F.col("w") * F.col(f"h{x}")), F.sum(F.col("w") * F.col(f"n{x}")))
+    return resample.percentile_ci(w.join(pairs, "pair").groupBy("rep").agg((of("d") - of("c")).alias("tau")), "tau")
