@@ -9,15 +9,21 @@ from tallyglass.llm.storage import discard, settle
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links (u > v): hangs neighbours on the smallest vertex near them."""
+    """Links (u > v): hangs neighbours on the smallest vertex near them. The small star's result is distinct."""
     if large:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every vertex hangs on one other, on which nothing but vertices hang."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))).alias("e")).select("e.*")
+    odd = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 OR low = 1 AND top = 1")
+    return odd.isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,12 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     now = settle(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct())
-    mark = None
-    while not now.isEmpty():
+    while not _are_stars(now):
         last, now = now, settle(_star(_star(now, True), False))
         discard(last)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     return now

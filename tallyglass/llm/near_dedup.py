@@ -134,7 +134,8 @@ def _could_link(n: str, m: str) -> Column:
 class _Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, first: DataFrame):
         self.docs, self.classes = docs, classes
-        self.links = first  # u, v: every class that isn't its component's smallest
+        self.links = components(first)  # u, v: every class that isn't its component's smallest
+        self.found = first.limit(0)
         self.tried: DataFrame | None = None
 
     def placed(self, rows: DataFrame) -> DataFrame:
@@ -167,9 +168,12 @@ class _Join:
         met = pairs.join(found.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         new = met.where(100 * both >= PERCENT * (F.col("n") + F.col("m") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        new = settle(new)
-        if not new.isEmpty():
-            self.links = components(self.links.unionByName(new))
+        self.found = self.found.unionByName(settle(new))
+
+    def close(self) -> None:
+        """Joins the components of all links confirmed so far."""
+        self.links = components(self.links.unionByName(self.found))
+        self.found = self.found.limit(0)
 
     def exhaustive(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) across the components of each node whose signatures are alike; a node's rows meet in one task."""
@@ -220,7 +224,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = base.where("n > 0 AND doc_id IS NOT NULL")
     classes = settle(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig")))
     twice = sets.groupBy("doc_id").agg(F.min("cls").alias("v"), F.max("cls").alias("most")).where("v < most").select("doc_id", "v")
-    join = _Join(docs, classes, components(sets.join(twice, "doc_id").select(F.col("cls").alias("u"), "v")))
+    join = _Join(docs, classes, sets.join(twice, "doc_id").select(F.col("cls").alias("u"), "v"))
     roots = [F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(TREES * BRANCHES)]
     rows = classes.select("cls", F.explode(F.array(*roots)).alias("node"))
     for level in range(1, LEVELS + 1):
@@ -230,6 +234,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if level == 1:
             first = rows.groupBy("node").agg(F.min("cls").alias("b"))
             join.confirm(rows.join(first, "node").select(F.col("cls").alias("a"), "b"))
+            join.close()
             rows = settle(join.open(join.placed(rows.select("node", "cls"))))
         whole = (F.col("minor") > FEW) & (F.col("all") <= SMALL)
         linear = rows.where(~whole) if level == LEVELS else rows.where(F.col("minor") <= FEW)
@@ -238,6 +243,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         join.confirm(met.unionByName(join.exhaustive(rows.where(whole))))
         if level < LEVELS:
             rows = _children(rows.where((F.col("minor") > FEW) & (F.col("all") > SMALL)), classes, level + 1)
+    join.close()
     of = classes.select("cls", "rep").join(join.links.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = of.join(least, "root").select("cls", "component_id")
