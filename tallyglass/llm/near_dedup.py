@@ -12,14 +12,20 @@ Every class of a root's child is first compared with that node's first class (a
 linear number of pairs), and confirmed links join components, so that a group of
 near copies is one component before anything is compared exhaustively. At each
 level nodes within one component are done. Of the others, those with at most
-``FEW`` classes outside their largest component compare these with all others (a
-linear number again), those with at most ``SMALL`` classes are compared
-exhaustively between components, and larger ones branch again, by coordinates
-that no level above has used. At the last level whatever is left is compared
-however large, so nothing is dropped. A comparison first counts equal signature coordinates (a true link
-falls short of ``ALIKE`` of ``COORDINATES`` with probability 5e-6), then confirms
-on the full sets of 64-bit shingle hashes. Sets are computed again from the
-texts of the classes concerned; texts themselves are never shuffled.
+``FEW`` classes outside their largest component (a linear number of pairs again)
+or at most ``SMALL`` classes are compared exhaustively between components, and
+larger ones branch again, by coordinates that no level above has used. At the
+last level whatever is left is compared however large, so nothing is dropped.
+Comparisons run in cells of about ``BLOCK`` by ``BLOCK`` classes, so one task's
+memory doesn't depend on the size of a node.
+
+A comparison first meets sizes, then sketches: the set's smallest hash in each of
+``BINS`` ranges, kept as four bits. Of two sets' bins that aren't empty in both, a
+true link differs in a quarter on average, and is passed over when the share is
+five standard deviations above that (3e-7; the deviation is a sample's without
+replacement from the union). Then links are confirmed on the full
+sets of 64-bit shingle hashes. Sets are computed again from the texts of the
+classes concerned; texts themselves are never shuffled.
 
 Cases: null and empty texts have no shingles and are their own component. A null
 id gets a null component and is kept. Rows that repeat an id are one document;
@@ -42,12 +48,14 @@ from tallyglass.llm.storage import settle
 WORDS = 5
 PERCENT = 75
 COORDINATES = 40
-ALIKE = 17
 TREES = 3
 BRANCHES = 4
 FEW = 32
 SMALL = 1024
 LEVELS = 3
+BLOCK = 4096
+BINS = 256
+_MARKS = np.uint64(0x1111111111111111)
 
 _random = np.random.default_rng(20240601)
 _TIMES = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,6 +101,45 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int32)
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Four bits of the smallest hash of each of BINS ranges (0: none), packed as int64, a row for each sorted set."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    joined = np.concatenate(sets)
+    bins = (joined >> np.uint64(56)).astype(np.int64) + BINS * doc
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    held = np.zeros(len(sets) * BINS, np.uint8)
+    held[bins[first]] = (joined[first] & np.uint64(0xFFFFFFFF)) % np.uint64(15) + np.uint64(1)
+    return (held[::2] | held[1::2] << 4).view(np.int64).reshape(len(sets), BINS // 16)
+
+
+def _marks(x: np.ndarray) -> np.ndarray:
+    """The lowest bit of each four, set where any of the four is."""
+    x = x | x >> np.uint64(1)
+    return (x | x >> np.uint64(2)) & _MARKS
+
+
+def _alike(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether each of the sketches a may link with b; ``most``: the size of the union if just so."""
+    used = np.bitwise_count(_marks(a | b)).sum(axis=1, dtype=np.int64)
+    differ = np.bitwise_count(_marks(a ^ b)).sum(axis=1, dtype=np.int64)
+    return differ <= 0.25 * used + 5 * np.sqrt(0.1875 * used * np.maximum(0, 1 - used / most)) + 1
+
+
+def _cell_pairs(cls, comp, n, sketch, left, right):
+    """Index pairs of left and right rows of one cell in different components whose sizes and sketches allow a link."""
+    order = np.flatnonzero(left)
+    order = order[np.argsort(n[order], kind="stable")]
+    sizes, ids, comps, seconds, kept = n[order], cls[order], comp[order], right[order], sketch[order]
+    few = np.ascontiguousarray(kept[:, :4])  # a quarter of the bins settles most pairs
+    for r in np.flatnonzero(right).tolist():
+        low, high = np.searchsorted(sizes, -(-PERCENT * n[r] // 100)), np.searchsorted(sizes, 100 * n[r] // PERCENT, side="right")
+        some = low + np.flatnonzero((comps[low:high] != comp[r]) & (~seconds[low:high] | (ids[low:high] < cls[r])))
+        for a, b in ((few, sketch[r, :4]), (kept, sketch[r])):
+            some = some[_alike(a[some], b, (sizes[some] + n[r]) * (100 / (100 + PERCENT)))]
+        if len(some):
+            yield ids[some], np.full(len(some), cls[r])
+
+
 def _class_of(s: np.ndarray) -> int:
     return int(S.mix64((S.mix64(s) * np.uint64(3) + np.uint64(len(s))).sum(keepdims=True))[0].view(np.int64)) if len(s) else 0
 
@@ -102,13 +149,14 @@ def _base(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = list(shingle_sets(batch["text"].tolist()))
             some = [i for i, s in enumerate(sets) if len(s)]
-            rows = [None] * len(sets)
+            sig, sketch = [None] * len(sets), [None] * len(sets)
             if some:
-                for i, row in zip(some, signatures([sets[i] for i in some]), strict=True):
-                    rows[i] = row
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "cls": [_class_of(s) for s in sets], "sig": rows})
+                full = [sets[i] for i in some]
+                for i, x, y in zip(some, signatures(full), sketches(full), strict=True):
+                    sig[i], sketch[i] = x, y.tobytes()
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "cls": [_class_of(s) for s in sets], "sig": sig, "sketch": sketch})
 
-    return docs.mapInPandas(run, "doc_id long, n long, cls long, sig array<int>")
+    return docs.mapInPandas(run, "doc_id long, n long, cls long, sig array<int>, sketch binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -120,17 +168,6 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "cls long, shingles array<long>")
 
 
-def _alike(a: str, b: str) -> Column:
-    same = F.lit(0)
-    for k in range(COORDINATES):
-        same += (F.col(a)[k] == F.col(b)[k]).cast("int")
-    return same >= ALIKE
-
-
-def _could_link(n: str, m: str) -> Column:
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-
-
 class _Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, first: DataFrame):
         self.docs, self.classes = docs, classes
@@ -143,21 +180,21 @@ class _Join:
         return rows.join(self.links.select(F.col("u").alias("cls"), F.col("v").alias("comp")), "cls", "left").select("node", "cls", F.coalesce("comp", "cls").alias("comp"))
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """rows with comp, major (the node's largest component) and minor (classes outside it), of nodes with more than one component."""
-        counts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
-        nodes = counts.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-        nodes = nodes.where(F.col("all") > F.col("top.n")).select("node", "all", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.n")).alias("minor"))
+        """rows of nodes with more than one component, with the node's classes (all), its largest component (major), the classes outside it (minor) and its first class."""
+        counts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("first"))
+        nodes = counts.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.min("first").alias("first"))
+        nodes = nodes.where(F.col("all") > F.col("top.n")).select("node", "all", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.n")).alias("minor"), "first")
         return rows.join(nodes, "node")
 
     def confirm(self, pairs: DataFrame) -> None:
         """pairs (a, b): adds those that link."""
-        info = self.classes.select("cls", "n", "sig", "rep")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        info = self.classes.select("cls", "n", "rep")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        left = info.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("sig").alias("s"), F.col("rep").alias("ra"))
-        right = info.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("t"), F.col("rep").alias("rb"))
-        pairs = settle(pairs.join(left, "a").join(right, "b").where(_could_link("n", "m") & _alike("s", "t")).select("a", "b", "n", "m", "ra", "rb"))
+        left = info.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("rep").alias("ra"))
+        right = info.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("rep").alias("rb"))
+        pairs = settle(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "ra", "rb"))
         if pairs.isEmpty():
             return
         self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
@@ -175,35 +212,45 @@ class _Join:
         self.links = components(self.links.unionByName(self.found))
         self.found = self.found.limit(0)
 
-    def exhaustive(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) across the components of each node whose signatures are alike; a node's rows meet in one task."""
+    def compare(self, rows: DataFrame, right: Column, rights: Column) -> DataFrame:
+        """Pairs (a, b) of each node's rows with its ``right`` rows (``rights`` of them) that may link.
 
-        def of_node(comp: np.ndarray, cls: np.ndarray, n: np.ndarray, sig: np.ndarray):
-            for i in range(len(cls) - 1):
-                some = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                some = some[(sig[some] == sig[i]).sum(axis=1) >= ALIKE]
-                if len(some):
-                    yield pd.DataFrame({"a": np.full(len(some), cls[i]), "b": cls[some]})
+        A node's rows are cut in blocks, and its right rows too; two blocks meet in one cell.
+        """
 
         def run(batches):
             held = None
             for batch in batches:
                 held = batch if held is None else pd.concat((held, batch))
-                ends = np.flatnonzero(np.diff(held["node"].to_numpy())) + 1
+                ends = np.flatnonzero(np.diff(held["cell"].to_numpy())) + 1
                 yield from cut(held, ends)
                 held = held.iloc[ends[-1] :] if len(ends) else held
             if held is not None and len(held):
                 yield from cut(held, np.array([len(held)]))
 
         def cut(held, ends):
-            comp, cls, n = (held[c].to_numpy() for c in ("comp", "cls", "n"))
-            begin = 0
+            if not len(ends):
+                return
+            cls, comp, n, left, second = (held[c].to_numpy() for c in ("cls", "comp", "n", "left", "right"))
+            sketch = np.frombuffer(b"".join(held["sketch"].iloc[: ends[-1]]), np.uint64).reshape(-1, BINS // 16)
+            begin, out = 0, []
             for end in ends.tolist():
-                yield from of_node(comp[begin:end], cls[begin:end], n[begin:end], np.array(held["sig"].iloc[begin:end].tolist(), np.int32))
+                out += _cell_pairs(*(x[begin:end] for x in (cls, comp, n, sketch, left, second)))
                 begin = end
-
-        full = rows.select("node", "cls", "comp").join(self.classes.select("cls", "n", "sig"), "cls")
-        return full.repartition("node").sortWithinPartitions("node").select("node", "cls", "comp", "n", "sig").mapInPandas(run, "a long, b long")
+            if out:
+                yield pd.DataFrame({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])})
+
+        wide, high = (F.ceil(c / BLOCK).cast("int") for c in (F.col("all"), rights))
+        at, to = (F.pmod(F.xxhash64("cls", F.lit(k)), c).cast("int") for k, c in enumerate((wide, high)))
+        place = lambda i, j, left, second: F.struct(F.xxhash64("node", i, j).alias("cell"), left.alias("left"), second.alias("right"))
+        yes, no = F.lit(True), F.lit(False)
+        alone = F.array(place(F.lit(0), F.lit(0), yes, right))
+        lefts = F.transform(F.sequence(F.lit(0), high - 1), lambda j: place(at, j, yes, right & (j == to)))
+        others = F.transform(F.filter(F.sequence(F.lit(0), wide - 1), lambda i: i != at), lambda i: place(i, to, no, yes))
+        cells = F.when((wide == 1) & (high == 1), alone).when(right, F.concat(lefts, others)).otherwise(lefts)
+        spread = rows.select("cls", "comp", F.explode(cells).alias("c")).select("c.*", "cls", "comp")
+        full = spread.join(self.classes.select("cls", "n", "sketch"), "cls")
+        return full.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long")
 
 
 def _children(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
@@ -222,7 +269,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     base = settle(_base(docs))
     sets = base.where("n > 0 AND doc_id IS NOT NULL")
-    classes = settle(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig")))
+    classes = settle(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     twice = sets.groupBy("doc_id").agg(F.min("cls").alias("v"), F.max("cls").alias("most")).where("v < most").select("doc_id", "v")
     join = _Join(docs, classes, sets.join(twice, "doc_id").select(F.col("cls").alias("u"), "v"))
     roots = [F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(TREES * BRANCHES)]
@@ -232,18 +279,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if rows.isEmpty():
             break
         if level == 1:
-            first = rows.groupBy("node").agg(F.min("cls").alias("b"))
-            join.confirm(rows.join(first, "node").select(F.col("cls").alias("a"), "b"))
+            join.confirm(join.compare(rows, F.col("cls") == F.col("first"), F.lit(1)))
             join.close()
             rows = settle(join.open(join.placed(rows.select("node", "cls"))))
-        whole = (F.col("minor") > FEW) & (F.col("all") <= SMALL)
-        linear = rows.where(~whole) if level == LEVELS else rows.where(F.col("minor") <= FEW)
-        others = linear.where("comp <> major").select("node", F.col("cls").alias("b"), F.col("comp").alias("other"))
-        met = linear.join(others, "node").where("comp <> other").select(F.col("cls").alias("a"), "b")
-        join.confirm(met.unionByName(join.exhaustive(rows.where(whole))))
+        large = (F.col("minor") > FEW) & (F.col("all") > SMALL)
+        join.confirm(join.compare(rows if level == LEVELS else rows.where(~large), F.col("comp") != F.col("major"), F.col("minor")))
+        join.close()
         if level < LEVELS:
-            rows = _children(rows.where((F.col("minor") > FEW) & (F.col("all") > SMALL)), classes, level + 1)
-    join.close()
+            rows = _children(rows.where(large), classes, level + 1)
     of = classes.select("cls", "rep").join(join.links.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = of.join(least, "root").select("cls", "component_id")

@@ -54,6 +54,7 @@ def test_near_groups_match_brute_force(spark, monkeypatch, small):
     if small:  # forces branching and linear comparisons
         monkeypatch.setattr(near_dedup, "FEW", 1)
         monkeypatch.setattr(near_dedup, "SMALL", 3)
+        monkeypatch.setattr(near_dedup, "BLOCK", 2)
     rows = corpus(5 + small)
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows)
