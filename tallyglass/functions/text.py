@@ -16,14 +16,22 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 NUMERIC_FIELDS = ("ssn", "phone", "credit_card")
 
-#: Patterns of personal data. The email pattern's class keeps its bar.
+#: Patterns of personal data in outputs, and of values in raw text. The email pattern's class keeps its bar.
 PII = {
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "ssn": r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b",
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
-    "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
-    "ipv4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+    "phone": r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    "credit_card": r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
+    "date_of_birth": r"\b\d{4}[-/]\d{2}[-/]\d{2}\b|\b\d{2}[-/]\d{2}[-/]\d{4}\b",
 }
+RAW_VALUES = {
+    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
+    "url": r"https?://[^\s\"'<>()\]]+",
+    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "phone": r"(?:\+?1[\s.\-]?)?\(?\d{3}\)?[\s.\-]\d{3}[\s.\-]\d{4}\b",
+}
+#: A bank for scans: all of the first, and what only the second has.
+SCANNED = PII | {k: RAW_VALUES[k] for k in ("url", "ipv4")} | {"raw_phone": RAW_VALUES["phone"]}
 
 
 @F.pandas_udf(StringType())
@@ -64,12 +72,14 @@ def field_match(field: Column, generation: Column, value: Column, rule: str = "v
     return F.coalesce(F.when(numeric, number).otherwise(text), F.lit(False))
 
 
-def found(c: Column, kind: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(PII[kind]), F.lit(0))
+def found(c: Column, pattern: str) -> Column:
+    """All matches; digits, blanks and word bounds as Python has them, of any script."""
+    wide = "(?U)" + pattern.replace(r"[^\s", r"[^\s\x1c-\x1f").replace(r"\s]", r"\s\x1c-\x1f]").replace(r"[\s.", r"[\s\x1c-\x1f.")
+    return F.regexp_extract_all(c, F.lit(wide), F.lit(0))
 
 
 def pii_counts(c: Column) -> list[Column]:
-    return [F.size(found(F.coalesce(c, F.lit("")), k)).cast("long").alias(k) for k in PII]
+    return [F.size(found(F.coalesce(c, F.lit("")), p)).cast("long").alias(k) for k, p in SCANNED.items()]
 
 
 def word_chunks(c: Column, size: int = 32, least: int = 9) -> Column:

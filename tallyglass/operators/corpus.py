@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyglass.functions.text import RAW_VALUES
+
 FIRST = "Ada Ben Cleo Dov Edda Finn Gia Hugo Iris Jon Kira Leo Mona Nils Olga Paul".split()
 LAST = "Abbot Brink Castro Dunn Ebert Falk Grau Holm Ivers Jansen Kolb Lund Meyer Nolan Oster Price".split()
 TEMPLATES = [
@@ -82,6 +87,33 @@ def registry(docs: DataFrame, pattern: str, doc_id: str = "doc_id", text: str =
     return rows.groupBy("value").agg(F.sum("times").alias("frequency"), F.min(doc_id).alias("first_doc"), F.min_by("context", doc_id).alias("context"))
 
 
+def value_registry(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", before: int = 200) -> DataFrame:
+    """field, value, frequency, first document and the text just before the value there, over all raw value patterns.
+
+    Stops and closing brackets at a value's end don't count; phones have ten digits at least.
+    """
+    kind = dict(docs.dtypes)[doc_id]
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bank = {f: re.compile(p) for f, p in RAW_VALUES.items()}
+        for batch in batches:
+            out = []
+            for doc, body in zip(batch["doc"], batch["body"], strict=True):
+                seen: dict[tuple[str, str], list] = {}
+                for f, pattern in bank.items():
+                    for m in pattern.finditer(body):
+                        v = m.group().strip().rstrip(".,;:)")
+                        if not v or f == "phone" and len(re.sub(r"\D", "", v)) < 10:
+                            continue
+                        seen.setdefault((f, v), [doc, 0, body[max(0, m.start() - before) : m.start()]])[1] += 1
+                out += [(*k, *x) for k, x in seen.items()]
+            yield pd.DataFrame(out, columns=["field", "value", "doc", "times", "context"])
+
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).where("body IS NOT NULL")
+    hits = rows.mapInPandas(values, f"field string, value string, doc {kind}, times long, context string")
+    return hits.groupBy("field", "value").agg(F.sum("times").alias("frequency"), F.min("doc").alias("first_doc"), F.min_by("context", "doc").alias("context"))
+
+
 def senders(mails: DataFrame, name: str = "name", email: str = "email", phones: str = "phones") -> DataFrame:
     """Per (name, email): mails sent and all phones seen. phones: an array column."""
     counts = mails.groupBy(name, email).agg(F.count("*").alias("frequency"))

@@ -372,6 +372,21 @@ def pii_scan_conversations(spark, d):
     return _pii(spark, d, "conversations", "conv_id", "text")
 
 
+@query()
+def pii_bank_documents(spark, d):
+    return _table(spark, d, "documents").select("doc_id", *X.pii_counts(F.col("text")))
+
+
+@query()
+def pii_bank_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", *X.pii_counts(F.col("html")))
+
+
+@query()
+def pii_bank_conversations(spark, d):
+    return _table(spark, d, "conversations").select("conv_id", "turn", *X.pii_counts(F.col("text")))
+
+
 @query(f"SELECT value, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, rtrim(unnest(regexp_extract_all(text, '{ASCII_PII['email']}')), '.,;:)') AS value FROM documents) GROUP BY ALL", ())
 def pii_value_frequency(spark, d):
     hits = _table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(ASCII_PII["email"]), F.lit(0))).alias("v"))
@@ -525,7 +540,7 @@ def curve_families(spark, d):
 
 @query()
 def value_registry(spark, d):
-    return corpus.registry(_table(spark, d, "documents"), ASCII_PII["ipv4"])
+    return corpus.value_registry(_table(spark, d, "documents"))
 
 
 @query()
