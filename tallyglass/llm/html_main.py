@@ -40,7 +40,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?]
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
 
-SIBLING_SHARE = 0.2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINK_SHARE = 0.5
 
 
 def is_furniture(name: str, attrs: str, inside_article: bool) -> bool:
@@ -68,16 +69,16 @@ class Page:
 
     def __init__(self, source: str):
         self.parents, self.begins = [-1], [0]
-        self.blocks: list[tuple[int, str, int]] = []  # (container, text, characters in links)
+        self.blocks: list[tuple[int, str, int, bool]] = []  # (container, text, characters in links, heading)
         self.parts: list[str] = []
         self.linked: list[str] = []
         self._read(source)
 
-    def _flush(self, holder: int) -> None:
+    def _flush(self, holder: int, heading: bool = False) -> None:
         if self.parts:
             text = SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((holder, text, len(SPACES.sub(" ", "".join(self.linked)).strip())))
+                self.blocks.append((holder, text, len(SPACES.sub(" ", "".join(self.linked)).strip()), heading))
             self.parts, self.linked = [], []
 
     def _read(self, source: str) -> None:
@@ -106,10 +107,10 @@ class Page:
                     links = max(0, links - 1)
                 elif name in ("p", "br") and not any(x[0] == name for x in stack[-8:]):
                     if not hidden:
-                        self._flush(holder)
+                        self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
                 elif any(x[0] == name for x in stack):
                     if not hidden:
-                        self._flush(holder)
+                        self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
                     while True:
                         done, _, was_hidden = stack.pop()
                         hidden -= was_hidden
@@ -125,7 +126,7 @@ class Page:
                 continue
             if name == "br" or name == "hr":
                 if not hidden:
-                    self._flush(holder)
+                    self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
                 continue
             if name in RAW:
                 ends = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -141,7 +142,7 @@ class Page:
             if not known and not drops:
                 continue
             if not hidden and name not in ("td", "th"):
-                self._flush(holder)
+                self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
             if name in CLOSES_P and stack and stack[-1][0] == "p" or name in ("li", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                 _, _, was_hidden = stack.pop()
                 hidden -= was_hidden
@@ -156,15 +157,19 @@ class Page:
             articles += name in ("article", "main")
             stack.append((name, holder, int(drops)))
         if not hidden:
-            self._flush(holder)
+            self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
 
     def text(self) -> str:
-        """The blocks of the best container and its near siblings, in page order."""
+        """The blocks of the best container, and all others but lists of links, in page order."""
         if not self.blocks:
             return ""
         n = len(self.parents)
         score, size, linked, good = [0.0] * n, [0] * n, [0] * n, [0.0] * n
-        for holder, text, links in self.blocks:
+        own, own_linked = [0] * n, [0] * n
+        for holder, text, links, heading in self.blocks:
+            if not heading:
+                own[holder] += len(text)
+                own_linked[holder] += links
             got, level, node = points(text), 0, holder
             while node >= 0:
                 score[node] += got if level == 0 else got / (2 * level)
@@ -174,14 +179,11 @@ class Page:
         for i in range(n):
             good[i] = score[i] * (1 - min(1.0, linked[i] / max(1, size[i])))
         best = max(range(n), key=lambda i: (good[i], -i))
-        kept = {best}
-        if best:
-            parent = self.parents[best]
-            kept |= {i for i in range(n) if self.parents[i] == parent and good[i] >= SIBLING_SHARE * good[best] and linked[i] <= 0.5 * size[i]}
         inside = [False] * n
         for i in range(n):
-            inside[i] = i in kept or self.parents[i] >= 0 and inside[self.parents[i]]
-        return "\n".join(text for holder, text, _ in self.blocks if inside[holder])
+            inside[i] = i == best or self.parents[i] >= 0 and inside[self.parents[i]]
+        listed = [own_linked[i] > LINK_SHARE * own[i] for i in range(n)]
+        return "\n".join(text for holder, text, links, heading in self.blocks if inside[holder] or heading or not (listed[holder] and links > LINK_SHARE * len(text)))
 
 
 def main_text(source: str | None) -> str:
