@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,15 +46,19 @@ def smd(df: DataFrame, features: list[str], treated: str) -> DataFrame:
 
 
 def assign(cost: np.ndarray) -> list[int]:
-    """Column of each row in the cheapest one-to-one assignment (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
+    """Column of each row in the cheapest one-to-one assignment (rows <= columns)."""
+    return assign_rows(*cost.shape, cost.__getitem__)
+
+
+def assign_rows(n: int, m: int, cost: Callable[[int], np.ndarray]) -> list[int]:
+    """The same by shortest augmenting paths, with each row of the cost matrix made when it is met: memory is a few rows."""
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         owner[0], j = i, 0
         least, via, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
         while owner[j]:
             used[j] = True
-            gap = cost[owner[j] - 1] - u[owner[j]] - v[1:]
+            gap = cost(owner[j] - 1) - u[owner[j]] - v[1:]
             better = ~used[1:] & (gap < least[1:])
             least[1:][better], via[1:][better] = gap[better], j
             nxt = int(np.where(used, np.inf, least)[1:].argmin()) + 1
@@ -72,29 +78,32 @@ def assign(cost: np.ndarray) -> list[int]:
 
 
 def one_to_one(df: DataFrame, features: list[str], by: str, key: str, treated: str, optimal: bool = True) -> DataFrame:
-    """Controls without replacement in each stratum: the cheapest assignment, or greedily in key order."""
-    z = standardized(df, features, by).select(by, key, treated, *[f"z_{f}" for f in features])
+    """Controls without replacement in each stratum: the cheapest assignment, or greedily in key order.
+
+    Every treated row is returned; control and gap are null where controls ran out. Ties go to the smaller key.
+    """
+    z = standardized(df, features, by).select(by, key, treated, *[F.round(f"z_{f}", 9).alias(f"z_{f}") for f in features])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         t, c = pdf[pdf[treated]], pdf[~pdf[treated]]
         x, y = (side.filter(like="z_").to_numpy(float) for side in (t, c))
-        cost = ((x[:, None] - y[None]) ** 2).sum(axis=2) if len(t) and len(c) else np.zeros((0, 0))
-        rows: list[tuple[int, int]] = []
-        if not len(t) or not len(c):
-            pass
+        gap = lambda a, b: ((a - b) ** 2).sum(axis=-1)
+        order = np.arange(len(c)) * 1e-12  # far below any gap that is reported
+        chosen = [-1] * len(t)
+        if optimal and len(t) <= len(c):
+            chosen = assign_rows(len(t), len(c), lambda i: gap(x[i], y) + order)
         elif optimal:
-            flip = len(t) > len(c)
-            got = assign(cost.T if flip else cost)
-            rows = [(b, a) if flip else (a, b) for a, b in enumerate(got)]
+            for b, a in enumerate(assign_rows(len(c), len(t), lambda j: gap(y[j], x) + order[j])):
+                chosen[a] = b
         else:
             free = np.ones(len(c), bool)
             for i in range(min(len(t), len(c))):
-                j = int(np.where(free, cost[i], np.inf).argmin())
-                free[j] = False
-                rows.append((i, j))
-        found = pd.DataFrame({by: [pdf[by].iloc[0]] * len(rows), key: [t[key].iloc[a] for a, _ in rows], "control": [c[key].iloc[b] for _, b in rows], "gap": [cost[a, b] for a, b in rows]})
-        return found.astype({by: object, key: pdf[key].dtype, "control": pdf[key].dtype, "gap": float})
+                chosen[i] = int(np.where(free, gap(x[i], y), np.inf).argmin())
+                free[chosen[i]] = False
+        controls, keys = c[key].tolist(), t[key].tolist()
+        rows = [(pdf[by].iloc[0], k, controls[b] if b >= 0 else None, float(gap(x[i], y[b])) if b >= 0 else None) for i, (k, b) in enumerate(zip(keys, chosen, strict=True))]
+        return pd.DataFrame(rows, columns=[by, key, "control", "gap"], dtype=object)
 
     kinds = dict(df.dtypes)
     return z.groupBy(by).applyInPandas(match, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, control {kinds[key]}, gap double")

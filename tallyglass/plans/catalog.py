@@ -316,19 +316,14 @@ def icc_deff(spark, d):
     return m.select("field", "n_groups", r9((F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("m0") - 1) * F.col("msw"))).alias("icc"))
 
 
-def _strata(spark, d):
-    """Documents of a language and of a length within 100 characters are matched with each other, which keeps strata small."""
-    return _features(spark, d).withColumn("stratum", F.concat_ws("|", "lang", F.floor(F.col("n_chars") / 100).cast("string")))
-
-
 @query()
 def hungarian_match(spark, d):
-    return matching.one_to_one(_strata(spark, d), FEATURES, "stratum", "doc_id", "treated")
+    return matching.one_to_one(_features(spark, d), FEATURES, "lang", "doc_id", "treated")
 
 
 @query()
 def greedy_match(spark, d):
-    return matching.one_to_one(_strata(spark, d), FEATURES, "stratum", "doc_id", "treated", optimal=False)
+    return matching.one_to_one(_features(spark, d), FEATURES, "lang", "doc_id", "treated", optimal=False)
 
 
 # ---- text -------------------------------------------------------------------------------
