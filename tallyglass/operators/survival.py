@@ -68,16 +68,34 @@ def bootstrap_slopes(targets: DataFrame, reps: int, family: str = "weibull", per
         data = shared.value
         h, low, high = (data[c].to_numpy(float) for c in ("h", "low", "high"))
         code, names = pd.factorize(data[person], sort=True)
-        start, _ = fit(h, low, high, family=family)
+        # Equal targets are one target with their weights' sum.
+        cells, cell = np.unique(np.column_stack([h, low, high]), axis=0, return_inverse=True)
+        h, low, high = cells.T
+        cell = cell.ravel()
+        start, _ = fit(h, low, high, np.bincount(cell).astype(float), family)
         for batch in batches:
             slopes = []
             for rep in batch["id"]:
                 times = np.bincount(np.random.default_rng([20240601, int(rep)]).integers(0, len(names), len(names)), minlength=len(names))
-                slopes.append(fit(h, low, high, times[code].astype(float), family, start)[0][1])
+                w = np.bincount(cell, weights=times[code], minlength=len(h))
+                slopes.append(fit(h[w > 0], low[w > 0], high[w > 0], w[w > 0], family, start)[0][1])
+            if not np.isfinite(slopes).all():
+                raise ValueError("a refit has no finite slope")
             yield pd.DataFrame({"rep": batch["id"], "slope": slopes})
 
     return spark.range(reps).repartition(min(reps, 32)).mapInPandas(run, "rep long, slope double")
 
 
+def slope_interval(targets: DataFrame, reps: int, family: str = "weibull", person: str = "person_id", null: float = 1.0) -> DataFrame:
+    """One row: targets, replicates, the point fit, the slope's 95 % interval and its two-sided centred bootstrap p against ``null``."""
+    cells = targets.groupBy("h", "low", "high").agg(F.count("*").alias("w")).orderBy("h", "low", "high").toPandas()
+    (intercept, slope, log_scale), _ = fit(*(cells[c].to_numpy(float) for c in ("h", "low", "high", "w")), family)
+    far = F.abs(F.col("slope") - slope) >= abs(slope - null) - 1e-12
+    q = lambda p: F.percentile("slope", F.lit(p))
+    ends = bootstrap_slopes(targets, reps, family, person).agg(F.count("slope").alias("reps"), q(0.025).alias("lo"), q(0.975).alias("hi"), ((F.count_if(far) + 1) / (F.count("slope") + 1)).alias("p"))
+    point = [F.lit(float(v)).alias(k) for k, v in (("intercept", intercept), ("slope", slope), ("log_scale", log_scale))]
+    return ends.select(F.lit(int(cells["w"].sum())).alias("n"), "reps", *point, "lo", "hi", "p")
+
+
 def censor_summary(kmins: DataFrame) -> DataFrame:
     return kmins.groupBy("target_membership").agg(F.count("*").alias("n"), F.count_if(F.col("right_censored")).alias("n_censored"), F.count_if(F.col("nonmonotone")).alias("n_nonmonotone"), F.expr("percentile(upper_k, 0.5)").alias("median_k"))

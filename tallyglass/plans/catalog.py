@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 REPS = 200
+FORMAL_REPS = 10_000  # what an interval that decides needs
+AUC_REPS = 2_000
 TOLERANCES = [0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 PAST = ", ".join(f"({k})" for k in GRID)
 
@@ -452,7 +454,7 @@ def text_compression(spark, d):
 def weibull_aft(spark, d):
     k = rates.kmin(event_attempts(spark, d), GRID).where("target_membership = 'control'")
     t = k.select("person_id", (28 + F.lit(1.5) * (F.col("person_id") % 50)).alias("h"), F.col("lower_k").cast("double").alias("low"), F.coalesce(F.col("upper_k").cast("double"), F.lit(float("inf"))).alias("high"))
-    return survival.bootstrap_slopes(t, 16)
+    return survival.slope_interval(t, FORMAL_REPS)
 
 
 @query()
@@ -571,10 +573,37 @@ def feasibility(spark, d):
 ps AS (SELECT a.pair, a.h AS hd, a.n AS nd, b.h AS hc, b.n AS nc FROM side a JOIN side b ON a.pair = b.pair AND a.target_membership = 'trained' AND b.target_membership = 'control'),
 pw AS (SELECT rep, ('0x' || substr(md5('pair' || '|' || rep || '|' || i), 1, 8))::BIGINT % (SELECT count(*) FROM ps) AS pair, count(*) AS w FROM (SELECT pair AS i FROM ps), range({REPS}) r(rep) GROUP BY ALL)"""))
 def bootstrap_pair_ci_hash(spark, d):
+    return _pair_ci(spark, d, REPS)
+
+
+def _pair_ci(spark, d, reps):
     att = event_attempts(spark, d)
     sums = att.groupBy("target_membership", "person_id").agg(F.sum(is_hit()).alias("h"), F.count("*").alias("n")).withColumn("pair", F.row_number().over(Window.partitionBy("target_membership").orderBy("person_id")) - 1)
     side = lambda arm, x: sums.where(F.col("target_membership") == arm).select("pair", F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
     pairs = side("trained", "d").join(side("control", "c"), "pair")
-    w = resample.draws(pairs.select(F.lit("pair").alias("arm"), "pair"), REPS, "arm", "pair").select("rep", "pair", "w")
+    w = resample.draws(pairs.select(F.lit("pair").alias("arm"), "pair"), reps, "arm", "pair").select("rep", "pair", "w")
     of = lambda x: ratio(F.sum(F.col("w") * F.col(f"h{x}")), F.sum(F.col("w") * F.col(f"n{x}")))
     return resample.percentile_ci(w.join(pairs, "pair").groupBy("rep").agg((of("d") - of("c")).alias("tau")), "tau")
+
+
+# ---- all replicates: the intervals above with as many draws as their ends need ----------------
+
+
+@query()
+def bootstrap_rate_ci_formal(spark, d):
+    return resample.percentile_ci(resample.replicates(event_attempts(spark, d), FORMAL_REPS), "rate", "target_membership")
+
+
+@query()
+def bootstrap_curve_ci_formal(spark, d):
+    return resample.difference_ci(event_attempts(spark, d), FORMAL_REPS, "capacity_k")
+
+
+@query()
+def bootstrap_auc_ci_formal(spark, d):
+    return resample.percentile_ci(resample.auc_replicates(event_attempts(spark, d), AUC_REPS), "auc", "field")
+
+
+@query()
+def bootstrap_pair_ci_formal(spark, d):
+    return _pair_ci(spark, d, FORMAL_REPS)
