@@ -431,8 +431,15 @@ def field_match_turns(spark, d):
 
 @query()
 def nfkc_match(spark, d):
-    c = _table(spark, d, "documents")
-    return c.select("doc_id", X.field_match(F.lit("name"), F.col("text"), F.substring("text", 1, 12)).alias("v2"), X.field_match(F.lit("name"), F.col("text"), F.substring("text", 1, 12), "v3").alias("v3"))
+    """Whether a turn holds the values of the turn before it: its whole text as a name, each of its numbers as every number field."""
+    c = _table(spark, d, "conversations")
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\d(?:[\d\s\-().]*\d)?"), F.lit(0)))
+    of = lambda field, x: F.struct(F.lit(field).alias("field"), x.alias("value"))
+    values = F.concat(F.array(of("name", F.col("text"))), F.flatten(F.transform(numbers, lambda x: F.array(*[of(k, x) for k in X.NUMERIC_FIELDS]))))
+    pairs = c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", "reply", F.explode(values).alias("x"))
+    match = lambda rule: X.field_match(F.col("x.field"), F.col("reply"), F.col("x.value"), rule)
+    return pairs.select("conv_id", "turn", "x.field", "x.value", match("v2").alias("v2"), match("v3").alias("v3"))
 
 
 @query()
