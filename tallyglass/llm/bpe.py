@@ -201,7 +201,7 @@ class Vocabulary:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[str, int] = {}  # place of a pre-token in starts and counts
         self.starts = self.counts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -244,24 +244,19 @@ class Vocabulary:
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined, points, bounds = S.code_points(texts)
         starts, ends = S.pretokens(points, bounds, spaces=not self.words)
-        which, hashes = pd.factorize(S.span_hashes(points, starts, ends))
-        hashes = np.asarray(hashes, np.uint64)
+        which, shown = S.distinct_spans(points, starts, ends)
         if len(self.known) > CACHED:
             self._forget()
-        at = np.searchsorted(self.known, hashes)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
+        tokens = [joined[a:b] for a, b in zip(starts[shown].tolist(), ends[shown].tolist(), strict=True)]
+        at = np.array([self.known.get(t, -1) for t in tokens], np.int64)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            shown = np.zeros(len(hashes), np.int64)
-            shown[which] = np.arange(len(which))
-            flat, counts = self.merge([joined[a:b].encode("utf-8", "replace") for a, b in zip(starts[shown[new]].tolist(), ends[shown[new]].tolist(), strict=True)])
-            begin = len(self.flat) + np.cumsum(counts) - counts
-            order = np.argsort(hashes[new])
-            where = np.searchsorted(self.known, hashes[new][order])
-            self.known = np.insert(self.known, where, hashes[new][order])
-            self.starts = np.insert(self.starts, where, begin[order])
-            self.counts = np.insert(self.counts, where, counts[order])
+            flat, counts = self.merge([tokens[i].encode("utf-8", "replace") for i in new.tolist()])
+            at[new] = len(self.starts) + np.arange(len(new))
+            self.known.update(zip([tokens[i] for i in new.tolist()], at[new].tolist(), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
+            self.counts = np.concatenate((self.counts, counts))
             self.flat = np.concatenate((self.flat, flat))
-            at = np.searchsorted(self.known, hashes)
         sizes = self.counts[at][which] if len(which) else np.zeros(0, np.int64)
         ids = self.flat[S.ragged(self.starts[at][which], sizes)] if len(which) else np.zeros(0, np.int32)
         total = np.concatenate(([0], np.cumsum(sizes)))

@@ -51,8 +51,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features (words x kinds) of all words, and the first word of each text (one entry more)."""
     codes, starts, ends, first = S.words(texts)
     raw = np.frombuffer(b"\n".join((t or "").encode("utf-8", "surrogatepass") for t in texts) + b"\n", np.uint8)
-    hasher, size = S.SpanHasher(codes), ends - starts
-    whole = hasher(starts, ends)
+    size = ends - starts
+    whole = S.span_hashes(codes, starts, ends)
     count = lambda flags: np.concatenate(([0], np.cumsum(flags)))
     within = lambda total: total[ends] - total[starts]
     capitals = within(count((raw >= 65) & (raw <= 90)))
@@ -62,8 +62,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     again[first[:-1][first[:-1] < len(starts)]] = False
     kinds = [
         whole,
-        hasher(starts, np.minimum(starts + 4, ends)),
-        hasher(np.maximum(ends - 3, starts), ends),
+        S.span_hashes(codes, starts, np.minimum(starts + 4, ends)),
+        S.span_hashes(codes, np.maximum(ends - 3, starts), ends),
         again.astype(np.uint64),
         ((capitals >= 2) & (capitals * 2 >= size)).astype(np.uint64),
         np.minimum(symbols, 4).astype(np.uint64),

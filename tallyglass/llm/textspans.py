@@ -7,10 +7,12 @@ Python worker's memory does not depend on the size of its partition.
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 CHUNK_CHARS = 1_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -25,10 +27,11 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+LANES = 16  # eight bytes each; longer spans are hashed by BLAKE2
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,41 +44,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(1)
-def _byte_codes() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * _MUL)
-
-
-_powers: list[np.ndarray] = []
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _MUL), np.full(size, _INV)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
-class SpanHasher:
-    """64-bit hashes of codes[start:end]; equal spans hash alike wherever they stand.
-
-    ``codes``: bytes (uint8) or code points (uint32).
-    """
+class _Lanes:
+    """Eight bytes at a time of spans of bytes (uint8) or code points (uint32)."""
 
     def __init__(self, codes: np.ndarray):
-        values = _byte_codes()[codes] if codes.dtype == np.uint8 else mix64((codes.astype(np.uint64) + np.uint64(1)) * _MUL)
-        up, self.down = _pow(len(codes) + 1)
-        self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(values * up[: len(codes)], out=self.total[1:])
+        self.unit = codes.itemsize
+        self.data = np.concatenate((np.ascontiguousarray(codes).view(np.uint8), np.zeros(8, np.uint8)))
+        self.words = np.ndarray(((len(self.data) - 8) // self.unit + 1,), "<u8", self.data, strides=(self.unit,))
+
+    def lane(self, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+        """The k-th lane of spans of ``sizes`` bytes (over 8 k), with zeros beyond their ends."""
+        out = self.words[starts + k * (8 // self.unit)]
+        short = np.maximum(0, 8 * (k + 1) - sizes).astype(np.uint64) * np.uint64(8)
+        return out << short >> short
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+    def bytes(self, start: int, size: int) -> bytes:
+        return self.data[start * self.unit : start * self.unit + size].tobytes()
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return SpanHasher(codes)(starts, ends)
+    """64-bit hashes of codes[start:end]; equal spans hash alike wherever they stand."""
+    lanes, sizes = _Lanes(codes), (ends - starts) * codes.itemsize
+    out = mix64(sizes.astype(np.uint64) + _STEP)
+    live = np.flatnonzero(sizes > 0)
+    for k in range(LANES):
+        if not len(live):
+            return out
+        out[live] = mix64((out[live] ^ lanes.lane(starts[live], sizes[live], k)) * _STEP + np.uint64(k))
+        live = live[sizes[live] > 8 * (k + 1)]
+    for i in live.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(lanes.bytes(int(starts[i]), int(sizes[i])), digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each span the number of its content, and of each content a span. Equal hashes are checked on the content."""
+    which, hashes = pd.factorize(span_hashes(codes, starts, ends))
+    shown = np.zeros(len(hashes), np.int64)
+    shown[which[::-1]] = np.arange(len(which))[::-1]
+    lanes, sizes, like = _Lanes(codes), (ends - starts) * codes.itemsize, shown[which]
+    odd = sizes != sizes[like]
+    live = np.flatnonzero(~odd & (like != np.arange(len(which))) & (sizes > 0))
+    for k in range(LANES):
+        other = like[live]
+        wrong = lanes.lane(starts[live], sizes[live], k) != lanes.lane(starts[other], sizes[other], k)
+        odd[live[wrong]] = True
+        live = live[~wrong & (sizes[live] > 8 * (k + 1))]
+    whole = lambda i: lanes.bytes(int(starts[i]), int(sizes[i]))
+    for i in live.tolist():
+        odd[i] = whole(i) != whole(like[i])
+    if odd.any():  # other contents of the same hash get numbers of their own
+        which, more = which.copy(), {}
+        for i in np.flatnonzero(odd).tolist():
+            number, _ = more.setdefault(whole(i), (len(hashes) + len(more), i))
+            which[i] = number
+        shown = np.concatenate((shown, [i for _, i in more.values()]))
+    return which, shown
 
 
 def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

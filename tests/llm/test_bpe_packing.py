@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -121,9 +122,50 @@ def test_token_counts(texts):
     assert got[-1] == 0
 
 
-def test_token_counts_of_long_words(spark):
-    model = token_counts.counter(P.path("piece_bpe_32k.model"))
-    word = "abcdefghij" * 9
-    assert model.count([word]).tolist() == [model.count_one(word)]
-    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    assert {r.doc_id: r.n_chars for r in token_counts.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()} == {1: 3, 2: 0}
+def test_token_counts_like_a_unigram_model(monkeypatch):
+    from tokenizers.models import Unigram
+
+    pieces = token_counts.zipf_scores(P.path("piece_bpe_32k.model"))
+    theirs = Unigram([("<unk>", -1e9), *pieces], 0, False)
+    words = ["▁the", "▁tokenization", "▁internationalisation", "abcdefghij" * 9, "abcdefghij" * 8 + "xyz", "inter", "international", "▁a"] + ["wo" + "rd" * k for k in range(30)]
+    for few in (0, 4, 100):  # level by level, both, node by node
+        monkeypatch.setattr(token_counts, "FEW", few)
+        model = token_counts.UnigramCounts(pieces)
+        new = sorted(set(words), key=len, reverse=True)
+        assert model.count_many(new).tolist() == [len(theirs.tokenize(w)) for w in new]
+
+
+def test_token_counts_of_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", 7), (2, None, 7), (1, "a b", 7), (None, "x" * 5000, 7)], "doc_id long, text string, n_tokens int")
+    got = token_counts.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 5000), (1, 3), (1, 3), (2, 0)]
+    assert token_counts.count_tokens(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def morse(n):
+    """Two different words of n (a power of two) letters that many polynomial hashes can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_words_of_equal_polynomial_hashes(n):
+    one, other = morse(n)
+    for name in FILES:
+        ours, theirs = VOCABULARIES[name]
+        texts = [one, other, f"{one} {other}", f"{other} {one}"]
+        assert [x.tolist() for x in bpe.Vocabulary(P.path(name)).encode(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -2.125, "bba": -2.5, "▁": -1.0}
+    got = token_counts.UnigramCounts(list(scores.items())).count([f"{one} {other}", one])
+    alone = [int(token_counts.UnigramCounts(list(scores.items())).count([w])[0]) for w in (one, f" {other}")]
+    assert got.tolist() == [sum(alone), alone[0]]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(S, "span_hashes", lambda codes, starts, ends: np.zeros(len(starts), np.uint64))
+    joined, points, bounds = S.code_points(["ab", "cd", "ab", "abc", "", "cd", "x" * 300, "x" * 299 + "y", "x" * 300])
+    which, shown = S.distinct_spans(points, bounds[:-1], bounds[1:])
+    texts = [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert [texts[shown[k]] for k in which] == texts and len(shown) == len(set(texts))
+    ours, theirs = bpe.Vocabulary(P.path(FILES[1])), VOCABULARIES[FILES[1]][1]
+    assert [x.tolist() for x in ours.encode(texts)] == [theirs.encode(t).ids for t in texts]
