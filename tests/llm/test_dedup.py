@@ -51,16 +51,51 @@ def corpus(seed):
 
 @pytest.mark.parametrize("small", [True, False])
 def test_near_groups_match_brute_force(spark, monkeypatch, small):
-    if small:  # forces branching and linear comparisons
+    if small:  # forces branching, several cells of a node and several rounds of a class
         monkeypatch.setattr(near_dedup, "FEW", 1)
         monkeypatch.setattr(near_dedup, "SMALL", 3)
         monkeypatch.setattr(near_dedup, "BLOCK", 2)
+        monkeypatch.setattr(near_dedup, "TOGETHER", 2)
     rows = corpus(5 + small)
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows)
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_one_cluster_whose_members_link_or_nearly_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 20)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(3)
+    base = [f"w{r.randint(0, 400)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.choice([0, 2, 4, 5, 6, 7, 8])):
+            copy[r.randrange(len(copy))] = f"x{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert 1 < len(set(want.values())) < 150 and {x.doc_id: x.component_id for x in got} == want
+
+
+def test_words_of_equal_polynomial_hashes(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("AB"[b] for b in bits))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("operator", [near_dedup.near_dedup, exact_dedup.exact_dedup])
+def test_dedup_keeps_columns_of_any_name(spark, operator):
+    names = ["_maybe", "_bucket", "_bits", "_gone", "c0", "norm", "candidate", "full", "key", "n", "bit", "a.b", "_id", "_full"]
+    text = "one two three four five six seven " * 400_000
+    rows = [(i, text if i < 2 else f"text {i}", *range(len(names))) for i in range(4)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{x}` int" for x in names)]))
+    out = operator(df)
+    assert out.columns == df.columns and sorted(tuple(r)[::2] for r in out.collect()) == [r[::2] for r in (rows[0], rows[2], rows[3])]
+    assert operator(df.limit(0)).count() == 0
+
+
 def test_near_groups_edge_rows(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text), (4, text.upper()), (None, text), (7, None), (8, " \t"), (9, "a b"), (3, "A  b"), (5, "quite another text of seven words here"), (6, "quite another text of seven words here"), (5, text)]
