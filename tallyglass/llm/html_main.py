@@ -3,31 +3,40 @@
 Each block of text (a paragraph) earns points for its length and commas and
 passes them to its ancestors: all to the parent, half to the grandparent, less
 further up. A container's points are discounted by the share of its text that
-stands in links. The best container is kept, with those siblings whose points
-come near it. Page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) is left out wherever it stands.
+stands in links. The best container is kept, and what stands beside it, but for
+lists of links.
+
+Page furniture is left out wherever it stands. Elements that are furniture by name,
+role or style (menus, footers, sidebars, scripts, hidden ones) go outright. Forms,
+page headers and elements whose class or id holds a word of furniture (adverts,
+notices, comments) are suspects: one goes unless it has over ``OUTWEIGHS`` times the points of
+all text outside suspects, with few of its characters in links, so that a word alone
+empties no page. Readers' comments stay only where they hold the page's heading.
 
 Cases: null, empty or tagless html: what text there is counts as one block of
 the body, none gives an empty string. Tags may be unclosed or crossed; an end
-tag without a start is ignored. Of equal scores the container that begins first
-stays. Pages may be of any length; memory follows the longest page.
+tag without a start is ignored, but for </p> and </br>, which end a block. Of equal
+scores the container that begins first stays. Repeated rows each get their text;
+columns that aren't named are ignored, whatever their names; an empty table
+gives no rows. Pages may be of any length; memory follows the longest page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Elements of HTML by their part in the page.
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea input option datalist dialog menu object embed audio video map head title".split())
+DROPPED = frozenset("nav footer aside script style noscript template iframe svg canvas button select textarea input option datalist dialog menu object embed audio video map head title".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption tr summary address".split())
-HOLDERS = frozenset("html body div section article main header ul ol dl table tbody thead tfoot figure details center fieldset hgroup td th".split())
+HOLDERS = frozenset("html body div section article main header form ul ol dl table tbody thead tfoot figure details center fieldset hgroup td th".split())
 CLOSES_P = BLOCKS | HOLDERS | {"hr", "nav", "footer", "aside", "form"}
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|comments?|commentlist|disqus\w*|replies|respond|cookies?|consent|gdpr|notices?|alert|"
@@ -41,21 +50,27 @@ ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*
 SPACES = re.compile(r"\s+")
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus\w*|replies|respond)(?:$|[\s_-])", re.I)
 LINK_SHARE = 0.5
+OUTWEIGHS = 2
+
+PLAIN, SUSPECT, REMARKS, GONE = range(4)
 
 
-def is_furniture(name: str, attrs: str, inside_article: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside_article:
-        return True
+def standing(name: str, attrs: str, inside_article: bool) -> int:
+    """PLAIN; SUSPECT or REMARKS (readers' comments), which need a second look; or GONE."""
+    if name in DROPPED:
+        return GONE
+    found = SUSPECT if name == "form" or name == "header" and not inside_article else PLAIN
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return found
     for key, a, b, c in ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and FURNITURE.search(value) or key == "role" and value.lower() in ROLES:
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if key == "hidden" or key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return GONE
+        if key in ("class", "id") and FURNITURE.search(value):
+            found = max(found, REMARKS if COMMENTS.search(value) else SUSPECT)
+    return found
 
 
 def points(text: str) -> float:
@@ -65,68 +80,69 @@ def points(text: str) -> float:
 
 
 class Page:
-    """Containers (parent, depth, first block) and the blocks of text that stand in them."""
+    """Containers (parent, depth, first block), suspects, and the blocks of text that stand in them."""
 
     def __init__(self, source: str):
         self.parents, self.begins = [-1], [0]
-        self.blocks: list[tuple[int, str, int, bool]] = []  # (container, text, characters in links, heading)
+        self.suspects: list[list] = []  # [suspect around it or -1, readers' comments, holds the page's heading]
+        self.blocks: list[tuple[int, str, int, bool, int]] = []  # (container, text, characters in links, heading, suspect or -1)
         self.parts: list[str] = []
         self.linked: list[str] = []
+        self.stack: list[tuple[str, int, int, int]] = []  # open elements that matter: name, container, whether gone, suspect
+        self.open: Counter[str] = Counter()
+        self.hidden = 0
         self._read(source)
 
-    def _flush(self, holder: int, heading: bool = False) -> None:
-        if self.parts:
+    def _flush(self) -> None:
+        if self.parts and not self.hidden:
             text = SPACES.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((holder, text, len(SPACES.sub(" ", "".join(self.linked)).strip()), heading))
+                name, holder, _, suspect = self.stack[-1] if self.stack else ("", 0, 0, -1)
+                self.blocks.append((holder, text, len(SPACES.sub(" ", "".join(self.linked)).strip()), name in HEADINGS, suspect))
             self.parts, self.linked = [], []
 
+    def _pop(self) -> str:
+        name, _, gone, _ = self.stack.pop()
+        self.hidden -= gone
+        self.open[name] -= 1
+        return name
+
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = []  # open elements that matter, each with its container
-        holder, hidden, links, articles, at, size = 0, 0, 0, 0, 0, len(source)
-        # Inline elements need no entry; links are counted, furniture hides all until it ends.
+        stack, at, size, links = self.stack, 0, len(source), 0
+        # Inline elements need no entry unless they are gone; links are counted.
         while at < size:
             m = TOKEN.search(source, at)
-            if m is None or m.start() > at:
+            if not self.hidden and (m is None or m.start() > at):
                 piece = html.unescape(source[at : m.start() if m else size])
-                if not hidden:
-                    self.parts.append(piece)
-                    if links:
-                        self.linked.append(piece)
+                self.parts.append(piece)
+                if links:
+                    self.linked.append(piece)
             if m is None:
                 break
             at = m.end()
             name = m["name"]
             if name is None:
-                if m["cdata"] and not hidden:
+                if m["cdata"] and not self.hidden:
                     self.parts.append(m["cdata"])
                 continue
             name = name.lower()
             if m["end"]:
                 if name == "a":
                     links = max(0, links - 1)
-                elif name in ("p", "br") and not any(x[0] == name for x in stack[-8:]):
-                    if not hidden:
-                        self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
-                elif any(x[0] == name for x in stack):
-                    if not hidden:
-                        self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
-                    while True:
-                        done, _, was_hidden = stack.pop()
-                        hidden -= was_hidden
-                        articles -= done in ("article", "main")
-                        if done == name:
-                            break
-                    holder = stack[-1][1] if stack else 0
-                    links = 0
+                elif self.open[name]:
+                    if name in BLOCKS or name in HOLDERS:
+                        self._flush()
+                        links = 0
+                    while self._pop() != name:
+                        pass
+                elif name in ("p", "br"):
+                    self._flush()
                 continue
-            closed = m["attrs"].endswith("/") or name in VOID
             if name == "a":
                 links = 1
                 continue
-            if name == "br" or name == "hr":
-                if not hidden:
-                    self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
+            if name in ("br", "hr"):
+                self._flush()
                 continue
             if name in RAW:
                 ends = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -135,38 +151,72 @@ class Page:
                     continue
                 if name in ("script", "style", "textarea"):
                     break
-            if name in ("td", "th") and not hidden:
-                self.parts.append(" ")
             known = name in BLOCKS or name in HOLDERS
-            drops = is_furniture(name, m["attrs"], articles > 0)
-            if not known and not drops:
+            kind = standing(name, m["attrs"], self.open["article"] + self.open["main"] > 0)
+            if not known and kind == PLAIN:
                 continue
-            if not hidden and name not in ("td", "th"):
-                self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
+            cell = name in ("td", "th")
+            if cell and not self.hidden:
+                self.parts.append(" ")
+            elif known or kind == GONE and name in CLOSES_P:
+                self._flush()
             if name in CLOSES_P and stack and stack[-1][0] == "p" or name in ("li", "tr", "dt", "dd") and stack and stack[-1][0] == name:
-                _, _, was_hidden = stack.pop()
-                hidden -= was_hidden
-                holder = stack[-1][1] if stack else 0
-            if closed:
+                self._pop()
+            if m["attrs"].endswith("/") or name in VOID:
                 continue
-            if name in HOLDERS and name not in ("td", "th") and not drops:
+            _, holder, _, suspect = stack[-1] if stack else ("", 0, 0, -1)
+            gone = kind == GONE or kind != PLAIN and not known  # within a line there is no second look
+            if kind != PLAIN and not gone:
+                self.suspects.append([suspect, kind == REMARKS, False])
+                suspect = len(self.suspects) - 1
+            if name in ("h1", "main") and not self.hidden:
+                outer = suspect
+                while outer >= 0 and not self.suspects[outer][2]:
+                    self.suspects[outer][2] = True
+                    outer = self.suspects[outer][0]
+            if name in HOLDERS and not cell and not gone:
                 self.parents.append(holder)
                 self.begins.append(len(self.blocks))
                 holder = len(self.parents) - 1
-            hidden += drops
-            articles += name in ("article", "main")
-            stack.append((name, holder, int(drops)))
-        if not hidden:
-            self._flush(holder, bool(stack) and stack[-1][0] in HEADINGS)
+            self.hidden += gone
+            self.open[name] += 1
+            stack.append((name, holder, int(gone), suspect))
+        self._flush()
+
+    def _cleared(self) -> list[tuple[int, str, int, bool]]:
+        """The blocks without those of suspects that go."""
+        n = len(self.suspects)
+        worth, chars, linked = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # of a suspect's own blocks; the last: outside
+        for _, text, links, heading, suspect in self.blocks:
+            if not heading:
+                worth[suspect] += points(text)
+                chars[suspect] += len(text)
+                linked[suspect] += links
+        value = [w * (1 - min(1.0, k / max(1, c))) for w, k, c in zip(worth, linked, chars, strict=True)]
+        stays = [False] * n + [True]
+        while True:
+            clear = sum(v for v, s in zip(value, stays, strict=True) if s)
+            able = [i for i in range(n) if not stays[i] and stays[self.suspects[i][0]] and linked[i] <= LINK_SHARE * chars[i] and (self.suspects[i][2] or not self.suspects[i][1])]
+            inner = [0.0] * n  # the most that a suspect or one within it holds
+            for i in range(n - 1, -1, -1):
+                inner[i] = max(inner[i], value[i])
+                outer = self.suspects[i][0]
+                if outer >= 0 and (self.suspects[i][2] or not self.suspects[i][1]):
+                    inner[outer] = max(inner[outer], inner[i])
+            best = max(able, key=lambda i: (inner[i], -i), default=-1)
+            if best < 0 or inner[best] <= OUTWEIGHS * clear:
+                return [b[:4] for b in self.blocks if stays[b[4]]]
+            stays[best] = True
 
     def text(self) -> str:
         """The blocks of the best container, and all others but lists of links, in page order."""
-        if not self.blocks:
+        blocks = self._cleared()
+        if not blocks:
             return ""
         n = len(self.parents)
         score, size, linked, good = [0.0] * n, [0] * n, [0] * n, [0.0] * n
         own, own_linked = [0] * n, [0] * n
-        for holder, text, links, heading in self.blocks:
+        for holder, text, links, heading in blocks:
             if not heading:
                 own[holder] += len(text)
                 own_linked[holder] += links
@@ -183,7 +233,7 @@ class Page:
         for i in range(n):
             inside[i] = i == best or self.parents[i] >= 0 and inside[self.parents[i]]
         listed = [own_linked[i] > LINK_SHARE * own[i] for i in range(n)]
-        return "\n".join(text for holder, text, links, heading in self.blocks if inside[holder] or heading or not (listed[holder] and links > LINK_SHARE * len(text)))
+        return "\n".join(text for holder, text, links, heading in blocks if inside[holder] or heading or not (listed[holder] and links > LINK_SHARE * len(text)))
 
 
 def main_text(source: str | None) -> str:
