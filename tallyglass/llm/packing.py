@@ -1,10 +1,11 @@
 """Cost-balanced packing of documents into token sequences of a fixed size.
 
 A piece of n tokens costs ``n + quadratic * n**2``: the linear layers and the
-attention within its document. Documents are cut into whole sequences and one
-remainder; remainders, in descending cost, go to the sequence of lowest cost
-that has room. Where none of the cheapest has room for the whole piece, the
-cheapest is filled up and the rest is queued again. A group's last tokens,
+attention within its document. A document longer than a sequence fills whole
+sequences, which no cut could make cheaper, and leaves a remainder; remainders, in
+descending cost, go to the sequence of lowest cost of all that have room, found by a
+tree over the remaining capacities. Only where none has room for the whole piece
+the cheapest is filled up and the rest is queued again. A group's last tokens,
 fewer than one sequence, go to short sequences whose sizes are powers of two,
 so nothing is padded.
 
@@ -12,13 +13,16 @@ Documents are packed where they are read, in groups of about ``GROUP_TOKENS``
 tokens, so no row is shuffled and memory doesn't follow the partition.
 
 Cases: a null or empty text is a document of the end id alone. Repeated rows
-and equal ids are packed as documents of their own. An empty table has no
-pieces. Very long documents are cut like others.
+and equal or null ids are packed as documents of their own. Equal costs go to the
+sequence made first, equal lengths in the order of rows. Extra columns are
+ignored, whatever their names. An empty table has no pieces. Very long documents
+are cut like others.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -29,11 +33,50 @@ from pyspark.sql import DataFrame
 from tallyglass.llm.bpe import vocabulary
 
 GROUP_TOKENS = 2_000_000
-LOOKED_AT = 8
 
 Piece = tuple[int, int, int, int, int]
 
 
+class _Open:
+    """Sequences by remaining capacity; a tree over the capacities holds the lowest (cost, sequence) of each."""
+
+    NONE = (math.inf, 0)
+
+    def __init__(self, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.tree = [self.NONE] * (2 * self.width)
+        self.by_room: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+
+    def _lift(self, room: int) -> None:
+        at = room + self.width
+        self.tree[at] = self.by_room[room][0] if self.by_room[room] else self.NONE
+        while at > 1:
+            at >>= 1
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def add(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.by_room[room], (cost, sequence))
+        if self.by_room[room][0] == (cost, sequence):
+            self._lift(room)
+
+    def take(self, size: int) -> tuple[float, int, int] | None:
+        """The cheapest sequence (cost, sequence, room) with room for ``size``."""
+        low, high, best, at = size + self.width, 2 * self.width, self.NONE, 0
+        while low < high:
+            if low & 1:
+                if self.tree[low] < best:
+                    best, at = self.tree[low], low
+                low += 1
+            low, high = low >> 1, high >> 1
+        if not at:
+            return None
+        while at < self.width:
+            at = 2 * at if self.tree[2 * at] == best else 2 * at + 1
+        heapq.heappop(self.by_room[at - self.width])
+        self._lift(at - self.width)
+        return *best, at - self.width
+
+
 def pack(sizes: list[int], capacity: int = 1024, quadratic: float = 1 / 1024) -> list[Piece]:
     """(document, start, length, sequence, offset) of all pieces; documents by position, sequences from 0."""
     cost = lambda n: n + quadratic * n * n
@@ -48,26 +91,23 @@ def pack(sizes: list[int], capacity: int = 1024, quadratic: float = 1 / 1024) ->
             rest.append((-(n % capacity), d, whole * capacity))
     left = -sum(x[0] for x in rest)
     heapq.heapify(rest)
-    free = [(0.0, made + k, 0) for k in range(left // capacity)]  # (cost, sequence, used): a heap, and in order
-    made += len(free)
-    while free and rest:
+    free = _Open(capacity)
+    for _ in range(left // capacity):
+        free.add(0.0, made, capacity)
+        made += 1
+    while rest:
         size, d, start = heapq.heappop(rest)
-        size = -size
-        seen = []
-        while free and len(seen) < LOOKED_AT and capacity - free[0][2] < size:
-            seen.append(heapq.heappop(free))
-        if free and capacity - free[0][2] >= size:
-            spent, sequence, used = heapq.heappop(free)
-            put = size
-        else:
-            spent, sequence, used = seen.pop(0)
-            put = capacity - used
-            heapq.heappush(rest, (put - size, d, start + put))
-        for x in seen:
-            heapq.heappush(free, x)
-        pieces.append((d, start, put, sequence, used))
-        if used + put < capacity:
-            heapq.heappush(free, (spent + cost(put), sequence, used + put))
+        found = free.take(-size) or free.take(1)
+        if found is None:
+            heapq.heappush(rest, (size, d, start))
+            break
+        spent, sequence, room = found
+        put = min(-size, room)
+        if put < -size:
+            heapq.heappush(rest, (size + put, d, start + put))
+        pieces.append((d, start, put, sequence, capacity - room))
+        if put < room:
+            free.add(spent + cost(put), sequence, room - put)
     for bit in range(left.bit_length(), -1, -1):  # what is left is under one sequence
         room = 1 << bit
         if not left % capacity & room:

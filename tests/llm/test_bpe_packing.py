@@ -61,6 +61,41 @@ def test_packing_is_whole_and_gapless(sizes):
     assert sorted(used) == list(range(len(used)))
 
 
+def plain_pack(sizes, capacity, quadratic):
+    """The same rule with a search through all sequences."""
+    pieces, rest, made = [], [], 0
+    for d, n in enumerate(sizes):
+        for k in range(n // capacity):
+            pieces.append((d, k * capacity, capacity, made, 0))
+            made += 1
+        if n % capacity:
+            rest.append((d, n - n % capacity, n % capacity))
+    total = sum(x[2] for x in rest)
+    spent = {made + k: 0.0 for k in range(total // capacity)}
+    used = dict.fromkeys(spent, 0)
+    made += len(spent)
+    while rest and any(u < capacity for u in used.values()):
+        rest.sort(key=lambda x: (-x[2], x[0], x[1]))
+        d, start, size = rest.pop(0)
+        able = [q for q in used if capacity - used[q] >= size] or [q for q in used if used[q] < capacity]
+        q = min(able, key=lambda q: (spent[q], q))
+        put = min(size, capacity - used[q])
+        pieces.append((d, start, put, q, used[q]))
+        used[q] += put
+        spent[q] += put + quadratic * put * put
+        if put < size:
+            rest.append((d, start + put, size - put))
+    return pieces, sum(x[2] for x in rest)
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.integers(1, 200), max_size=60), st.sampled_from([8, 64, 100, 128]))
+def test_packing_like_a_search_through_all_sequences(sizes, capacity):
+    want, short = plain_pack(sizes, capacity, 1 / 64)
+    got = packing.pack(sizes, capacity, 1 / 64)
+    assert got[: len(want)] == want and sum(p[2] for p in got[len(want) :]) == short < capacity
+
+
 def test_packing_balances_cost():
     import random
 
