@@ -122,3 +122,15 @@ def test_exact(spark):
     left = exact_dedup.exact_dedup(df)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 9]
     assert exact_dedup.exact_groups(df.limit(0)).count() == exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
+def test_exact_refines_by_the_whole_text(spark):
+    head = "the same beginning of many words " * 10
+    texts = [head + "a", head + "b", head + "  a", head.replace(" ", "\n") + "a", "other" + head[5:] + "a", head + "ab", "Z" * 3_000_000 + "a", "Z" * 3_000_000 + "b"]
+    df = spark.createDataFrame([(10 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    first = {}
+    for i, t in sorted((10 - i, t) for i, t in enumerate(texts)):
+        first.setdefault(" ".join(t.split()), []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {i: (same[0], len(same), i == same[0]) for same in first.values() for i in same}
+    assert {r.doc_id for r in exact_dedup.exact_dedup(df).collect()} == {same[0] for same in first.values()}
