@@ -8,16 +8,20 @@ distance to a code is its norm less twice the sum of looked-up inner products
 (the query's own norm is the same for all). The ``SHORTLIST`` best codes of each
 query are ranked again by exact distance on the original vectors.
 
-Queries meet the codes block by block: at most ``BLOCK`` queries with at most
-``CHUNK`` codes. A block's chunks are dealt to ``LANES`` tasks, each of which keeps the
-block's best codes so far, so memory and what is passed on follow the queries. Equal vectors are indexed once and keep their k + 1 smallest ids,
-which no answer of k neighbours can exceed, so a vector that a third of the rows
-share is one code.
+The index is dealt into lanes of about ``LANE`` codes by the hash of the vector, so
+their number follows the index, and queries into slices of about ``SLICE``. A task gets one
+lane's codes, then one slice's queries, which it scores ``BLOCK`` at a time, and
+passes on each query's best codes of the lane as one row; a query's rows are merged
+one after another. So memory depends on neither table. Equal vectors are indexed
+once and keep their k + 1 smallest ids, which no answer of k neighbours can
+exceed, so a vector that a third of the rows share is one code. They are told
+apart by a 64-bit hash.
 
 Cases: null, zero, null-holding and non-finite vectors take no part, nor do those
 of another length than the most frequent one. Rows that repeat an id and vector
-count once. Fewer than k candidates: all of them. Ties go to the smaller id. An
-empty table or no queries: no rows.
+count once; of different vectors under one id the nearest counts. Fewer than k
+candidates: all of them. Ties go to the smaller id. Extra columns are ignored,
+whatever their names. An empty table or no queries: no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from tallyglass.llm.storage import settle
 
 BOOKS = 24
 CODES = 256
-BEAM = 8
+BEAM = 4
 SAMPLE = 8192
 ROUNDS = 12
 SHORTLIST = 400
 BLOCK = 256
-CHUNK = 4096
-LANES = 4
+CHUNK = 256
+LANE = 8192
+SLICE = 16384
 
 
 def _nearest(x: np.ndarray, words: np.ndarray, n: int = 1) -> np.ndarray:
@@ -49,7 +54,7 @@ def train_codebooks(x: np.ndarray, books: int = BOOKS, codes: int = CODES, round
     """books x codes x dimension, by k-means on residuals."""
     random = np.random.default_rng(11)
     codes = max(1, min(codes, len(x)))
-    out, rest = np.zeros((books, codes, x.shape[1])), x.astype(float)
+    out, rest = np.zeros((books, codes, x.shape[1]), np.float32), x.astype(np.float32)
     for m in range(books):
         words = rest[random.choice(len(rest), codes, replace=False)].copy()
         for _ in range(rounds):
@@ -57,7 +62,7 @@ def train_codebooks(x: np.ndarray, books: int = BOOKS, codes: int = CODES, round
             size = np.bincount(at, minlength=codes)
             total = np.zeros_like(words)
             np.add.at(total, at, rest)
-            words = np.where(size[:, None] > 0, total / np.maximum(1, size)[:, None], words)
+            words = np.where(size[:, None] > 0, total / np.maximum(1, size)[:, None].astype(np.float32), words)
         out[m] = words
         rest = rest - words[_nearest(rest, words)[:, 0]]
     return out
@@ -66,7 +71,7 @@ def train_codebooks(x: np.ndarray, books: int = BOOKS, codes: int = CODES, round
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (uint8) and squared norms of the decoded vectors, by beam search over the books."""
     n, dim = x.shape
-    rest = x[:, None, :].astype(float)
+    rest = x[:, None, :].astype(np.float32)
     path = np.zeros((n, 1, 0), np.uint8)
     for words in books:
         width = rest.shape[1]
@@ -89,7 +94,7 @@ def _matrix(arrays: pd.Series) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = SHORTLIST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest other rows."""
-    v = vectors.withColumn("_q", F.coalesce(is_query, F.lit(False))).select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").alias("x"), F.col("_q").alias("q"))
+    v = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
     finite = F.forall("x", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) != float("inf"))) & F.exists("x", lambda a: a != 0)
     v = v.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
     size = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -107,52 +112,78 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, shortlist: int = S
     sample = classes.select("cls", "x").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).toPandas().sort_values("cls")
     books = train_codebooks(_matrix(sample["x"]))
     shared = vectors.sparkSession.sparkContext.broadcast(books)
-    blocks = -(-n_queries // BLOCK)
+    lanes, slices = -(-classes.count() // LANE), -(-n_queries // SLICE)
 
     def index(batches):
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
                 some = pdf.iloc[at : at + CHUNK]
                 codes, norms = encode(_matrix(some["x"]), shared.value)
-                yield pd.DataFrame({"cls": [some["cls"].to_numpy("<i8").tobytes()], "codes": [codes.tobytes()], "norms": [norms.astype("<f4").tobytes()]})
+                yield pd.DataFrame({"id": some["cls"], "data": [c.tobytes() for c in codes], "norm": norms})
 
-    chunks = settle(classes.select("cls", "x").mapInPandas(index, "cls binary, codes binary, norms binary"))
+    def deal(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["vec_id"], "data": [x.tobytes() for x in _matrix(pdf["x"]).astype("<f4")]})
+
+    some = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    codes = settle(classes.select("cls", "x").mapInPandas(index, "id long, data binary, norm double"))
+    codes = codes.select(some(lanes).alias("lane"), every(slices).alias("slice"), F.lit(0).alias("kind"), "id", "data", "norm")
+    asked = queries.mapInPandas(deal, "id long, data binary")
+    asked = asked.select(every(lanes).alias("lane"), some(slices).alias("slice"), F.lit(1).alias("kind"), "id", "data", F.lit(0.0).alias("norm"))
 
     def score(batches):
-        books, best = shared.value, {}
+        books, place, held, ready = shared.value, None, [], None
         for pdf in batches:
-            for row in pdf.itertuples():
-                ids, q = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.queries, "<f4").reshape(-1, books.shape[2]).astype(float)
-                cls, codes = np.frombuffer(row.cls, "<i8"), np.frombuffer(row.codes, np.uint8).reshape(-1, len(books))
-                gap = np.broadcast_to(np.frombuffer(row.norms, "<f4").astype(float), (len(q), len(cls))).copy()
-                for m, words in enumerate(books):
-                    gap -= 2 * (q @ words.T)[:, codes[:, m]]
-                cls = np.broadcast_to(cls, gap.shape)
-                if row.block in best:
-                    _, cls0, gap0 = best[row.block]
-                    cls, gap = np.concatenate((cls0, cls), axis=1), np.concatenate((gap0, gap), axis=1)
-                keep = min(shortlist, gap.shape[1])
-                top = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
-                best[row.block] = (ids, np.take_along_axis(cls, top, axis=1), np.take_along_axis(gap, top, axis=1))
-        for ids, cls, gap in best.values():
-            yield pd.DataFrame({"query_id": np.repeat(ids, gap.shape[1]), "cls": cls.ravel(), "gap": gap.ravel()})
-
-    def deal(batches):
+            for key, part in pdf.groupby(["lane", "slice", "kind"], sort=True):
+                if place != key[:2]:
+                    place, held, ready = key[:2], [], None
+                if key[2] == 0:
+                    held.append((part["id"].to_numpy(), np.frombuffer(b"".join(part["data"]), np.uint8).reshape(len(part), -1), part["norm"].to_numpy(np.float32)))
+                    continue
+                if ready is None:
+                    ready, held = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [], []
+                if not len(ready):  # a lane without codes
+                    continue
+                ids, codes, norms = ready
+                keep = min(shortlist, len(ids))
+                for at in range(0, len(part), BLOCK):
+                    block = part.iloc[at : at + BLOCK]
+                    q = np.frombuffer(b"".join(block["data"]), "<f4").reshape(len(block), -1)
+                    gap = np.broadcast_to(norms, (len(q), len(norms))).copy()
+                    for m, words in enumerate(books):
+                        gap -= (2 * q @ words.T)[:, codes[:, m]]
+                    top = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
+                    yield pd.DataFrame({"query_id": block["id"], "cls": [ids[t].tobytes() for t in top], "gap": [g[t].tobytes() for g, t in zip(gap, top, strict=True)]})
+
+    def merge(batches):
+        last, cls, gap = None, None, None
         for pdf in batches:
-            yield pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "queries": [_matrix(pdf["x"]).astype("<f4").tobytes()]})
-
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    dealt = dealt.groupBy("block").applyInPandas(lambda pdf: next(deal([pdf])), "block long, ids binary, queries binary")
-    met = chunks.withColumn("lane", F.pmod(F.xxhash64("cls"), F.lit(LANES))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    found = met.repartition("block", "lane").select("block", "ids", "queries", "cls", "codes", "norms").mapInPandas(score, "query_id long, cls long, gap double")
-    near = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "cls"))).where(F.col("place") <= shortlist)
+            out = []
+            for query, c, g in zip(pdf["query_id"], pdf["cls"], pdf["gap"], strict=True):
+                c, g = np.frombuffer(c, "<i8"), np.frombuffer(g, "<f4")
+                if query == last:
+                    c, g = np.concatenate((cls, c)), np.concatenate((gap, g))
+                elif last is not None:
+                    out.append((last, cls))
+                best = np.argsort(g, kind="stable")[:shortlist]
+                last, cls, gap = query, c[best], g[best]
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "cls"])
+        if last is not None:
+            yield pd.DataFrame([(last, cls)], columns=["query_id", "cls"])
+
+    met = codes.unionByName(asked).repartition("lane", "slice").sortWithinPartitions("lane", "slice", "kind")
+    found = met.mapInPandas(score, "query_id long, cls binary, gap binary")
+    found = found.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, cls array<long>")
+    near = found.select("query_id", F.explode("cls").alias("cls"))
 
     def rank_again(batches):
         for pdf in batches:
             gap = _matrix(pdf["x"]) - _matrix(pdf["y"])
             yield pd.DataFrame({"query_id": pdf["query_id"], "ids": pdf["ids"], "score": np.sqrt((gap * gap).sum(axis=1))})
 
-    pairs = near.select("query_id", "cls").join(classes, "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("y")), "query_id")
+    pairs = near.join(classes, "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("y")), "query_id")
     exact = pairs.select("query_id", "ids", "x", "y").mapInPandas(rank_again, "query_id long, ids array<long>, score double")
     named = exact.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     named = named.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -11,14 +11,17 @@ documents of the highest grade and in others; those in too few documents
 (``RARE``) are left out, as they would only be learned by heart.
 
 The model is fitted on the driver on at most ``SAMPLE`` rated documents, those of
-least hash of their id (a documented bound; the features of these whole texts
-are what reaches the driver). Every document is scored, whole. The broadcast
-model has ``1 << BITS`` weights whatever the corpus.
+least hash of their id, and of these on as many as have ``MOST`` features of their whole
+texts together (documented bounds of what reaches the driver). Every document is
+scored, whole. The broadcast model has ``1 << BITS`` weights whatever the corpus.
 
 Cases: a null or empty text has no features and score 0. Ratings that are null
 don't count. Where no document has a rating, or all have the same, the model
 has zero weights and every document gets the same probabilities. Of repeated
-ratings of a document the lowest counts.
+ratings of a document the lowest counts, and of rows that repeat an id one is learned
+from, the least text; each row is scored. Scores that tie get the same grades. Texts may
+be of any length. Extra columns are ignored, whatever their names; select keeps them.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import textspans as S
+from tallyglass.llm.storage import discard, settle
 
 BITS = 18
 SAMPLE = 12_000
+MOST = 16_000_000
 RARE = 0.003  # of the sample's documents, and at least 3
 DAMPING = 0.5
 LEAST = 0.65
@@ -99,6 +104,15 @@ class OrdinalModel:
         return np.concatenate([np.zeros(0), *out])
 
 
+def slopes(y: np.ndarray, scores: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log likelihood: of each row by its score, and of all rows by the thresholds. y: places of the grades."""
+    edges = np.concatenate(([-np.inf], cut, [np.inf]))
+    high, low = _sigmoid(edges[y + 1] - scores), _sigmoid(edges[y] - scores)
+    p = np.maximum(high - low, 1e-12)
+    by_cut = np.bincount(y, high * (1 - high) / p, len(cut) + 1)[:-1] - np.bincount(y, low * (1 - low) / p, len(cut) + 1)[1:]
+    return high + low - 1, by_cut
+
+
 def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.ndarray, epochs: int = 20, steps: int = 40, rate: float = 0.5, decay: float = 1e-4) -> OrdinalModel:
     """AdaGrad on the log likelihood with at least ``steps`` minibatches an epoch; rows are sparse: ``counts`` entries each of index and value."""
     grades = sorted(set(ratings.tolist()))
@@ -118,14 +132,11 @@ def fit(index: np.ndarray, value: np.ndarray, counts: np.ndarray, ratings: np.nd
             at, line = S.ragged(starts[some], counts[some]), np.repeat(np.arange(len(some)), counts[some])
             x, of = value[at], index[at]
             s = np.bincount(line, weights[of] * x, len(some))
-            edges = np.concatenate(([-np.inf], cut, [np.inf]))
-            high, low = _sigmoid(edges[y[some] + 1] - s), _sigmoid(edges[y[some]] - s)
-            p = np.maximum(high - low, 1e-12)
+            by_score, g_cut = slopes(y[some], s, cut)
             touched, back = np.unique(of, return_inverse=True)
-            g = np.bincount(back, (high + low - 1)[line] * x) / len(some) - decay * weights[touched]
+            g = np.bincount(back, by_score[line] * x) / len(some) - decay * weights[touched]
             seen[touched] += g * g
             weights[touched] += rate * g / np.sqrt(seen[touched])
-            g_cut = np.bincount(y[some], high * (1 - high) / p, len(grades))[:-1] - np.bincount(y[some], low * (1 - low) / p, len(grades))[1:]
             g_cut /= len(some)
             seen_cut += g_cut * g_cut
             cut = np.maximum.accumulate(cut + rate * g_cut / np.sqrt(seen_cut) + 1e-9 * np.arange(len(cut)))
@@ -147,7 +158,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
     """ratings: doc_id, rating (int)."""
     rated = ratings.where("doc_id IS NOT NULL AND rating IS NOT NULL").groupBy("doc_id").agg(F.min("rating").alias("rating"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "rating")
+    held = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "doc_id")
+    held = held.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("rating").alias("rating"))
 
     def run(batches):
         for pdf in batches:
@@ -160,8 +172,12 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
                     rows.append((index.astype("<i4").tobytes(), (times / max(1, n) ** DAMPING).astype("<f4").tobytes()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "rating": pdf["rating"], "index": [r[0] for r in rows], "value": [r[1] for r in rows]})
 
-    got = held.mapInPandas(run, "doc_id long, rating int, index binary, value binary").toPandas()
-    got = got.sort_values(["doc_id", "rating"], kind="stable")
+    made = settle(held.mapInPandas(run, "doc_id long, rating int, index binary, value binary"))
+    sizes = made.select("doc_id", F.octet_length("index").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    first = sizes["doc_id"][sizes["size"].cumsum() <= 4 * MOST].tolist()
+    got = made.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in first], "doc_id long")), "doc_id").toPandas()
+    discard(made)
+    got = got.sort_values("doc_id", kind="stable")
     index = np.frombuffer(b"".join(got["index"]), "<i4")
     value = np.frombuffer(b"".join(got["value"]), "<f4")
     counts, rated = got["index"].map(len).to_numpy(int) // 4, got["rating"].to_numpy(int)

@@ -148,6 +148,47 @@ def test_quality(spark):
     assert set(quality.train(odd, y.limit(0)).weights) == {0.0}
 
 
+def test_ordinal_slopes_and_fit():
+    r = np.random.default_rng(5)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def likelihood(y, s, cut):
+        edges = np.concatenate(([-np.inf], cut, [np.inf]))
+        return np.log(sig(edges[y + 1] - s) - sig(edges[y] - s)).sum()
+
+    y, s, cut = r.integers(0, 4, 30), r.normal(size=30), np.array([-1.0, 0.2, 1.5])
+    by_score, by_cut = quality.slopes(y, s, cut)
+    for got, at in ((by_score, s), (by_cut, cut)):
+        for i in range(len(at)):
+            step = np.zeros(len(at))
+            step[i] = 1e-5
+            pair = [likelihood(y, *((s + d, cut) if at is s else (s, cut + d))) for d in (step, -step)]
+            assert got[i] == pytest.approx((pair[0] - pair[1]) / 2e-5, rel=1e-4, abs=1e-6)
+    x = r.normal(size=(1500, 3))
+    truth = x @ [1.5, -1.0, 0.5] + r.logistic(size=1500)
+    y = np.digitize(truth, [-1.0, 1.0])
+    index, counts = np.tile(np.arange(1, 4), 1500), np.full(1500, 3)
+    model = quality.fit(index, x.ravel(), counts, y, epochs=60, decay=0.0)
+    w, cut = np.zeros(3), np.array([-1.0, 1.0])
+    for _ in range(3000):  # plain gradient ascent over all rows
+        by_score, by_cut = quality.slopes(y, x @ w, cut)
+        w, cut = w + 2 * x.T @ by_score / 1500, cut + 2 * by_cut / 1500
+    assert likelihood(y, x @ model.weights[1:4], model.thresholds) > likelihood(y, x @ w, cut) - 5
+    assert model.weights[1:4] == pytest.approx(w, abs=0.15)
+
+
+def test_quality_learns_from_bounded_rows(spark, monkeypatch):
+    rows = [(i, f"good text {i} " * 20 if i % 2 else f"bad! {i} " * 20, 1) for i in range(40)]
+    docs = spark.createDataFrame([*rows, *[(1, "bad! one", 1)] * 500, (3, None, 2)], "doc_id long, text string, rating int")
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, rating int")
+    whole = quality.train(docs, ratings)
+    assert whole.grades == [0, 1] and whole.weights.any()
+    monkeypatch.setattr(quality, "MOST", 1)
+    assert not quality.train(docs, ratings).weights.any()
+    monkeypatch.setattr(quality, "MOST", 200)
+    assert quality.train(docs, ratings).grades
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><div id="main"><div class="post"><h1>T &amp; U</h1><p>Hello, a  b\nc<br>line two<ul><li>one<li>two</ul><script>var x = "<p>";</script></div><div class=comments><p>bad, bad, bad, bad comment that is long enough to score</div></div><form>x<input></form><footer>f'
     assert main_text(page) == "T & U\nHello, a b c\nline two\none\ntwo"
