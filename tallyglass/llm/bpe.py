@@ -5,10 +5,12 @@ of the pair that begins there. The root is then the leftmost pair of lowest
 rank; a merge changes three leaves and their paths, until no pair can merge.
 The trees of many short pre-tokens are updated together, one merge a step;
 long pre-tokens get a tree of their own. Equal pre-tokens are encoded once for
-each worker's cache.
+each worker's cache; they are found by hash and compared character by character.
 
 Cases: null and empty texts have no tokens. Texts may be of any length; memory
-follows the longest text. Repeated rows are encoded like any other.
+follows the longest text. Repeated rows and ids are encoded like any other. Pairs of
+equal rank are merged from the left. Extra columns are ignored, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ travel the same way by the hash of the word.
 
 Cases: a null or empty text is the end alone. A null id is trained on and not
 held out. Repeated rows count each time. With no training texts every decision
-has probability one half. Words are told apart by 64-bit hashes.
+has probability one half. Words are told apart by 64-bit hashes, each of the whole
+word. Order doesn't matter, so ties don't arise. Texts may be of any length. Extra
+columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

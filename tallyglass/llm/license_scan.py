@@ -12,7 +12,8 @@ phrase is an exact place of that phrase.
 All of it is DataFrame operations on one scan; texts are not shuffled.
 
 Cases: a null or empty text has no words, no labels and score 0. Rows that repeat
-an id each get their own result. Texts may be of any length.
+an id each get their own result. Labels that tie are all named. Texts may be of any
+length. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

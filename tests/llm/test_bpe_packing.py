@@ -41,6 +41,9 @@ def test_digests(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 1), (1, 2), (2, 0), (2, 0)]
     assert {r.ids_sha256 for r in rows if r.n_tokens == 0} == {empty}
     assert bpe.encode_digests(docs.limit(0), P.path(FILES[0])).count() == 0
+    theirs = VOCABULARIES[FILES[1]][1]
+    encoded = bpe.encode_documents(docs, P.path(FILES[1])).collect()
+    assert sorted(((r.doc_id or 0), r.ids) for r in encoded) == [(0, theirs.encode("x").ids), (1, theirs.encode("The cat").ids), (2, []), (2, [])]
 
 
 @settings(deadline=None, max_examples=200)

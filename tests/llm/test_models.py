@@ -197,3 +197,27 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "u", page, 1), (2, None, None, 2)], "page_id long, url string, html string, text int")
     assert {(r.page_id, r.url, r.n_chars) for r in extract_main(df).collect()} == {(1, "u", 35), (2, None, 0)}
     assert extract_main(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_columns_of_any_name(spark):
+    long = "Under the MIT License, good words. " * 60_000
+    rows = [(1, long, 1), (2, "short text", 1), (1, long, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value int").select("*", *[F.lit(1).alias(c) for c in ("row", "grp", "keys", "words", "w", "held_out", "label", "index")])
+    got = license_scan.scan_licenses(df).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_base) for r in got) == [(1, 360_000, 60_000)] * 2 + [(2, 2, 0)]
+    scores = context_tree.score_documents(df).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in scores) == [(1, 360_001)] * 2 + [(2, 3)] and scores[0].score < 0
+    model = quality.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, rating int"))
+    assert quality.score(df, model).count() == 3
+    html = "<article>" + "<p>word, " * 100_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", html), (1, "u", html)], "page_id long, url string, html string").withColumn("n_chars", F.lit(1))
+    assert [r.n_chars for r in extract_main(pages).collect()] == [6 * 100_000 - 1] * 2
+
+
+def test_equal_polynomial_hashes_in_scores(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(0, "".join("ab"[b] for b in bits)), (1, "".join("ba"[b] for b in bits))]
+    learn = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = {r.doc_id: r.n_known for r in context_tree.score_documents(spark.createDataFrame([(learn, rows[0][1]), (held, rows[1][1])], "doc_id long, text string")).collect()}
+    assert got == {learn: 2, held: 1}
