@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", classify), ("exact dedup", drop_copies), ("MinHash near-dedup", drop_near_copies), ("packing", pack)]
 
-#: A fitted classifier decides which rows go, which SQL can't express; the stages are tested against brute force.
+#: A fitted classifier decides which rows go, which SQL can't express; tests/llm/test_pipeline.py tests the stages against brute force.
 ORACLE_SQL = None
 
 
