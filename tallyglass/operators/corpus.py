@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyglass.functions.strings import invalid_card
 from tallyglass.functions.text import RAW_VALUES
+from tallyglass.operators.gates import GateError, shared_values
 
 FIRST = "Ada Ben Cleo Dov Edda Finn Gia Hugo Iris Jon Kira Leo Mona Nils Olga Paul".split()
 LAST = "Abbot Brink Castro Dunn Ebert Falk Grau Holm Ivers Jansen Kolb Lund Meyer Nolan Oster Price".split()
@@ -121,8 +123,74 @@ def senders(mails: DataFrame, name: str = "name", email: str = "email", phones:
     return counts.join(found, [name, email], "left")
 
 
-def benign_queries(frames: DataFrame, topics: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """Seeds first, then every frame filled with every topic, distinct, the first n. Columns: text, or frame and topic."""
-    grid = frames.join(topics).select(F.replace("frame", F.lit("{}"), F.col("topic")).alias("text"), F.lit(1).alias("turn"))
-    both = seeds.select("text", F.lit(0).alias("turn")).unionByName(grid)
+def benign_queries(frames: DataFrame, topics: DataFrame, seeds: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """Seeds first, then every frame filled with every topic, then numbered variants of the topics, distinct, the first n. Columns: text, or frame and topic.
+
+    The lists are written by hand; their product is checked against ``most``.
+    """
+    n_frames, n_topics = frames.count(), topics.count()
+    if n_frames * n_topics > most:
+        raise ValueError(f"over {most} frames and topics together")
+    grid = frames.join(F.broadcast(topics)).select(F.replace("frame", F.lit("{}"), F.col("topic")).alias("text"), F.lit(1).alias("turn"))
+    variants = F.sequence(F.lit(2), F.lit(2 + -(-n // max(1, n_topics))))
+    padding = topics.select("topic", F.explode(variants).alias("i")).select(F.concat(F.lit("Tell me "), F.col("i").cast("string"), F.lit(" interesting facts about "), "topic", F.lit(".")).alias("text"), (1 + F.col("i")).alias("turn"))
+    both = seeds.select("text", F.lit(0).alias("turn")).unionByName(grid).unionByName(padding)
     return both.groupBy("text").agg(F.min("turn").alias("turn")).orderBy("turn", "text").limit(n).select("text")
+
+
+#: Ranges that no real person's data come from, so a control collides with nobody.
+SSN_AREA, SSN_GROUP, SSN_SERIAL = (900, 999), (1, 99), (1, 9999)
+SAFE_DOMAINS = ["example.com", "example.net", "example.org"]
+LOCAL_LETTERS, LOCAL_LENGTH = "abcdefghijklmnopqrstuvwxyz0123456789", 10
+PHONE_LEAD, PHONE_LAST = "555-01", (0, 99)
+CONTROL_OFFSET = 1_000_000
+
+
+def field_supports() -> dict[str, int]:
+    """How many values each control field can have; the log of it is the field's entropy in bits."""
+    size = lambda r: r[1] - r[0] + 1
+    return {"ssn": size(SSN_AREA) * size(SSN_GROUP) * size(SSN_SERIAL), "email": len(LOCAL_LETTERS) ** LOCAL_LENGTH * len(SAFE_DOMAINS), "phone": size(PHONE_LAST), "credit_card": 10**15}
+
+
+def control_people(spark: SparkSession, n: int, seed: int, offset: int = CONTROL_OFFSET) -> DataFrame:
+    """n people who were never trained on, each field uniform over its support (``field_supports``); ids begin at the offset, apart from all others."""
+    within = lambda name, r, width: F.lpad((_draw(seed, name, r[1] - r[0] + 1, "id") + r[0]).cast("string"), width, "0")
+    local = F.concat(*[F.get(F.array(*map(F.lit, LOCAL_LETTERS)), _draw(seed, f"l{i}", len(LOCAL_LETTERS), "id").cast("int")) for i in range(LOCAL_LENGTH)])
+    pick = lambda name, of: F.get(F.array(*map(F.lit, of)), _draw(seed, name, len(of), "id").cast("int"))
+    return spark.range(offset, offset + n).select(
+        "id",
+        F.concat_ws(" ", pick("first", FIRST), pick("last", LAST)).alias("name"),
+        F.concat_ws("-", within("area", SSN_AREA, 3), within("group", SSN_GROUP, 2), within("serial", SSN_SERIAL, 4)).alias("ssn"),
+        F.concat(local, F.lit("@"), pick("domain", SAFE_DOMAINS)).alias("email"),
+        F.concat(F.lit(PHONE_LEAD), within("phone", PHONE_LAST, 2)).alias("phone"),
+        invalid_card(F.lit(seed), "id").alias("credit_card"),
+        F.lit(0).cast("long").alias("frequency"),
+    )
+
+
+def person_registry(trained: DataFrame, controls: DataFrame) -> DataFrame:
+    """Both arms' people in one registry (all their columns), with is_negative_control."""
+    return trained.withColumn("is_negative_control", F.lit(False)).unionByName(controls.withColumn("is_negative_control", F.lit(True)), allowMissingColumns=True)
+
+
+def assemble(personal: DataFrame, public: DataFrame, trained: DataFrame, controls: DataFrame, seed: int, unique: tuple[str, ...] = ("ssn", "email")) -> DataFrame:
+    """The training corpus: personal and public documents (text and any other columns) in a seeded order, marked is_pii. A value that both arms hold raises."""
+    clash = shared_values(trained, controls, *unique).limit(4).collect()
+    if clash:
+        raise GateError(f"values of both arms: {[tuple(r) for r in clash]}")
+    both = personal.withColumn("is_pii", F.lit(True)).unionByName(public.withColumn("is_pii", F.lit(False)), allowMissingColumns=True)
+    return both.orderBy(F.xxhash64(F.lit(seed), "text"), "text")
+
+
+def corpus_summary(corpus: DataFrame) -> DataFrame:
+    """One row: documents, personal ones and their share."""
+    return corpus.agg(F.count("*").alias("n_documents"), F.count_if("is_pii").alias("n_personal"), (F.count_if("is_pii") / F.greatest(F.count("*"), F.lit(1))).alias("personal_fraction"))
+
+
+def tiers(registry_: DataFrame, order: str, n: int) -> DataFrame:
+    """what, frequency, persons: tiers of all trained people, of n evenly spaced ones, and of the first n."""
+    people_ = registry_.where(~F.col("is_negative_control")).select("frequency", order).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(order)) - 1)
+    size = people_.count()
+    picks = sorted({round(i * (size - 1) / (n - 1)) for i in range(n)}) if size > n >= 2 else list(range(min(n, size)))
+    what = F.array(F.lit("all"), F.when(F.col("rank").isin(*picks), "even"), F.when(F.col("rank") < n, "first"))
+    return people_.select("frequency", F.explode(what).alias("what")).dropna(subset=["what"]).groupBy("what", "frequency").agg(F.count("*").alias("persons"))

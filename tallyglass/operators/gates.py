@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 class GateError(ValueError):
@@ -26,11 +30,56 @@ def coverage(observed: DataFrame, expected: DataFrame, *key: str) -> DataFrame:
     return e.join(o, list(key), "left_anti").withColumn("side", F.lit("missing")).unionByName(o.join(e, list(key), "left_anti").withColumn("side", F.lit("extra")))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _at_paths(manifests: pd.Series, paths: pd.Series) -> pd.Series:
+    """The canonical JSON at each dotted path; MISSING where there is no such key (JSON's null is a value)."""
+
+    def at(value, path):
+        for key in path.split("."):
+            if not isinstance(value, dict) or key not in value:
+                return MISSING
+            value = value[key]
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    return pd.Series([[at(loaded, p) for p in each] for loaded, each in zip(map(json.loads, manifests), paths, strict=True)])
+
+
+MISSING = "<missing>"
+
+
+def values_at(manifests: DataFrame, paths: list[str], *keep: str) -> DataFrame:
+    """keep, path, value for each manifest (a JSON column ``manifest``) and dotted path."""
+    names = F.array(*map(F.lit, paths))
+    pairs = F.arrays_zip(names.alias("path"), _at_paths("manifest", names).alias("value"))
+    return manifests.select(*keep, F.explode(pairs).alias("s")).select(*keep, F.col("s.path").alias("path"), F.col("s.value").alias("value"))
+
+
+def invariants(manifests: DataFrame, paths: list[str]) -> DataFrame:
+    """path, n_values, n_missing, n_null, ok: ok only where all manifests hold one value, and not null."""
+    by = values_at(manifests, paths).groupBy("path")
+    out = by.agg(F.countDistinct("value").alias("n_values"), F.count_if(F.col("value") == MISSING).alias("n_missing"), F.count_if(F.col("value") == "null").alias("n_null"))
+    return out.withColumn("ok", F.expr("n_values = 1 AND n_missing = 0 AND n_null = 0"))
+
+
 def varying(manifests: DataFrame, paths: list[str]) -> DataFrame:
-    """Provenance paths that don't have one value across all manifests (a JSON column ``manifest``); missing and null are told apart."""
-    value = lambda p: F.coalesce(F.get_json_object("manifest", f"$.{p}"), F.lit("<missing or null>"))
-    long = manifests.select(F.explode(F.array(*[F.struct(F.lit(p).alias("path"), value(p).alias("value")) for p in paths])).alias("s")).select("s.*")
-    return long.groupBy("path").agg(F.countDistinct("value").alias("n_values")).where("n_values > 1")
+    """Provenance paths that don't have one value across all manifests; a missing key and null are different values."""
+    return invariants(manifests, paths).where("n_values > 1").select("path", "n_values")
+
+
+def coordinates(manifests: DataFrame, seeds: list[int], grid: list[int], seed: str = "shard.seed", k: str = "shard.capacity_k") -> DataFrame:
+    """seed, capacity_k and fault (missing, extra or duplicate) of the shards against the grid that was declared."""
+    number = lambda x: F.get_json_object("manifest", f"$.{x}").cast("int")
+    seen = manifests.select(number(seed).alias("seed"), number(k).alias("capacity_k")).groupBy("seed", "capacity_k").agg(F.count("*").alias("n"))
+    wanted = manifests.sparkSession.createDataFrame([(s, x, True) for s in seeds for x in grid], "seed int, capacity_k int, wanted boolean")
+    met = seen.join(wanted, (seen.seed.eqNullSafe(wanted.seed)) & (seen.capacity_k.eqNullSafe(wanted.capacity_k)), "full")
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "extra").when(F.col("n") > 1, "duplicate")
+    return met.select(F.coalesce(seen.seed, wanted.seed).alias("seed"), F.coalesce(seen.capacity_k, wanted.capacity_k).alias("capacity_k"), fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def shared_values(first: DataFrame, second: DataFrame, *columns: str) -> DataFrame:
+    """column, value: values that both sides hold; they must be disjoint."""
+    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s")).select("s.*").dropna().distinct()
+    return long(first).intersect(long(second))
 
 
 def require(found: DataFrame) -> None:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions import special
+from tallyglass.operators.ranks import average_rank
 from tallyglass.operators.rates import r9
 
 
@@ -27,6 +28,65 @@ def logit(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, float(c), float(e), float(p)) for n, c, e, p in rows], "term string, coefficient double, std_error double, p double")
 
 
+def _deviances(df: DataFrame, features: list[str], label: str) -> tuple[float, float]:
+    """Residual and null deviance of a binomial regression; for single outcomes these are -2 log likelihood."""
+    s = GeneralizedLinearRegression(family="binomial", link="logit").fit(assembled(df, features, label)).summary
+    return float(s.deviance), float(s.nullDeviance)
+
+
+def explained(df: DataFrame, base: list[str], features: list[str], label: str) -> DataFrame:
+    """model, pseudo_r2 (McFadden's) and gain over the base: the base terms alone, with all features, and with each feature by itself. Constant outcomes raise."""
+    if df.select(label).dropna().distinct().limit(2).count() < 2:
+        raise ValueError("the outcome doesn't vary")
+    whole = df.dropna(subset=[*base, *features, label])
+    r2 = lambda d: 1 - d[0] / d[1]
+    first = r2(_deviances(whole, base, label))
+    rows = [("base", first, 0.0)]
+    for name, more in [("all", features), *[(f, [f]) for f in features]]:
+        found = r2(_deviances(whole, [*base, *more], label))
+        rows.append((name, found, found - first))
+    return df.sparkSession.createDataFrame(rows, "model string, pseudo_r2 double, gain double")
+
+
+def frequency_response(att: DataFrame, reference: str) -> DataFrame:
+    """term, coefficient, std_error, p of hits by log(1 + frequency), probe and their product; the intercept is the floor of the reference probe at frequency 0, whose share is the row ``floor``."""
+    others = sorted(r[0] for r in att.select("probe").dropna().distinct().limit(100).collect() if r[0] != reference)
+    x = att.select(F.coalesce("exact_match", F.lit(False)).cast("double").alias("hit"), F.log1p(F.col("train_frequency").cast("double")).alias("log_frequency"), "probe").dropna()
+    for i, name in enumerate(others):
+        x = x.withColumn(f"p{i}", (F.col("probe") == name).cast("double")).withColumn(f"x{i}", F.col(f"p{i}") * F.col("log_frequency"))
+    terms = {"log_frequency": "log_frequency"} | {f"p{i}": f"probe {n}" for i, n in enumerate(others)} | {f"x{i}": f"log_frequency:probe {n}" for i, n in enumerate(others)}
+    fitted = logit(x, list(terms), "hit")
+    names = F.create_map(*[F.lit(v) for pair in terms.items() for v in pair])
+    out = fitted.select(F.coalesce(names[F.col("term")], F.col("term")).alias("term"), "coefficient", "std_error", "p")
+    floor = out.where("term = 'intercept'").select(F.lit("floor").alias("term"), (1 / (1 + F.exp(-F.col("coefficient")))).alias("coefficient"), F.lit(None).cast("double").alias("std_error"), F.lit(None).cast("double").alias("p"))
+    return out.unionByName(floor)
+
+
+def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
+    """kind, n, r, p of Pearson's and Spearman's correlation; r and p are null for under three rows or a constant side."""
+    from tallyglass.operators.ranks import average_rank
+
+    some = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    found = average_rank(average_rank(some, "x", name="rx"), "y", name="ry").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")).first()
+    rows = []
+    for kind in ("pearson", "spearman"):
+        r, n = found[kind], found["n"]
+        known = r is not None and r == r and n > 2
+        p = None if not known else 0.0 if abs(r) >= 1 else special.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+        rows.append((kind, n, float(r) if known else None, p))
+    return df.sparkSession.createDataFrame(rows, "kind string, n long, r double, p double")
+
+
+def forest_filter(df: DataFrame, held_out: DataFrame, features: list[str], label: str, trees: int = 50) -> DataFrame:
+    """name, value: the recall and false positive rate of a random forest on rows it has not seen, and each feature's importance."""
+    ready = lambda d: VectorAssembler(inputCols=features, outputCol="features").transform(d.dropna(subset=[*features, label])).select("features", F.col(label).cast("double").alias("label"))
+    model = RandomForestClassifier(numTrees=trees, seed=7).fit(ready(df))
+    share = lambda y: F.avg(F.when(F.col("label") == y, F.col("prediction")))
+    found = model.transform(ready(held_out)).agg(share(1).alias("recall"), share(0).alias("false_positive_rate")).first()
+    rows = [("recall", found["recall"]), ("false_positive_rate", found["false_positive_rate"]), *[(f"importance {f}", float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]]
+    return df.sparkSession.createDataFrame([(n, None if v is None else float(v)) for n, v in rows], "name string, value double")
+
+
 def cross_validated_filter(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5) -> DataFrame:
     """fold, precision, recall, f1, false_positive_rate of a logistic filter on folds stratified by class."""
     fold = (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)) - 1) % folds

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
@@ -15,36 +15,62 @@ def average_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> Dat
     return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0))
 
 
+def before(counts: DataFrame, by: str, order: str, *values: str) -> DataFrame:
+    """counts with before_<value> for each of ``values``: its sum over the group's rows of smaller ``order`` (a finite double).
+
+    Rows are summed within bands of the order, and the bands' sums are added up, so no task holds a whole group.
+    """
+    band = F.floor(F.asinh(F.col(order) * 1000) * 64)
+    c = counts.withColumn("_band", band)
+    sums = c.groupBy(by, "_band").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    earlier = Window.partitionBy(by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(by, "_band", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    inner = Window.partitionBy(by, "_band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = c.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"before_{v}") for v in values])
+    return local.join(offsets, [by, "_band"]).select(*counts.columns, *[(F.col(f"before_{v}") + F.col(f"_{v}")).alias(f"before_{v}") for v in values])
+
+
+def score_counts(att: DataFrame, by: str) -> DataFrame:
+    """by, s (the score -nll), d and c: how many trained and control attempts have it. Null and NaN scores are dropped."""
+    s = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").withColumn("s", -F.col("final_target_nll"))
+    return s.groupBy(by, "s").agg(F.count_if(F.col("target_membership") == "trained").alias("d"), F.count_if(F.col("target_membership") == "control").alias("c"))
+
+
 def auc(att: DataFrame, by: str = "field") -> DataFrame:
-    """Mann-Whitney AUC of the score -nll for trained against control. Distinct scores are counted before they are ranked."""
-    scored = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)")
-    counts = scored.groupBy(by, F.col("final_target_nll").alias("nll")).agg(F.count_if(F.col("target_membership") == "trained").alias("d"), F.count_if(F.col("target_membership") == "control").alias("c"))
-    w = Window.partitionBy(by).orderBy(F.desc("nll")).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    out = below.groupBy(by).agg(F.sum(F.col("d") * (2 * F.col("below") + F.col("c"))).alias("twice"), F.sum("d").alias("n_d"), F.sum("c").alias("n_c"))
+    """Mann-Whitney AUC of the score -nll for trained against control, from counts of distinct scores."""
+    out = before(score_counts(att, by), by, "s", "c").groupBy(by).agg(F.sum(F.col("d") * (2 * F.col("before_c") + F.col("c"))).alias("twice"), F.sum("d").alias("n_d"), F.sum("c").alias("n_c"))
     return out.select(by, "n_d", "n_c", r9(ratio(F.col("twice"), 2 * F.col("n_d") * F.col("n_c"))).alias("auc"))
 
 
+def _shares_from(counts: DataFrame, place: Column, by: str) -> DataFrame:
+    """by, n_c, cut (the control score at the 0-based ``place`` in ascending order, an expression of n_c), tpr and fpr: shares at or above it."""
+    sizes = counts.groupBy(by).agg(F.sum("c").alias("n_c"), F.sum("d").alias("n_d"))
+    ranked = before(counts, by, "s", "c").join(sizes, by).withColumn("place", place)
+    cut = F.min(F.when((F.col("c") > 0) & (F.col("place") >= 0) & (F.col("before_c") + F.col("c") > F.col("place")), F.col("s")))
+    cuts = ranked.groupBy(by).agg(cut.alias("cut"))
+    met = counts.join(cuts, by)
+    share = lambda arm: ratio(F.sum(F.when(F.col("s") >= F.col("cut"), F.col(arm)).otherwise(0)), F.sum(arm))
+    out = met.groupBy(by).agg(F.sum("c").alias("n_c"), F.first("cut").alias("cut"), share("d").alias("tpr"), share("c").alias("fpr"))
+    known = lambda c: r9(F.when(F.col("cut").isNotNull(), F.col(c))).alias(c)
+    return out.select(by, "n_c", known("cut"), known("tpr"), known("fpr"))
+
+
 def tpr_at_fpr(att: DataFrame, fpr: float, by: str = "field") -> DataFrame:
-    """Share of trained scores above the control scores' (1 - fpr) quantile, the next higher observation."""
-    s = att.where("final_target_nll IS NOT NULL").withColumn("s", -F.col("final_target_nll"))
-    control = s.where("target_membership = 'control'")
-    w = Window.partitionBy(by)
-    at = F.ceil((F.count("*").over(w) - 1) * F.lit(1 - fpr)) + 1
-    cut = control.withColumn("at", at).withColumn("rn", F.row_number().over(w.orderBy("s"))).where("rn = at").select(by, F.col("s").alias("cut"))
-    met = s.join(cut, by)
-    above = F.col("s") > F.col("cut")
-    mean = lambda arm: ratio(F.count_if(above & (F.col("target_membership") == arm)), F.count_if(F.col("target_membership") == arm))
-    return met.groupBy(by).agg(r9(F.first("cut")).alias("cut"), r9(mean("trained")).alias("tpr"), r9(mean("control")).alias("fpr"))
+    """Share of trained scores at or above the control scores' (1 - fpr) quantile, the next higher observation."""
+    return _shares_from(score_counts(att, by), F.ceil((F.col("n_c") - 1) * F.lit(1 - fpr)), by).drop("n_c")
+
+
+def tpr_at_realised_fpr(att: DataFrame, fpr: float, by: str = "field") -> DataFrame:
+    """Share of trained scores at or above the floor(fpr n)-th highest of n control scores, the rate that threshold stands for, and the least rate n scores allow; null where that is above fpr."""
+    j = F.floor(F.lit(fpr) * F.col("n_c"))
+    out = _shares_from(score_counts(att, by), F.when(j >= 1, F.col("n_c") - j).otherwise(-1), by)
+    return out.select(by, "cut", "tpr", r9(F.when(j >= 1, ratio(j, F.col("n_c")))).alias("realised_fpr"), r9(ratio(F.lit(1), F.col("n_c"))).alias("least_fpr"))
 
 
 def inversions(att: DataFrame, by: str = "field") -> DataFrame:
-    """Pairs in which a control has a lower nll than a trained target, and trained targets that the best control beats; by counts, not by pairs."""
-    s = att.where("final_target_nll IS NOT NULL")
-    counts = s.groupBy(by, F.col("final_target_nll").alias("nll")).agg(F.count_if(F.col("target_membership") == "trained").alias("d"), F.count_if(F.col("target_membership") == "control").alias("c"))
-    w = Window.partitionBy(by).orderBy("nll").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("under", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    out = below.groupBy(by).agg(F.sum(F.col("d") * F.col("under")).alias("inverted"), F.sum(F.when(F.col("under") > 0, F.col("d")).otherwise(0)).alias("beaten"), F.sum("d").alias("n_d"), F.sum("c").alias("n_c"))
+    """Pairs in which a control has a lower nll than a trained target, and trained targets that the best control beats; by counts, not by pairs. Null and NaN scores are dropped."""
+    counts = score_counts(att, by).select(by, (-F.col("s")).alias("nll"), "d", "c")
+    out = before(counts, by, "nll", "c").groupBy(by).agg(F.sum(F.col("d") * F.col("before_c")).alias("inverted"), F.sum(F.when(F.col("before_c") > 0, F.col("d")).otherwise(0)).alias("beaten"), F.sum("d").alias("n_d"), F.sum("c").alias("n_c"))
     return out.withColumn("share", r9(ratio(F.col("inverted"), F.col("n_d") * F.col("n_c"))))
 
 

@@ -126,9 +126,10 @@ def crossing(points: DataFrame, rate: str, levels: list[float], log2: bool = Tru
     up = (F.col("y0") < F.col("level")) & (F.col("y") >= F.col("level"))
     at = F.col("x0") + (F.col("level") - F.col("y0")) / (F.col("y") - F.col("y0")) * (F.col("x") - F.col("x0"))
     done = p.groupBy("level").agg(F.min_by("y", "capacity_k").alias("start"), F.min(F.when(up, F.struct("capacity_k", at.alias("at")))).alias("c"))
+    done = points.sparkSession.createDataFrame([(float(x),) for x in levels], "level double").join(done, "level", "left")
     above = F.col("start") >= F.col("level")
     found = F.pow(F.lit(2.0), F.col("c.at")) if log2 else F.col("c.at")
-    return done.select("level", F.when(above, "already_above").when(F.col("c").isNotNull(), "crosses").otherwise("never").alias("status"), r9(F.when(~above, found)).alias("crossing_k"))
+    return done.select("level", F.when(F.col("start").isNull(), "no_data").when(above, "already_above").when(F.col("c").isNotNull(), "crosses").otherwise("never").alias("status"), r9(F.when(~above, found)).alias("crossing_k"))
 
 
 def holm(tests: DataFrame, name: str = "name", p: str = "p") -> DataFrame:

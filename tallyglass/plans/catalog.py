@@ -178,7 +178,7 @@ def auc_by_field(spark, d):
     return ranks.auc(event_attempts(spark, d))
 
 
-@query("""SELECT a.field, round(any_value(cut), 9) AS cut, round(count(*) FILTER (-final_target_nll > cut AND target_membership = 'trained') / (count(*) FILTER (target_membership = 'trained'))::DOUBLE, 9) AS tpr, round(count(*) FILTER (-final_target_nll > cut AND target_membership = 'control') / (count(*) FILTER (target_membership = 'control'))::DOUBLE, 9) AS fpr
+@query("""SELECT a.field, round(any_value(cut), 9) AS cut, round(count(*) FILTER (-final_target_nll >= cut AND target_membership = 'trained') / (count(*) FILTER (target_membership = 'trained'))::DOUBLE, 9) AS tpr, round(count(*) FILTER (-final_target_nll >= cut AND target_membership = 'control') / (count(*) FILTER (target_membership = 'control'))::DOUBLE, 9) AS fpr
   FROM att a JOIN (SELECT field, s AS cut FROM (SELECT field, -final_target_nll AS s, row_number() OVER (PARTITION BY field ORDER BY -final_target_nll) AS rn, count(*) OVER (PARTITION BY field) AS n FROM att WHERE target_membership = 'control') WHERE rn = ceil((n - 1) * 0.9::DOUBLE) + 1) q ON a.field = q.field GROUP BY a.field""")
 def tpr_at_fpr(spark, d):
     return ranks.tpr_at_fpr(event_attempts(spark, d), 0.1)
@@ -310,12 +310,13 @@ def smd_balance(spark, d):
     return matching.smd(_features(spark, d), FEATURES, "treated")
 
 
-@query("SELECT field, n_groups, round((msb - msw) / (msb + (m0 - 1) * msw), 9) AS icc FROM (SELECT field, count(*) AS n_groups, sum(n) / count(*)::DOUBLE AS m0, (sum(h * h / n) - sum(h) ** 2 / sum(n)) / (count(*) - 1) AS msb, (sum(h) - sum(h * h / n)) / (sum(n) - count(*)) AS msw FROM (SELECT field, person_id, sum(hit)::DOUBLE AS h, count(*)::DOUBLE AS n FROM att GROUP BY ALL) GROUP BY field)")
+@query("SELECT field, n_groups, round((msb - msw) / (msb + (m0 - 1) * msw), 9) AS icc, round(between / nullif(p * (1 - p) / total, 0), 9) AS design_effect FROM (SELECT field, var_samp(h / n) / count(*) AS between, sum(h) / sum(n) AS p, sum(n) AS total, count(*) AS n_groups, sum(n) / count(*)::DOUBLE AS m0, (sum(h * h / n) - sum(h) ** 2 / sum(n)) / (count(*) - 1) AS msb, (sum(h) - sum(h * h / n)) / (sum(n) - count(*)) AS msw FROM (SELECT field, person_id, sum(hit)::DOUBLE AS h, count(*)::DOUBLE AS n FROM att GROUP BY ALL) GROUP BY field)")
 def icc_deff(spark, d):
     g = event_attempts(spark, d).groupBy("field", "person_id").agg(F.sum(is_hit()).cast("double").alias("h"), F.count("*").cast("double").alias("n"))
     q = F.sum(F.col("h") * F.col("h") / F.col("n"))
-    m = g.groupBy("field").agg(F.count("*").alias("n_groups"), ratio(F.sum("n"), F.count("*")).alias("m0"), ((q - F.sum("h") ** 2 / F.sum("n")) / (F.count("*") - 1)).alias("msb"), ((F.sum("h") - q) / (F.sum("n") - F.count("*"))).alias("msw"))
-    return m.select("field", "n_groups", r9((F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("m0") - 1) * F.col("msw"))).alias("icc"))
+    m = g.groupBy("field").agg((F.var_samp(F.col("h") / F.col("n")) / F.count("*")).alias("between"), ratio(F.sum("h"), F.sum("n")).alias("p"), F.sum("n").alias("total"), F.count("*").alias("n_groups"), ratio(F.sum("n"), F.count("*")).alias("m0"), ((q - F.sum("h") ** 2 / F.sum("n")) / (F.count("*") - 1)).alias("msb"), ((F.sum("h") - q) / (F.sum("n") - F.count("*"))).alias("msw"))
+    icc = (F.col("msb") - F.col("msw")) / (F.col("msb") + (F.col("m0") - 1) * F.col("msw"))
+    return m.select("field", "n_groups", r9(icc).alias("icc"), r9(F.try_divide("between", F.col("p") * (1 - F.col("p")) / F.col("total"))).alias("design_effect"))
 
 
 @query()
@@ -464,10 +465,10 @@ def weibull_aft(spark, d):
     return survival.slope_interval(t, FORMAL_REPS)
 
 
-@query()
+@query("SELECT capacity_k, round(max(least_), 9) AS rate FROM (SELECT i.capacity_k, a.capacity_k AS a, min(mean) AS least_ FROM curve i JOIN (SELECT a.capacity_k AS a, b.capacity_k AS b, avg(m.rate_c) AS mean FROM curve a JOIN curve b ON b.capacity_k >= a.capacity_k JOIN curve m ON m.capacity_k BETWEEN a.capacity_k AND b.capacity_k GROUP BY ALL) r ON r.a <= i.capacity_k AND r.b >= i.capacity_k JOIN curve a ON a.capacity_k = r.a GROUP BY ALL) GROUP BY 1", (ATT, CURVE))
 def isotonic_curve(spark, d):
     p = rates.curve(event_attempts(spark, d)).where("capacity_k IS NOT NULL").orderBy("capacity_k").collect()
-    y = models.isotonic([r["rate_c"] for r in p], [float(r["n_c"]) for r in p])
+    y = [round(v, 9) for v in models.isotonic([r["rate_c"] for r in p], [1.0] * len(p))]
     return spark.createDataFrame([(r["capacity_k"], float(v)) for r, v in zip(p, y, strict=True)], "capacity_k int, rate double")
 
 

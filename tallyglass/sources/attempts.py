@@ -43,6 +43,25 @@ def write_attempts(rows: DataFrame, folder: str) -> None:
     full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "exp_id", "seed", "capacity_k").parquet(folder)
 
 
+def wide_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_attempts with the columns that gates and report tables read: model, state, probe, experiment, frequency, bits, lengths, budgets, unrelated matches and target strings."""
+    arm, person, event = F.col("target_membership"), F.col("person_id"), F.col("event_id")
+    tier = F.get(F.array(F.lit(1), F.lit(5), F.lit(20)), (F.floor(person / 2) % 3).cast("int"))
+    return event_attempts(spark, sf_dir).select(
+        "*",
+        F.concat(F.lit("m"), (event % 2).cast("string")).alias("model_name"),
+        F.when(event % 50 == 7, "other").otherwise("finetuned").alias("model_state"),
+        F.when(F.col("capacity_k") == 0, "fixed").otherwise("search").alias("probe"),
+        F.when(event % 5 == 0, "E1").otherwise("E3").alias("exp_id"),
+        (event % 41 == 0).alias("random_record_match"),
+        F.when(arm == "control", F.when(event % 500 == 3, 1).otherwise(0)).otherwise(tier).cast("long").alias("train_frequency"),
+        (28 + F.lit(1.5) * (person % 50)).cast("double").alias("bits"),
+        (10 + person % 9).alias("len_tokens"),
+        (100 + event % 50 + F.when(arm == "trained", F.col("capacity_k")).otherwise(0)).alias("forward_passes"),
+        F.concat_ws("|", arm, person.cast("string"), "field").alias("target_string"),
+    )
+
+
 def event_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as attempts: event_id, seed, person_id, field, target_membership, capacity_k, final_target_nll, exact_match."""
     k = F.get_json_object("props", "$.k").cast("int") % len(GRID)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +39,27 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_yaml(path: str) -> dict:
+    """A configuration on the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
+def read_queries(spark: SparkSession, path: str, least: int = 5) -> DataFrame:
+    """Texts of a JSON-lines file of at least ``least`` characters when trimmed; malformed lines are dropped."""
+    return read_jsonl(spark, path, StructType().add("text", "string"), strict=False).where(F.length(F.trim("text")) >= least)
+
+
+def read_documents(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """``text`` of compressed or plain JSON lines: text and content joined where a line has both; at most ``most`` documents (a cap the caller asks for)."""
+    of = lambda k: F.get_json_object("value", f"$.{k}")
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).where("length(trim(value)) > 0")
+    rows = rows.select(F.when(F.col("value").startswith("{"), F.concat_ws("\n", of("text"), of("content"))).otherwise(F.col("value")).alias("text"))
+    return rows if most is None else rows.limit(most)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Every line of every file below path as ``text``: JSON lines by text, content or message, others as they are."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
@@ -68,6 +88,15 @@ def fetch_passages(sources: list[tuple[str, DataFrame]], most: int, banned: tupl
     return rows.orderBy("priority", F.xxhash64("text")).limit(most).drop("priority")
 
 
+def source_counts(passages: DataFrame, filler: str, most_filler: float) -> DataFrame:
+    """source, n, share of fetched passages; raises where more than ``most_filler`` of them are of the source ``filler``."""
+    by = passages.groupBy("source").agg(F.count("*").alias("n"))
+    out = by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("total")))).select("source", "n", (F.col("n") / F.col("total")).alias("share"))
+    if not out.where((F.col("source") == filler) & (F.col("share") > most_filler)).isEmpty():
+        raise ValueError(f"over {most_filler} of the passages are filler")
+    return out
+
+
 def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
@@ -87,20 +116,32 @@ def write_csv(df: DataFrame, folder: str, *order: str, compression: str = "none"
 
 
 def publish(spark: SparkSession, files: dict[str, str], folder: str) -> None:
-    """Writes all texts or none: they are staged beside the folder and moved once complete."""
+    """Writes all texts or none: they are staged beside the folder and moved once complete.
+
+    The last publication stands aside until the new one is in place; where a run broke off between, the next one puts it back first.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    fs, stage = path(folder).getFileSystem(conf), f"{folder}.staged"
-    fs.delete(path(stage), True)
+    here, stage, aside = (path(f"{folder}{x}") for x in ("", ".staged", ".previous"))
+    fs = here.getFileSystem(conf)
+    if fs.exists(aside) and not fs.exists(here):
+        fs.rename(aside, here)
+    fs.delete(aside, True)
+    fs.delete(stage, True)
     try:
         for name, text in files.items():
-            out = fs.create(path(f"{stage}/{name}"), True)
+            out = fs.create(path(stage, name), True)
             out.write(bytearray(text.encode()))
             out.close()
-        fs.delete(path(folder), True)
-        fs.rename(path(stage), path(folder))
+        if fs.exists(here) and not fs.rename(here, aside):
+            raise OSError(f"cannot move {folder}")
+        if not fs.rename(stage, here):
+            if fs.exists(aside):
+                fs.rename(aside, here)
+            raise OSError(f"cannot publish {folder}")
+        fs.delete(aside, True)
     finally:
-        fs.delete(path(stage), True)
+        fs.delete(stage, True)
 
 
 def write_once(spark: SparkSession, text: str, target: str) -> bool:
@@ -120,14 +161,9 @@ def write_once(spark: SparkSession, text: str, target: str) -> bool:
 
 
 def clean(value):
-    """JSON values with NaN and infinities as null."""
-    if isinstance(value, dict):
-        return {str(k): clean(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [clean(v) for v in value]
-    if hasattr(value, "item"):
-        value = value.item()
-    return None if isinstance(value, float) and not math.isfinite(value) else value
+    """What JSON keeps of a value, with NaN and infinities as null."""
+    text = json.dumps(value, default=lambda x: x.item() if hasattr(x, "item") else list(x))
+    return json.loads(text, parse_constant=lambda _: None)
 
 
 def canonical_hash(value, digits: int = 64) -> str:
@@ -138,3 +174,26 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_checksums(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """name and fault (missing or modified) of files that don't hold what ``expected`` (name below path, sha256) says."""
+    name = F.regexp_extract("path", r"^[a-z]+:/*(/.*)$", 1)
+    root = "/" + path.split(":", 1)[-1].strip("/") + "/"
+    found = fingerprints(spark, path).select(F.substr(name, F.lit(len(root) + 1)).alias("name"), F.col("sha256").alias("found"))
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "modified")
+    return expected.join(found, "name", "left").select("name", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def reassembled(chunks: DataFrame, expected: DataFrame) -> DataFrame:
+    """name and ok: whether a file's chunks (name, part, content), joined in order, have the expected bytes and sha256 (name, bytes, sha256). For payloads that fit one row."""
+    whole = chunks.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("c"))
+    joined = F.aggregate("c", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"]))
+    made = whole.select("name", joined.alias("content"))
+    ok = (F.octet_length("content") == F.col("bytes")) & (F.sha2("content", 256) == F.col("sha256"))
+    return expected.join(made, "name", "left").select("name", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def manifest(config: dict, targets: list[tuple[str, str]], **provenance) -> dict:
+    """A run's manifest: the caller's provenance, its configuration with a hash, and a hash of its target set (order doesn't matter)."""
+    return {**provenance, "config": clean(config), "config_sha256": canonical_hash(config), "n_targets": len(targets), "target_subset_hash": canonical_hash(sorted(targets), 16)}

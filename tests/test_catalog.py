@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from tallyglass.plans import catalog
+from tallyglass.plans import audit, catalog
+
+assert audit  # adds its queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
