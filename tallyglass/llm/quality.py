@@ -205,15 +205,16 @@ def score(docs: DataFrame, model: OrdinalModel, least: float = LEAST, id_col: st
 
 def select(docs: DataFrame, model: OrdinalModel, least: float = LEAST, text_col: str = "text") -> DataFrame:
     """The rows of docs whose tail probability is at least ``least``, with their columns; no join, so repeated rows stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array(m.probabilities(m.scores(texts))[:, -1] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def graded(labels: DataFrame) -> DataFrame:
