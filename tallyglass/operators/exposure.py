@@ -1,10 +1,12 @@
 """Which values occur in a corpus, without comparing every value with every document.
 
-Values and documents meet on hashed runs of consecutive words, and only those
-pairs are verified with ``contains``. A value's first and last word may be cut off
-within a longer word of the document, so only its inner words anchor it: up to
-``RUN`` of them. Values of one or two words have none and are searched for in
-every document; callers keep such value sets small.
+Both sides are read as ``functions.text.normalize`` shows them: NFKC, lower case, one
+space for any white space. Values and documents meet on hashed runs of consecutive
+words, and only those pairs are verified with ``contains``. A value's first and last
+word may be cut off within a longer word of the document, so only its inner words
+anchor it: up to ``RUN`` of them. Values of one or two words have none and are searched
+for in every document; there may be at most ``MOST_SHORT`` of them. Numbers are compared
+on their digits alone.
 """
 
 from __future__ import annotations
@@ -12,7 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyglass.functions.text import digits_only, normalize
+
 RUN = 4
+MOST_SHORT = 10_000
+LEAST_DIGITS = 4
+BITS = 1 << 23
 
 
 def _words(c: Column) -> Column:
@@ -20,27 +27,51 @@ def _words(c: Column) -> Column:
 
 
 def _runs(w: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+    made = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+    return F.when(F.size(w) >= size, made).otherwise(F.array().cast("array<long>"))
+
+
+def only_met(docs: DataFrame, doc_id: str, met: DataFrame) -> DataFrame:
+    """The documents that may be among ``met``, by a bitmap of fixed size (1 MB), so that few others are joined."""
+    bit = F.pmod(F.xxhash64(doc_id), F.lit(BITS)) + 1
+    bitmap = met.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = docs.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "_bucket")
+    return held.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
 
 
 def exposed(values: DataFrame, docs: DataFrame, value_id: str, doc_id: str) -> DataFrame:
-    """Pairs (value_id, doc_id) where the document's lower-cased text contains the value's. Null and empty values occur nowhere."""
-    v = values.select(F.col(value_id), F.lower("text").alias("value")).where("length(value) > 0").withColumn("w", _words(F.col("value")))
-    d = docs.select(F.col(doc_id), F.lower("text").alias("body")).where("body IS NOT NULL")
+    """Pairs (value_id, doc_id) where the document holds the value. Null and empty values occur nowhere."""
+    v = values.select(F.col(value_id), normalize(F.col("text")).alias("value")).where("length(value) > 0").withColumn("w", _words(F.col("value")))
+    d = docs.select(F.col(doc_id), normalize(F.col("text")).alias("body")).where("body IS NOT NULL")
     size = F.least(F.lit(RUN), F.size("w") - 2)
     anchored = v.where(F.size("w") > 2).withColumn("size", size).withColumn("anchor", F.xxhash64(F.array_join(F.slice("w", 2, size), " "))).drop("w")
-    found = None
-    words = d.withColumn("w", _words(F.col("body")))
-    for n in sorted(r["size"] for r in anchored.select("size").distinct().collect()):  # at most RUN rows
-        grams = words.where(F.size("w") >= n).select(doc_id, "body", F.explode(F.array_distinct(_runs(F.col("w"), n))).alias("anchor"))
-        met = grams.select(doc_id, "anchor").join(anchored.where(F.col("size") == n).drop("size"), "anchor").select(doc_id, value_id, "value").distinct()
-        part = met.join(d, doc_id).where(F.contains("body", "value")).select(value_id, doc_id)
-        found = part if found is None else found.unionByName(part)
-    short = v.where(F.size("w") <= 2).drop("w")
-    if found is None or not short.isEmpty():
-        direct = d.join(short, F.contains("body", "value")).select(value_id, doc_id)
-        found = direct if found is None else found.unionByName(direct)
-    return found
+    sizes = sorted(r["size"] for r in anchored.select("size").distinct().collect())  # at most RUN rows
+    short = v.where(F.size("w") <= 2).select(value_id, "value")
+    n_short = short.limit(MOST_SHORT + 1).count()
+    if n_short > MOST_SHORT:
+        raise ValueError(f"over {MOST_SHORT} values of one or two words")
+    parts = []
+    if sizes:
+        grams = d.withColumn("w", _words(F.col("body"))).select(doc_id, F.explode(F.array_distinct(F.concat(*[_runs(F.col("w"), n) for n in sizes]))).alias("anchor"))
+        met = grams.join(anchored.select("anchor", value_id), "anchor").select(doc_id, value_id).distinct()
+        parts.append(only_met(d, doc_id, met).join(met, doc_id).join(anchored.select(value_id, "value"), value_id).where(F.contains("body", "value")).select(value_id, doc_id))
+    if n_short or not sizes:
+        parts.append(d.join(F.broadcast(short), F.contains("body", "value")).select(value_id, doc_id))  # checked above
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def exposed_numbers(values: DataFrame, docs: DataFrame, value_id: str, doc_id: str, least: int = LEAST_DIGITS) -> DataFrame:
+    """Pairs (value_id, doc_id) where the document's digits hold the value's, of which there are ``least`` at least. Both meet on equal runs of digits."""
+    v = values.select(F.col(value_id), digits_only(F.col("text")).alias("digits")).where(F.length("digits") >= least).distinct()
+    lengths = [r[0] for r in v.select(F.length("digits").alias("n")).distinct().orderBy("n").limit(65).collect()]
+    if len(lengths) > 64:
+        raise ValueError("numbers of over 64 lengths")
+    d = docs.select(F.col(doc_id), digits_only(F.col("text")).alias("body")).where(F.length("body") >= least)
+    run = lambda n: F.when(F.length("body") >= n, F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substr("body", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    runs = F.array_distinct(F.concat(*[run(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    return d.select(doc_id, F.explode(runs).alias("digits")).join(v, "digits").select(value_id, doc_id).distinct()
 
 
 def unexposed(values: DataFrame, docs: DataFrame, value_id: str, doc_id: str) -> DataFrame:

@@ -9,6 +9,11 @@ from tallyglass.functions.intervals import ratio
 from tallyglass.operators.rates import is_hit, r9
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation, an aggregate; null where either side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
     """1-based ranks, ties at their mean."""
     w = Window.partitionBy(*by)
@@ -16,12 +21,13 @@ def average_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> Dat
 
 
 def before(counts: DataFrame, by: str, order: str, *values: str) -> DataFrame:
-    """counts with before_<value> for each of ``values``: its sum over the group's rows of smaller ``order`` (a finite double).
+    """counts with before_<value> for each of ``values``: its sum over the group's rows of smaller ``order`` (a finite number or a string).
 
     Rows are summed within bands of the order, and the bands' sums are added up, so no task holds a whole group.
     """
-    band = F.floor(F.asinh(F.col(order) * 1000) * 64)
-    c = counts.withColumn("_band", band)
+    x = F.col(order).cast("double")
+    number = F.floor(F.signum(x) * F.log1p(F.abs(x) * 1000) * 64)
+    c = counts.withColumn("_band", F.substring(order, 1, 4) if dict(counts.dtypes)[order] == "string" else number)
     sums = c.groupBy(by, "_band").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     earlier = Window.partitionBy(by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(by, "_band", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
@@ -30,6 +36,13 @@ def before(counts: DataFrame, by: str, order: str, *values: str) -> DataFrame:
     return local.join(offsets, [by, "_band"]).select(*counts.columns, *[(F.col(f"before_{v}") + F.col(f"_{v}")).alias(f"before_{v}") for v in values])
 
 
+def numbered(df: DataFrame, key: str, name: str, *by: str) -> DataFrame:
+    """df with its rows' places from 0 in the order of the key, within ``by``; keys are distinct."""
+    group = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
+    placed = before(df.withColumn("_group", group).withColumn("_one", F.lit(1).cast("long")), "_group", key, "_one")
+    return placed.select(*df.columns, F.col("before__one").alias(name))
+
+
 def score_counts(att: DataFrame, by: str) -> DataFrame:
     """by, s (the score -nll), d and c: how many trained and control attempts have it. Null and NaN scores are dropped."""
     s = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").withColumn("s", -F.col("final_target_nll"))
@@ -76,7 +89,7 @@ def inversions(att: DataFrame, by: str = "field") -> DataFrame:
 
 def spearman(points: DataFrame, x: str, y: str) -> DataFrame:
     ranked = average_rank(average_rank(points, x, name="rx"), y, name="ry")
-    return ranked.agg(F.count("*").alias("n"), r9(F.corr("rx", "ry")).alias("rho"))
+    return ranked.agg(F.count("*").alias("n"), r9(correlation("rx", "ry")).alias("rho"))
 
 
 def paired(att: DataFrame, first_k: int, second_k: int) -> DataFrame:

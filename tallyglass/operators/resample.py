@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
+from tallyglass.operators.ranks import numbered
 from tallyglass.operators.rates import is_hit, r9
 
 
 def draws(persons: DataFrame, reps: int, arm: str = "target_membership", person: str = "person_id") -> DataFrame:
     """rep, arm, person, w: in each replicate as many draws with replacement as the arm has persons."""
-    ranked = persons.select(arm, person).distinct().withColumn("i", F.row_number().over(Window.partitionBy(arm).orderBy(person)) - 1)
+    ranked = numbered(persons.select(arm, person).distinct(), person, "i", arm)
     size = ranked.groupBy(arm).agg(F.count("*").alias("size"))
     each = ranked.join(F.broadcast(size), arm).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     key = F.concat_ws("|", F.col(arm), F.col("rep").cast("string"), F.col("i").cast("string"))

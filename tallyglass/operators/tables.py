@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
+from tallyglass.operators.ranks import correlation
 from tallyglass.operators.rates import is_hit, r9
 
 
@@ -49,7 +50,7 @@ def convergence(att: DataFrame, iteration: str) -> DataFrame:
 def copy_onset(kmins: DataFrame) -> DataFrame:
     """Per arm and field, over targets that were hit: medians of k_min and of the target's length, and their correlation (null where lengths don't vary)."""
     hit = kmins.where("upper_k IS NOT NULL").withColumn("k", F.col("upper_k").cast("double")).withColumn("len", F.col("len_tokens").cast("double"))
-    corr = F.when((F.countDistinct("len") > 1) & (F.countDistinct("k") > 1), F.corr("k", "len"))
+    corr = correlation("k", "len")
     return hit.groupBy("target_membership", "field").agg(F.count("*").alias("n"), r9(F.median("k")).alias("median_k"), r9(F.median("len")).alias("median_len"), r9(corr).alias("corr"))
 
 

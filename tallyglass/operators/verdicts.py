@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
-from tallyglass.operators.ranks import average_rank
+from tallyglass.operators.ranks import average_rank, correlation
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.operators.resample import draws, percentile_ci, replicates
 
@@ -93,8 +93,7 @@ def rank_trend(reps: DataFrame, value: str = "rate") -> DataFrame:
     """rep, rho: Spearman's correlation of capacity and value within each replicate; null where either is constant."""
     p = reps.where("capacity_k > 0")
     ranked = average_rank(average_rank(p, "capacity_k", "rep", name="rx"), value, "rep", name="ry")
-    varies = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return ranked.groupBy("rep").agg(F.when(varies, F.corr("rx", "ry")).alias("rho"))
+    return ranked.groupBy("rep").agg(correlation("rx", "ry").alias("rho"))
 
 
 def quadratic_weights(grid: list[int]) -> dict[int, float]:

@@ -213,8 +213,8 @@ def mcnemar_counts(spark, d):
   JOIN (SELECT person_id, row_number() OVER (ORDER BY person_id) AS rn FROM (SELECT DISTINCT person_id FROM att WHERE target_membership = 'control')) b USING (rn)""")
 def positional_pairs(spark, d):
     att = event_attempts(spark, d)
-    side = lambda arm, name: att.where(F.col("target_membership") == arm).select(F.col("person_id").alias(name)).distinct().withColumn("pair", F.row_number().over(Window.orderBy(name)).cast("long"))
-    return side("trained", "trained").join(side("control", "control"), "pair")
+    side = lambda arm: ranks.numbered(att.where(F.col("target_membership") == arm).select(F.col("person_id").alias(arm)).distinct(), arm, "place")
+    return side("trained").join(side("control"), "place").select((F.col("place") + 1).alias("pair"), "trained", "control")
 
 
 # ---- resampling --------------------------------------------------------------------
@@ -241,7 +241,7 @@ def bootstrap_curve_ci_hash(spark, d):
 @query("SELECT person_id FROM (SELECT person_id, row_number() OVER (ORDER BY person_id) - 1 AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT person_id FROM att)) WHERE rn IN (SELECT round_even(i * ((SELECT count(DISTINCT person_id) FROM att) - 1) / 19.0::DOUBLE, 0)::BIGINT FROM range(20) t(i))")
 def even_subset(spark, d):
     p = event_attempts(spark, d).select("person_id").distinct()
-    ranked = p.withColumn("rn", F.row_number().over(Window.orderBy("person_id")) - 1)
+    ranked = ranks.numbered(p, "person_id", "rn")
     size = p.agg(F.count("*").alias("size"))
     places = spark.range(20).crossJoin(F.broadcast(size)).select(F.bround(F.col("id") * (F.col("size") - 1) / F.lit(19.0)).cast("int").alias("rn")).distinct()
     return ranked.join(F.broadcast(places), "rn", "left_semi").select("person_id")
@@ -332,16 +332,22 @@ def greedy_match(spark, d):
 # ---- text -------------------------------------------------------------------------------
 
 
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))", ())
+@query(r"SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')))", ())
 def benchmark_exposure(spark, d):
     return exposure.exposed(_table(spark, d, "benchmark"), _table(spark, d, "documents"), "item_id", "doc_id")
 
 
-@query("SELECT item_id, text FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))", ())
+@query(r"SELECT item_id, text FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\s+', ' ', 'g'))))", ())
 def unexposed_controls(spark, d):
     return exposure.unexposed(_table(spark, d, "benchmark"), _table(spark, d, "documents"), "item_id", "doc_id")
 
 
+@query("SELECT c_custkey, doc_id FROM (SELECT c_custkey, (1000 + c_custkey)::VARCHAR AS v FROM customer WHERE c_custkey % 7 = 0), (SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS body FROM documents) WHERE contains(body, v)", ())
+def number_exposure(spark, d):
+    numbers = _table(spark, d, "customer").where("c_custkey % 7 = 0").select("c_custkey", F.format_string("no. %s", 1000 + F.col("c_custkey")).alias("text"))
+    return exposure.exposed_numbers(numbers, _table(spark, d, "documents"), "c_custkey", "doc_id")
+
+
 ASCII_PII = {"ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "card": r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}"}
 
 
@@ -526,13 +532,13 @@ def cohen_d(spark, d):
     return event_attempts(spark, d).groupBy("field").agg(r9((F.avg(t) - F.avg(c)) / F.sqrt(pooled)).alias("d"))
 
 
-@query("SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id) - 1 AS others FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))", ())
+@query(r"SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id) - 1 AS others FROM documents JOIN benchmark ON contains(trim(regexp_replace(lower(documents.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(benchmark.text), '\s+', ' ', 'g')))", ())
 def random_record_match(spark, d):
     pairs = exposure.exposed(_table(spark, d, "benchmark"), _table(spark, d, "documents"), "item_id", "doc_id")
     return pairs.select("doc_id", "item_id", (F.count("*").over(Window.partitionBy("doc_id")) - 1).alias("others"))
 
 
-@query("SELECT max(n) AS multiplicity, count(*) AS n_docs FROM (SELECT doc_id, count(*) AS n FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY doc_id)", ())
+@query(r"SELECT max(n) AS multiplicity, count(*) AS n_docs FROM (SELECT doc_id, count(*) AS n FROM documents JOIN benchmark ON contains(trim(regexp_replace(lower(documents.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(benchmark.text), '\s+', ' ', 'g'))) GROUP BY doc_id)", ())
 def empirical_multiplicity(spark, d):
     n = exposure.exposed(_table(spark, d, "benchmark"), _table(spark, d, "documents"), "item_id", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     return n.agg(F.max("n").alias("multiplicity"), F.count("*").alias("n_docs"))
@@ -586,7 +592,8 @@ def bootstrap_pair_ci_hash(spark, d):
 
 def _pair_ci(spark, d, reps):
     att = event_attempts(spark, d)
-    sums = att.groupBy("target_membership", "person_id").agg(F.sum(is_hit()).alias("h"), F.count("*").alias("n")).withColumn("pair", F.row_number().over(Window.partitionBy("target_membership").orderBy("person_id")) - 1)
+    sums = att.groupBy("target_membership", "person_id").agg(F.sum(is_hit()).alias("h"), F.count("*").alias("n"))
+    sums = ranks.numbered(sums, "person_id", "pair", "target_membership")
     side = lambda arm, x: sums.where(F.col("target_membership") == arm).select("pair", F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
     pairs = side("trained", "d").join(side("control", "c"), "pair")
     w = resample.draws(pairs.select(F.lit("pair").alias("arm"), "pair"), reps, "arm", "pair").select("rep", "pair", "w")
