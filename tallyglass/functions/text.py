@@ -114,15 +114,46 @@ def zlib_ratio(s: pd.Series) -> pd.Series:
 
 
 def common_length(a: str | None, b: str | None) -> int:
-    """Length of the longest common substring."""
+    """Length of the longest common substring, in time that follows the sum of both lengths.
+
+    The shorter text's suffix automaton reads the longer one, falling back to shorter suffixes where it can't go on.
+    """
     if not a or not b:
         return 0
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else 0
-            best = max(best, row[j])
+    if len(a) > len(b):
+        a, b = b, a
+    size, link, edges = [0], [-1], [{}]
+    end = 0
+    for c in a:
+        new, at = len(size), end
+        size.append(size[end] + 1)
+        link.append(0)
+        edges.append({})
+        while at >= 0 and c not in edges[at]:
+            edges[at][c] = new
+            at = link[at]
+        if at >= 0:
+            old = edges[at][c]
+            if size[old] == size[at] + 1:
+                link[new] = old
+            else:
+                split = len(size)
+                size.append(size[at] + 1)
+                link.append(link[old])
+                edges.append(dict(edges[old]))
+                while at >= 0 and edges[at].get(c) == old:
+                    edges[at][c] = split
+                    at = link[at]
+                link[old] = link[new] = split
+        end = new
+    best = at = run = 0
+    for c in b:
+        while at and c not in edges[at]:
+            at = link[at]
+            run = size[at]
+        if c in edges[at]:
+            at, run = edges[at][c], run + 1
+            best = max(best, run)
     return best
 
 

@@ -62,11 +62,12 @@ def scale_groups(groups: dict[int, int], n: int) -> dict[int, int]:
 def documents(persons: DataFrame, groups: dict[int, int], templates: list[str] = TEMPLATES) -> DataFrame:
     """person id, frequency, template, text: each person's documents, as many as their group's frequency."""
     upto, frequency = 0, F.lit(None).cast("int")
-    rank = F.col("id") - F.min("id").over(Window.partitionBy())
+    first = persons.agg(F.min("id").alias("_first"))
+    rank = F.col("id") - F.col("_first")
     for f, count in groups.items():
         frequency = F.when((rank >= upto) & (rank < upto + count), f).otherwise(frequency)
         upto += count
-    each = persons.withColumn("frequency", frequency).where("frequency > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("frequency"))))
+    each = persons.crossJoin(F.broadcast(first)).withColumn("frequency", frequency).where("frequency > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("frequency"))))
     chosen = F.pmod(F.col("id") + F.col("copy"), F.lit(len(templates)))
     text = F.lit(None).cast("string")
     for i, t in enumerate(templates):

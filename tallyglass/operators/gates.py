@@ -61,6 +61,20 @@ def invariants(manifests: DataFrame, paths: list[str]) -> DataFrame:
     return out.withColumn("ok", F.expr("n_values = 1 AND n_missing = 0 AND n_null = 0"))
 
 
+def constants(manifests: DataFrame, wanted: dict) -> DataFrame:
+    """path, violations: manifests that don't hold the wanted JSON value at the path."""
+    shown = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    expected = F.create_map(*[F.lit(x) for p, v in wanted.items() for x in (p, shown(v))])
+    return values_at(manifests, list(wanted)).groupBy("path").agg(F.count_if(F.col("value") != expected[F.col("path")]).alias("violations"))
+
+
+def stale_hashes(manifests: DataFrame, config: str = "config", digest: str = "config_sha256") -> DataFrame:
+    """Manifests whose hash isn't that of the canonical JSON of their configuration."""
+    at = _at_paths("manifest", F.array(F.lit(config), F.lit(digest)))
+    both = manifests.withColumn("_at", at)
+    return both.where(F.concat(F.lit('"'), F.sha2(F.col("_at")[0], 256), F.lit('"')) != F.col("_at")[1]).drop("_at")
+
+
 def varying(manifests: DataFrame, paths: list[str]) -> DataFrame:
     """Provenance paths that don't have one value across all manifests; a missing key and null are different values."""
     return invariants(manifests, paths).where("n_values > 1").select("path", "n_values")

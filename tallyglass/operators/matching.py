@@ -45,6 +45,13 @@ def smd(df: DataFrame, features: list[str], treated: str) -> DataFrame:
     return m.select("feature", r9(d).alias("smd"), (F.abs(d) <= 0.1).alias("balanced"))
 
 
+def paired_smd(pairs: DataFrame, features: dict[str, tuple[str, str]]) -> DataFrame:
+    """feature, n, smd of matched pairs: the mean difference by the differences' sample deviation. features: name -> (treated column, control column)."""
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(a) - F.col(b)).cast("double").alias("gap")) for f, (a, b) in features.items()])
+    by = pairs.select(F.explode(each).alias("s")).select("s.*").dropna().groupBy("feature")
+    return by.agg(F.count("*").alias("n"), r9(F.try_divide(F.avg("gap"), F.stddev_samp("gap"))).alias("smd"))
+
+
 def assign(cost: np.ndarray) -> list[int]:
     """Column of each row in the cheapest one-to-one assignment (rows <= columns)."""
     return assign_rows(*cost.shape, cost.__getitem__)

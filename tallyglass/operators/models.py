@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions import special
@@ -77,6 +77,11 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "kind string, n long, r double, p double")
 
 
+def top_terms(fitted: DataFrame, n: int) -> DataFrame:
+    """The n terms of largest coefficient, whatever their sign, without the intercept; ties by name."""
+    return fitted.where("term <> 'intercept'").orderBy(F.desc(F.abs("coefficient")), "term").limit(n)
+
+
 def forest_filter(df: DataFrame, held_out: DataFrame, features: list[str], label: str, trees: int = 50) -> DataFrame:
     """name, value: the recall and false positive rate of a random forest on rows it has not seen, and each feature's importance."""
     ready = lambda d: VectorAssembler(inputCols=features, outputCol="features").transform(d.dropna(subset=[*features, label])).select("features", F.col(label).cast("double").alias("label"))
@@ -88,8 +93,8 @@ def forest_filter(df: DataFrame, held_out: DataFrame, features: list[str], label
 
 
 def cross_validated_filter(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5) -> DataFrame:
-    """fold, precision, recall, f1, false_positive_rate of a logistic filter on folds stratified by class."""
-    fold = (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)) - 1) % folds
+    """fold, precision, recall, f1, false_positive_rate of a logistic filter; folds are dealt by the hash of class and key, so each class is spread over all."""
+    fold = F.pmod(F.xxhash64(label, key), F.lit(folds))
     data = df.dropna(subset=[*features, label]).withColumn("fold", fold)
     data = VectorAssembler(inputCols=features, outputCol="raw").transform(data).select("fold", "raw", F.col(label).cast("double").alias("label")).persist()
     out = []

@@ -58,8 +58,14 @@ def fit(h: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray | None =
     return theta, value
 
 
+MOST_TARGETS = 1_000_000  # they go to every task
+
+
 def bootstrap_slopes(targets: DataFrame, reps: int, family: str = "weibull", person: str = "person_id") -> DataFrame:
     """rep, slope of refits with persons drawn again; the targets (few) go to every task, replicates are dealt out."""
+    n = targets.count()
+    if n > MOST_TARGETS:
+        raise ValueError(f"{n} targets, over {MOST_TARGETS}")
     pdf = targets.select(person, "h", "low", "high").toPandas()
     spark = targets.sparkSession
     shared = spark.sparkContext.broadcast(pdf)

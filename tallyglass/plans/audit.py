@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.functions import features, strings
-from tallyglass.functions.intervals import ratio
-from tallyglass.operators import corpus, gates, models, nested, ranks, rates, resample, shards, tables, verdicts
+from tallyglass.functions import features, special, strings
+from tallyglass.functions.intervals import Z95, ratio, wilson
+from tallyglass.operators import corpus, gates, matching, models, nested, ranks, rates, resample, shards, survival, tables, verdicts
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.plans.catalog import ASCII_PII, ATT, BY_REP, CURVE, DRAWS, KMIN, PAIRED, REPS, _table, query
 from tallyglass.sources.attempts import GRID, event_attempts, wide_attempts
@@ -449,6 +449,45 @@ def curve_verdicts(spark, d):
     return verdicts.curve_verdicts(event_attempts(spark, d), 2_000, GRID, 20)
 
 
+@query("SELECT target_membership, field, round(rate, 9) AS rate, persons, CASE WHEN rate = 0 THEN 0.0 WHEN rate = 1 THEN round(0.025::DOUBLE ** (1.0::DOUBLE / persons), 9) ELSE lo END AS lo, CASE WHEN rate = 0 THEN round(1 - 0.025::DOUBLE ** (1.0::DOUBLE / persons), 9) WHEN rate = 1 THEN 1.0 ELSE hi END AS hi, CASE WHEN rate IN (0, 1) THEN 'exact' ELSE 'bootstrap' END AS method FROM (SELECT target_membership, field, sum(hit) / count(*)::DOUBLE AS rate, count(DISTINCT person_id) AS persons FROM att GROUP BY ALL) JOIN (SELECT target_membership, field, " + CI.format("rate") + " FROM reps GROUP BY ALL) USING (target_membership, field)", (ATT, DRAWS, BY_REP.format(k=", field")))
+def per_field_ci_hash(spark, d):
+    return verdicts.cluster_rate_ci(event_attempts(spark, d), REPS, "field")
+
+
+@query("SELECT n, b, c, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE))) FROM range(0, least(b, c) + 1) t(i))), 9) AS p FROM (SELECT (b + c)::DOUBLE AS n, b, c FROM (SELECT count(*) FILTER (x = 1 AND y = 0) AS b, count(*) FILTER (x = 0 AND y = 1) AS c FROM pairs))", (ATT, PAIRED))
+def mcnemar_exact(spark, d):
+    r = ranks.discordant(ranks.paired(event_attempts(spark, d), 8, 16)).first()
+    p = special.binomial_two_sided_half(r["b"], r["b"] + r["c"])
+    return spark.createDataFrame([(float(r["b"] + r["c"]), r["b"], r["c"], round(p, 9))], "n double, b long, c long, p double")
+
+
+@query("SELECT capacity_k, round(greatest(0, m - h), 9) AS lo, round(least(1, m + h), 9) AS hi FROM (SELECT capacity_k, (p + z * z / (2 * e)) / (1 + z * z / e) AS m, z / (1 + z * z / e) * sqrt(p * (1 - p) / e + z * z / (4 * e * e)) AS h FROM (SELECT capacity_k, sum(hit) / count(*)::DOUBLE AS p, count(*) / 1.5::DOUBLE AS e, " + repr(Z95) + "::DOUBLE AS z FROM att WHERE target_membership = 'control' GROUP BY 1))")
+def wilson_effective_n(spark, d):
+    by = event_attempts(spark, d).where("target_membership = 'control'").groupBy("capacity_k").agg(ratio(F.sum(is_hit()), F.count("*")).alias("p"), (F.count("*") / F.lit(1.5)).alias("e"))
+    lo, hi = wilson(F.col("p"), F.col("e"))
+    return by.select("capacity_k", r9(lo).alias("lo"), r9(hi).alias("hi"))
+
+
+@query("SELECT 'balance' AS feature, count(*) AS n, round(avg(a.c_acctbal - b.c_acctbal) / stddev_samp(a.c_acctbal - b.c_acctbal), 9) AS smd FROM customer a JOIN customer b ON a.c_custkey % 2 = 0 AND b.c_custkey = a.c_custkey + 1", ())
+def paired_balance(spark, d):
+    c = _table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 2).alias("pair"), (F.col("c_custkey") % 2).alias("side"), "c_acctbal")
+    side = lambda i, name: c.where(F.col("side") == i).select("pair", F.col("c_acctbal").alias(name))
+    return matching.paired_smd(side(0, "a").join(side(1, "b"), "pair"), {"balance": ("a", "b")})
+
+
+@query()
+def lognormal_aft(spark, d):
+    k = rates.kmin(event_attempts(spark, d), GRID).where("target_membership = 'control'")
+    t = k.select("person_id", (28 + F.lit(1.5) * (F.col("person_id") % 50)).alias("h"), F.col("lower_k").cast("double").alias("low"), F.coalesce(F.col("upper_k").cast("double"), F.lit(float("inf"))).alias("high"))
+    return survival.slope_interval(t, 1_000, "lognormal")
+
+
+@query()
+def top_predictors(spark, d):
+    x = wide_attempts(spark, d).select(is_hit().cast("double").alias("hit"), F.log1p(F.col("capacity_k").cast("double")).alias("log_k"), F.col("len_tokens").cast("double").alias("len_tokens"), F.log1p(F.col("train_frequency").cast("double")).alias("log_frequency"))
+    return models.top_terms(models.logit(x, ["log_k", "len_tokens", "log_frequency"], "hit"), 2)
+
+
 # ---- models -----------------------------------------------------------------------------------
 
 

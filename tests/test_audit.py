@@ -54,6 +54,15 @@ def test_missing_keys_and_null_are_different(spark):
     assert [r.path for r in gates.varying(df, ["a", "c"]).collect()] == ["a"]
 
 
+def test_manifest_constants_and_config_hash(spark):
+    from tallyglass.sources.files import manifest
+
+    sound, bad = manifest({"k": [1, 2]}, [], gpu="A"), manifest({"k": [1]}, [], gpu="B") | {"config_sha256": "0"}
+    df = spark.createDataFrame([(json.dumps(x),) for x in (sound, bad)], "manifest string")
+    assert {r.path: r.violations for r in gates.constants(df, {"gpu": "A", "n_targets": 0, "config.k": [1, 2]}).collect()} == {"gpu": 1, "n_targets": 0, "config.k": 1}
+    assert gates.stale_hashes(df).count() == 1 and gates.stale_hashes(df.limit(1)).count() == 0
+
+
 def test_coordinates(spark):
     df = spark.createDataFrame([(json.dumps({"shard": {"seed": s, "capacity_k": k}}),) for s, k in ((1, 0), (1, 0), (1, 2), (2, 0))], "manifest string")
     assert {tuple(r) for r in gates.coordinates(df, [1], [0, 4]).collect()} == {(1, 0, "duplicate"), (1, 2, "extra"), (1, 4, "missing"), (2, 0, "extra")}
@@ -274,7 +283,7 @@ def test_replicate_statistics(spark):
     assert {r.rep: r.rho for r in verdicts.rank_trend(reps).collect()} == {0: pytest.approx(0.8), 1: None}
     peak = {r.rep: (r.earliest, r.latest, r.ties) for r in verdicts.peaks(reps.withColumnRenamed("rate", "tau"), [1, 2, 4, 8]).collect()}
     assert peak == {0: (8, 8, 1), 1: (1, 8, 4)}
-    assert {(r.rep, r.k) for r in verdicts.crossing_replicates(reps, [0.3]).collect()} == {(0, pytest.approx(2**0.5)), (1, None)}
+    assert {r.rep: r.k for r in verdicts.crossing_replicates(reps, [0.3]).collect()} == {0: pytest.approx(2**0.5), 1: None}
     draws = spark.createDataFrame([(float(x),) for x in (0.1, 0.2, 0.3, 0.6)], "x double")
     assert draws.agg(verdicts.centred_p(draws, "x", 0.25)).first()[0] == pytest.approx(2 / 5)
 
