@@ -39,7 +39,7 @@ from tallyglass.llm.storage import discard, settle
 
 BITS = 18
 SAMPLE = 12_000
-MOST = 16_000_000
+MOST = 6_000_000
 RARE = 0.003  # of the sample's documents, and at least 3
 DAMPING = 0.5
 LEAST = 0.65
@@ -174,17 +174,22 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str
 
     made = settle(held.mapInPandas(run, "doc_id long, rating int, index binary, value binary"))
     sizes = made.select("doc_id", F.octet_length("index").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    first = sizes["doc_id"][sizes["size"].cumsum() <= 4 * MOST].tolist()
-    got = made.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in first], "doc_id long")), "doc_id").toPandas()
+    sizes = sizes[sizes["size"].cumsum() <= 4 * MOST].sort_values("doc_id")
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in sizes["doc_id"].tolist()], "doc_id long")
+    counts = sizes["size"].to_numpy(int) // 4
+    index, value = np.empty(counts.sum(), np.int32), np.empty(counts.sum(), np.float32)
+    rated, at = np.empty(len(counts), int), 0
+    # one partition at a time, straight into the arrays that the fit reads
+    for i, row in enumerate(made.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").toLocalIterator()):
+        index[at : at + counts[i]] = np.frombuffer(row["index"], "<i4")
+        value[at : at + counts[i]] = np.frombuffer(row["value"], "<f4")
+        rated[i], at = row["rating"], at + counts[i]
     discard(made)
-    got = got.sort_values("doc_id", kind="stable")
-    index = np.frombuffer(b"".join(got["index"]), "<i4")
-    value = np.frombuffer(b"".join(got["value"]), "<f4")
-    counts, rated = got["index"].map(len).to_numpy(int) // 4, got["rating"].to_numpy(int)
     if len(set(rated.tolist())) < 2:
         return fit(index, value, counts, rated)
-    scale = scales(index, counts, rated)
-    model = fit(index, value * scale[index], counts, rated)
+    scale = scales(index, counts, rated).astype(np.float32)
+    value *= scale[index]
+    model = fit(index, value, counts, rated)
     model.weights = (model.weights * scale).astype(np.float32)
     return model
 
