@@ -73,7 +73,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rolled = F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda p: _gram(F.col("w"), p))
     # the first entry stands for the text itself, so that texts without hits stay
     grams = F.concat(F.array(F.lit(0).cast("long")), F.when(F.size("w") >= GRAM, rolled).otherwise(F.array().cast("array<long>")))
-    rolling = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(grams).alias("p", "gram"))
+    # the words are dropped before their grams become rows, or each row would carry them all
+    rolled = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), grams.alias("grams"))
+    rolling = rolled.select("row", "doc_id", "n_words", F.posexplode("grams").alias("p", "gram"))
     known = templates(spark).unionByName(spark.createDataFrame([(-1, None, False, 1, 0, 0)], "template int, label string, is_phrase boolean, grams int, t int, gram long"))
     hits = rolling.join(F.broadcast(known), "gram").where("template >= 0 OR p = 0").withColumn("p", F.col("p") - 1)
     one = ["row", "doc_id", "n_words", "template", "label", "is_phrase", "grams"]
