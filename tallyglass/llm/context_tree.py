@@ -13,11 +13,13 @@ the mixture of all depths.
 Nothing that grows with the corpus reaches the driver or is broadcast. Texts are
 dealt into groups of about ``GROUP_BYTES``. A group sends the distinct grams
 (context and byte) it holds, with their training counts, to the owner of the
-gram's two nearest context bytes (32 to ``MOST_OWNERS`` owners); the owner merges the groups' counts, builds
-all nodes of depth two and more, and answers every group with the log
-probability of each of its grams. Depths zero and one are summed from the
-owners, at most 256 x 255 rows, and broadcast. Counts of words, for the baseline,
-travel the same way by the hash of the word.
+gram's two nearest context bytes (32 to ``MOST_OWNERS`` owners); the owner merges the
+groups' counts, builds all nodes of depth two and more, and answers every group
+with the log probability of each of its grams. Depths zero and one are summed from
+the owners, at most 256 x 255 rows, and broadcast. Counts of words, for the baseline,
+travel the same way by the hash of the word. Groups and owners read their rows as a
+sorted stream, one table and one batch at a time, so a task's memory follows the
+distinct grams it holds, and neither the number of groups nor of repeated rows.
 
 Cases: a null or empty text is the end alone. A null id is trained on and not
 held out. Repeated rows count each time. With no training texts every decision
@@ -111,30 +113,54 @@ def _owner(kind: int, keys: np.ndarray, owners: int) -> np.ndarray:
     return ((S.mix64(keys >> np.uint64(8 * (DEPTH - 1))) if kind == 0 else keys) % np.uint64(owners)).astype(np.int64)
 
 
-def _count_group(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
-    """What one group sends: kind (0 grams, 1 words), owner, keys and training counts."""
-    rows = []
-    for kind in (0, 1):
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        texts, held = pdf["text"].tolist(), pdf["held_out"].to_numpy(bool)
-        for a, b in S.chunks(texts):
-            found = grams(texts[a:b])
+Parts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _runs(batches, *by: str):
+    """(values of ``by``, rows) of the runs of equal values in batches that are sorted by them; a run may come in parts."""
+    for pdf in batches:
+        if len(pdf):
+            keys = [pdf[c].to_numpy() for c in by]
+            turn = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for low, high in zip([0, *turn.tolist()], [*turn.tolist(), len(pdf)], strict=True):
+                yield tuple(int(k[low]) for k in keys), pdf.iloc[low:high]
+
+
+def _add(parts: Parts, keys: np.ndarray, counts: np.ndarray) -> None:
+    parts.append((keys, counts))
+    if len(parts) > 8:
+        parts[:] = [_merged(parts)]
+
+
+def _count_texts(pdf: pd.DataFrame, parts: tuple[Parts, Parts]) -> None:
+    """Adds the training counts of the grams and words of some texts."""
+    texts, held = pdf["text"].tolist(), pdf["held_out"].to_numpy(bool)
+    for a, b in S.chunks(texts):
+        found = grams(texts[a:b])
+        for kind in (0, 1):
             keys, first = found[2 * kind], found[2 * kind + 1]
             learned = np.repeat(~held[a:b], np.diff(first))
             unique, back = np.unique(keys, return_inverse=True)
-            parts.append((unique, np.bincount(back, learned, len(unique)).astype(np.int64)))
-            if len(parts) > 8:
-                parts = [_merged(parts)]
-        keys, counts = _merged(parts)
+            _add(parts[kind], unique, np.bincount(back, learned, len(unique)).astype(np.int64))
+
+
+def _sent(group: int, parts: tuple[Parts, Parts], owners: int) -> pd.DataFrame:
+    """What one group sends: kind (0 grams, 1 words), owner, keys and training counts."""
+    rows = []
+    for kind in (0, 1):
+        keys, counts = _merged([_NONE, *parts[kind]])
         owner = _owner(kind, keys, owners)
         order = np.argsort(owner, kind="stable")
         cut = np.flatnonzero(np.diff(owner[order])) + 1
         for some in np.split(order, cut):
             if len(some):
-                rows.append((int(pdf["grp"].iloc[0]), kind, int(owner[some[0]]), _pack_keys(keys[some]), _pack(counts[some].astype("<u4"))))
+                rows.append((group, kind, int(owner[some[0]]), _pack_keys(keys[some]), _pack(counts[some].astype("<u8"))))
     return pd.DataFrame(rows, columns=["grp", "kind", "owner", "keys", "counts"])
 
 
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 # ---- the tree -----------------------------------------------------------------
 
 _small = np.array([math.lgamma(i + 0.5) for i in range(4096)])
@@ -259,17 +285,34 @@ def gram_scores(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
 # ---- the distributed passes ---------------------------------------------------
 
 
-def _merge_rows(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    each = [_unpack_keys(x) for x in pdf["keys"]]
-    keys, counts = _merged([(k, _unpack(c, "<u4").astype(np.int64)) for k, c in zip(each, pdf["counts"], strict=True)])
-    return each, keys, counts
+def _merge(batches):
+    """One row for each kind and owner, with the groups' counts summed."""
+    last, parts = None, []
+    for key, rows in _runs(batches, "kind", "owner"):
+        if last is not None and key != last:
+            yield _table(last, parts)
+            parts = []
+        last = key
+        for k, c in zip(rows["keys"], rows["counts"], strict=True):
+            _add(parts, _unpack_keys(k), _unpack(c, "<u8").astype(np.int64))
+    if last is not None:
+        yield _table(last, parts)
+
+
+def _table(key: tuple[int, ...], parts: Parts) -> pd.DataFrame:
+    keys, counts = _merged(parts)
+    return pd.DataFrame([(*key, _pack_keys(keys), _pack(counts.astype("<u8")))], columns=["kind", "owner", "keys", "counts"])
 
 
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, keys, counts = _merge_rows(pdf)
-    if pdf["kind"].iloc[0] == 0:
-        return owner_tops(keys, counts)
-    return pd.DataFrame({"near": [-1], "read": [0], "n0": [int(counts.sum())], "n1": [int((counts > 0).sum())], "weighted": [0.0]})
+def _tops(batches):
+    """Of each owner its depth-two nodes, or of its words (near -1) the sum of counts and how many are above zero."""
+    for pdf in batches:
+        for kind, k, c in zip(pdf["kind"], pdf["keys"], pdf["counts"], strict=True):
+            counts = _unpack(c, "<u8").astype(np.int64)
+            if kind == 0:
+                yield owner_tops(_unpack_keys(k), counts)
+            else:
+                yield pd.DataFrame({"near": [-1], "read": [0], "n0": [int(counts.sum())], "n1": [int((counts > 0).sum())], "weighted": [0.0]})
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,29 +326,64 @@ def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col:
     groups = max(1, math.ceil((size[0] or 0) / GROUP_BYTES))
     dealt = docs.select("doc_id", "text", held, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).alias("grp"))
     owners = min(MOST_OWNERS, max(32, 8 * groups))
-    sent = settle(dealt.groupBy("grp").applyInPandas(lambda pdf: _count_group(pdf, owners), "grp long, kind int, owner long, keys binary, counts binary"))
-    summary = sent.groupBy("kind", "owner").applyInPandas(_summarise, "near long, read long, n0 long, n1 long, weighted double")
+
+    def count(batches):
+        last, parts = None, ([], [])
+        for key, rows in _runs(batches, "grp"):
+            if last is not None and key != last:
+                yield _sent(*last, parts, owners)
+                parts = ([], [])
+            last = key
+            _count_texts(rows, parts)
+        if last is not None:
+            yield _sent(*last, parts, owners)
+
+    sorted_ = lambda df, by, *more: df.repartition(*by).sortWithinPartitions(*by, *more)
+    sent = settle(sorted_(dealt, ["grp"]).select("grp", "text", "held_out").mapInPandas(count, "grp long, kind int, owner long, keys binary, counts binary"))
+    merged = settle(sorted_(sent.drop("grp"), ["kind", "owner"]).mapInPandas(_merge, "kind int, owner long, keys binary, counts binary"))
+    summary = merged.mapInPandas(_tops, "near long, read long, n0 long, n1 long, weighted double")
     rows = summary.groupBy("near", "read").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("weighted")).toPandas()
     words, tops = rows[rows["near"] < 0], rows[rows["near"] >= 0].sort_values(["near", "read"])
     learned = int(size[1] or 0)
     n_train, n_distinct = int(words["n0"].sum()) + learned, int(words["n1"].sum()) + (learned > 0)
     top = docs.sparkSession.sparkContext.broadcast(Top(*(tops[c].to_numpy() for c in ("near", "read", "n0", "n1", "weighted"))))
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        each, keys, counts = _merge_rows(pdf)
-        kind = int(pdf["kind"].iloc[0])
-        values = gram_scores(keys, counts, top.value) if kind == 0 else counts.astype(float)
-        return pd.DataFrame({"grp": pdf["grp"], "kind": kind, "keys": pdf["keys"], "answers": [_pack(values[np.searchsorted(keys, k)].astype("<f4" if kind == 0 else "<f8")) for k in each]})
-
-    answers = sent.groupBy("kind", "owner").applyInPandas(answer, "grp long, kind int, keys binary, answers binary")
-
-    def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        table = []
-        for kind, form in ((0, "<f4"), (1, "<f8")):
-            mine = known[known["kind"] == kind]
-            keys = np.concatenate([np.zeros(0, np.uint64), *map(_unpack_keys, mine["keys"])])
+    def answer(batches):
+        keys = values = None
+        for (kind, _, asks), rows in _runs(batches, "kind", "owner", "asks"):
+            if not asks:  # the owner's table comes first
+                keys, counts = _unpack_keys(rows["keys"].iloc[0]), _unpack(rows["counts"].iloc[0], "<u8").astype(np.int64)
+                values = gram_scores(keys, counts, top.value) if kind == 0 else counts.astype(float)
+                continue
+            yield pd.DataFrame({"grp": rows["grp"], "kind": kind, "keys": rows["keys"], "answers": [_pack(values[np.searchsorted(keys, _unpack_keys(k))]) for k in rows["keys"]]})
+
+    tables = merged.select("kind", "owner", F.lit(0).alias("asks"), F.lit(-1).cast("long").alias("grp"), "keys", "counts")
+    asking = sent.select("kind", "owner", F.lit(1).alias("asks"), "grp", "keys", F.lit(None).cast("binary").alias("counts"))
+    answers = sorted_(tables.unionByName(asking), ["kind", "owner"], "asks").mapInPandas(answer, "grp long, kind int, keys binary, answers binary")
+
+    def known(rows: list[pd.DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys and answers of grams, and of words."""
+        out = []
+        for kind in (0, 1):
+            mine = [r[r["kind"] == kind] for r in rows]
+            keys = np.concatenate([_NONE[0], *(_unpack_keys(k) for r in mine for k in r["keys"])])
             order = np.argsort(keys)
-            table.append((keys[order], np.concatenate([np.zeros(0), *(_unpack(x, form) for x in mine["answers"])])[order]))
+            out.append((keys[order], np.concatenate([np.zeros(0), *(_unpack(x, "<f8") for r in mine for x in r["answers"])])[order]))
+        return out
+
+    def score(batches):
+        last, held, table = None, [], None
+        for (grp, is_text), rows in _runs(batches, "grp", "is_text"):
+            if grp != last:
+                last, held, table = grp, [], None
+            if not is_text:
+                held.append(rows)
+                continue
+            if table is None:  # a group's answers come first
+                table, held = known(held), []
+            yield scored(rows, table)
+
+    def scored(pdf: pd.DataFrame, table: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
         scores, bases, sizes, hits, lengths = [], [], [], [], []
         texts = pdf["text"].tolist()
         whole = n_train + n_distinct + 1
@@ -337,4 +415,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col:
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(score, schema)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    texts = dealt.select("grp", F.lit(1).alias("is_text"), "doc_id", "text", "held_out", F.lit(0).alias("kind"), none("binary", "keys"), none("binary", "answers"))
+    tables = answers.select("grp", F.lit(0).alias("is_text"), none("long", "doc_id"), none("string", "text"), F.lit(False).alias("held_out"), "kind", "keys", "answers")
+    return sorted_(tables.unionByName(texts), ["grp"], "is_text").mapInPandas(score, schema)
