@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions import special
-from tallyglass.operators.ranks import average_rank, correlation
+from tallyglass.operators.ranks import average_rank, correlation, quantiles
 from tallyglass.operators.rates import r9
 
 
@@ -64,7 +64,7 @@ def frequency_response(att: DataFrame, reference: str) -> DataFrame:
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """kind, n, r, p of Pearson's and Spearman's correlation; r and p are null for under three rows or a constant side."""
-    from tallyglass.operators.ranks import average_rank, correlation
+    from tallyglass.operators.ranks import average_rank, correlation, quantiles
 
     some = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     found = average_rank(average_rank(some, "x", name="rx"), "y", name="ry").agg(F.count("*").alias("n"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman")).first()
@@ -113,7 +113,8 @@ def cross_validated_filter(df: DataFrame, features: list[str], label: str, key:
 def threshold_filter(df: DataFrame, score: str, positive: str, fpr: float) -> DataFrame:
     """The (1 - fpr) quantile of finite negative scores, and the shares strictly above it."""
     finite = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    cut = finite.where(~F.col(positive)).agg(F.percentile(F.col(score).cast("double"), F.lit(1 - fpr)).alias("cut"))
+    negatives = finite.where(~F.col(positive)).select(F.lit("all").alias("group"), F.col(score).cast("double").alias("score"))
+    cut = quantiles(negatives, "group", "score", {"cut": 1 - fpr}).select("cut")
     above = F.col(score) > F.col("cut")
     share = lambda p: r9(F.avg(F.when(F.col(positive) == p, above.cast("double"))))
     return finite.crossJoin(F.broadcast(cut)).agg(r9(F.first("cut")).alias("cut"), share(True).alias("recall"), share(False).alias("fpr"))

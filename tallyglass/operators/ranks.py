@@ -43,6 +43,21 @@ def numbered(df: DataFrame, key: str, name: str, *by: str) -> DataFrame:
     return placed.select(*df.columns, F.col("before__one").alias(name))
 
 
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, for each name in ``shares``, the exact quantile of that share, linear between observations; null values are left out.
+
+    Distinct values are counted first and placed by bands, so no task holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    sizes = counts.groupBy(by).agg((F.sum("_n") - 1).alias("_last"))
+    placed = before(counts, by, "_v", "_n").join(sizes, by)
+    upto = F.col("before__n") + F.col("_n")
+    at = lambda place: F.min(F.when(upto > place, F.col("_v")))
+    ends = placed.groupBy(by).agg(F.first("_last").alias("_last"), *[at(f(F.col("_last") * F.lit(p))).alias(f"_{k}{i}") for i, (_, p) in enumerate(shares.items()) for k, f in (("lo", F.floor), ("hi", F.ceil))])
+    part = lambda p: F.col("_last") * F.lit(p) - F.floor(F.col("_last") * F.lit(p))
+    return ends.select(by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(p)).alias(name) for i, (name, p) in enumerate(shares.items())])
+
+
 def score_counts(att: DataFrame, by: str) -> DataFrame:
     """by, s (the score -nll), d and c: how many trained and control attempts have it. Null and NaN scores are dropped."""
     s = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").withColumn("s", -F.col("final_target_nll"))

@@ -159,8 +159,10 @@ def holm_adjust(spark, d):
 
 @query("SELECT target_membership, count(*) AS attempts, count(DISTINCT person_id) AS persons, count(DISTINCT (person_id, field)) AS targets, round(avg(final_target_nll), 9) AS mean_nll, round(median(final_target_nll), 9) AS median_nll, round(quantile_cont(final_target_nll, 0.75) - quantile_cont(final_target_nll, 0.25), 9) AS iqr FROM att GROUP BY ALL")
 def compute_profile(spark, d):
-    q = lambda p: F.percentile("final_target_nll", F.lit(p))
-    return event_attempts(spark, d).groupBy("target_membership").agg(F.count("*").alias("attempts"), F.countDistinct("person_id").alias("persons"), F.countDistinct("person_id", "field").alias("targets"), r9(F.avg("final_target_nll")).alias("mean_nll"), r9(F.median("final_target_nll")).alias("median_nll"), r9(q(0.75) - q(0.25)).alias("iqr"))
+    att = event_attempts(spark, d)
+    spread = ranks.quantiles(att, "target_membership", "final_target_nll", {"q1": 0.25, "median": 0.5, "q3": 0.75}).select("target_membership", r9(F.col("median")).alias("median_nll"), r9(F.col("q3") - F.col("q1")).alias("iqr"))
+    sums = att.groupBy("target_membership").agg(F.count("*").alias("attempts"), F.countDistinct("person_id").alias("persons"), F.countDistinct("person_id", "field").alias("targets"), r9(F.avg("final_target_nll")).alias("mean_nll"))
+    return sums.join(spread, "target_membership")
 
 
 @query("SELECT field, round((sum(hit) FILTER (seed = 1) / (count(*) FILTER (seed = 1))::DOUBLE) / nullif(sum(hit) FILTER (seed = 0) / (count(*) FILTER (seed = 0))::DOUBLE, 0), 9) AS retention FROM att GROUP BY ALL")
@@ -376,17 +378,22 @@ def pii_scan_conversations(spark, d):
     return _pii(spark, d, "conversations", "conv_id", "text")
 
 
-@query()
+def _bank_sql(table, keys, col):
+    """The same in RE2, whose classes and word bounds know ASCII only; equal on texts whose values stand beside ASCII."""
+    return f"SELECT {keys}, " + ", ".join(f"len(regexp_extract_all(coalesce({col}, ''), '{p.replace(chr(39), chr(39) * 2)}'))::BIGINT AS {k}" for k, p in X.SCANNED.items()) + f" FROM {table}"
+
+
+@query(_bank_sql("documents", "doc_id", "text"), ())
 def pii_bank_documents(spark, d):
     return _table(spark, d, "documents").select("doc_id", *X.pii_counts(F.col("text")))
 
 
-@query()
+@query(_bank_sql("pages", "page_id", "html"), ())
 def pii_bank_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", *X.pii_counts(F.col("html")))
 
 
-@query()
+@query(_bank_sql("conversations", "conv_id, turn", "text"), ())
 def pii_bank_conversations(spark, d):
     return _table(spark, d, "conversations").select("conv_id", "turn", *X.pii_counts(F.col("text")))
 
@@ -436,7 +443,9 @@ def field_match_turns(spark, d):
     return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.contains(F.lower("reply"), F.lower(F.split("text", " ")[0])).alias("hit"), number.alias("number_hit"))
 
 
-@query()
+@query(r"""SELECT conv_id, turn, x.field AS field, x.value AS value, CASE WHEN x.field = 'name' THEN trim(regexp_replace(lower(x.value), '\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(lower(reply), '\s+', ' ', 'g')), trim(regexp_replace(lower(x.value), '\s+', ' ', 'g'))) ELSE length(dv) >= 4 AND contains(dr, dv) END AS v2, CASE WHEN x.field = 'name' THEN trim(regexp_replace(lower(x.value), '\s+', ' ', 'g')) <> '' AND contains(trim(regexp_replace(lower(reply), '\s+', ' ', 'g')), trim(regexp_replace(lower(x.value), '\s+', ' ', 'g'))) ELSE sv <> '' AND contains(sr, sv) END AS v3
+  FROM (SELECT *, regexp_replace(x.value, '[^0-9]', '', 'g') AS dv, regexp_replace(reply, '[^0-9]', '', 'g') AS dr, regexp_replace(x.value, '[\s\-().]', '', 'g') AS sv, regexp_replace(reply, '[\s\-().]', '', 'g') AS sr FROM (
+  SELECT a.conv_id, a.turn, b.text AS reply, unnest(list_concat([{'field': 'name', 'value': a.text}], flatten(list_transform(list_distinct(regexp_extract_all(a.text, '[0-9](?:[0-9\s\-().]*[0-9])?')), lambda n: [{'field': 'ssn', 'value': n}, {'field': 'phone', 'value': n}, {'field': 'credit_card', 'value': n}])))) AS x FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1))""", ())
 def nfkc_match(spark, d):
     """Whether a turn holds the values of the turn before it: its whole text as a name, each of its numbers as every number field."""
     c = _table(spark, d, "conversations")

@@ -87,6 +87,23 @@ def test_field_rules(spark):
     assert got == [(False, True), (True, True), (True, True), (False, False), (False, False)]
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.text("ab c", max_size=25), st.text("abc ", max_size=25))
+def test_longest_common_run(a, b):
+    runs = lambda t: {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    assert common_length(a, b) == max(map(len, runs(a) & runs(b)), default=0)
+
+
+def test_quantiles(spark):
+    from tallyglass.operators.ranks import quantiles
+
+    r = np.random.default_rng(1)
+    x = {g: np.round(r.normal(0, 10**g, 101 + g), 1) for g in range(3)} | {9: np.array([4.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in x.items() for v in vs] + [(0, None)], "g int, v double")
+    for row in quantiles(df, "g", "v", {"a": 0.0, "b": 0.1, "c": 0.5, "d": 1.0}).collect():
+        assert row[1:] == pytest.approx(np.quantile(x[row.g], [0, 0.1, 0.5, 1]).tolist())
+
+
 def test_text_helpers(spark):
     assert common_length("xabcy", "zabcq") == 3 and common_length(None, "a") == 0
     r = spark.createDataFrame([("1234567890", " ".join(f"w{i}" for i in range(41)))], "d string, t string").select(regroup_digits(F.col("d"), "phone"), word_chunks(F.col("t"))).first()
