@@ -29,7 +29,7 @@ from tallyglass.llm import textspans as S
 
 NONE = np.int64(1) << 62
 WIDE = 256
-CACHED = 1_000_000
+CACHED = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -313,6 +313,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """doc_id, ids (array of int) of every row; a null text has none."""
 
     def run(batches):
+        S.trim()
         vocab = vocabulary(path)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": list(vocab.encode(batch["text"].tolist()))})
@@ -324,6 +325,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 of every row."""
 
     def run(batches):
+        S.trim()
         vocab = vocabulary(path)
         decimal = [str(i) for i in range(vocab.n_ids)]
         for batch in batches:

@@ -221,11 +221,13 @@ def _cells(batches):
 
 
 def _involved(batches):
+    S.trim()
     for rows, cells in _cells(batches):
         yield rows.iloc[np.concatenate([a + cell.involved() for a, cell in cells])]
 
 
 def _links(batches):
+    S.trim()
     for rows, cells in _cells(batches):
         sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         out = [link for a, cell in cells for link in cell.links(sets[a : a + len(cell.cls)])]
@@ -240,6 +242,7 @@ def _base(docs: DataFrame) -> DataFrame:
     """doc_id, n, cls, sig (int array) and traits (sketch and root coordinates) of every row."""
 
     def run(batches):
+        S.trim()
         for batch in batches:
             sets = list(shingle_sets(batch["text"].tolist()))
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -255,6 +258,7 @@ def _base(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
+        S.trim()
         for batch in batches:
             sets = list(shingle_sets(batch["text"].tolist()))
             yield pd.DataFrame({"cls": [_class_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})

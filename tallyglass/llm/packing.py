@@ -30,9 +30,10 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tallyglass.llm import textspans as S
 from tallyglass.llm.bpe import vocabulary
 
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 1_000_000
 
 Piece = tuple[int, int, int, int, int]
 
@@ -132,6 +133,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
+        S.trim()
         vocab = vocabulary(path)
         made = TaskContext.get().partitionId() << 36
         keys, held, tokens = [], [], 0

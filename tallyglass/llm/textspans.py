@@ -6,7 +6,9 @@ Python worker's memory does not depend on the size of its partition.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import hashlib
 import unicodedata
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 #: The code points with the Unicode property White_Space.
@@ -62,6 +64,15 @@ class _Lanes:
         return self.data[start * self.unit : start * self.unit + size].tobytes()
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as workers are used again by tasks of other stages."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of codes[start:end]; equal spans hash alike wherever they stand."""
     lanes, sizes = _Lanes(codes), (ends - starts) * codes.itemsize

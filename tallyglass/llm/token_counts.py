@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from tallyglass.llm import textspans as S
 
 FEW = 8  # pre-tokens; a trie that is no wider is walked node by node
-CACHED = 1_000_000
+CACHED = 150_000
 MARK = 0x2581
 _CODE = 21  # bits of a code point
 
@@ -177,6 +177,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_tokens, n_chars (code points) of every row."""
 
     def run(batches):
+        S.trim()
         counts = counter(path)
         for batch in batches:
             texts = batch["text"].tolist()
