@@ -48,9 +48,15 @@ def explained(df: DataFrame, base: list[str], features: list[str], label: str) -
     return df.sparkSession.createDataFrame(rows, "model string, pseudo_r2 double, gain double")
 
 
+MOST_PROBES = 100  # each is a term of the regression
+
+
 def frequency_response(att: DataFrame, reference: str) -> DataFrame:
     """term, coefficient, std_error, p of hits by log(1 + frequency), probe and their product; the intercept is the floor of the reference probe at frequency 0, whose share is the row ``floor``."""
-    others = sorted(r[0] for r in att.select("probe").dropna().distinct().limit(100).collect() if r[0] != reference)
+    probes = [r[0] for r in att.select("probe").dropna().distinct().limit(MOST_PROBES + 1).collect()]
+    if len(probes) > MOST_PROBES:
+        raise ValueError(f"over {MOST_PROBES} probes")
+    others = sorted(p for p in probes if p != reference)
     x = att.select(F.coalesce("exact_match", F.lit(False)).cast("double").alias("hit"), F.log1p(F.col("train_frequency").cast("double")).alias("log_frequency"), "probe").dropna()
     for i, name in enumerate(others):
         x = x.withColumn(f"p{i}", (F.col("probe") == name).cast("double")).withColumn(f"x{i}", F.col(f"p{i}") * F.col("log_frequency"))

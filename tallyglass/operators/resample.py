@@ -17,13 +17,13 @@ from tallyglass.operators.rates import is_hit, r9
 
 def draws(persons: DataFrame, reps: int, arm: str = "target_membership", person: str = "person_id") -> DataFrame:
     """rep, arm, person, w: in each replicate as many draws with replacement as the arm has persons."""
-    ranked = numbered(persons.select(arm, person).distinct(), person, "i", arm)
+    ranked = numbered(persons.select(arm, person).distinct(), person, "_place", arm)
     size = ranked.groupBy(arm).agg(F.count("*").alias("size"))
     each = ranked.join(F.broadcast(size), arm).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    key = F.concat_ws("|", F.col(arm), F.col("rep").cast("string"), F.col("i").cast("string"))
+    key = F.concat_ws("|", F.col(arm), F.col("rep").cast("string"), F.col("_place").cast("string"))
     drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("size")
-    counts = each.select("rep", arm, drawn.alias("i")).groupBy("rep", arm, "i").agg(F.count("*").alias("w"))
-    return counts.join(ranked, [arm, "i"]).select("rep", arm, person, "w")
+    counts = each.select("rep", arm, drawn.alias("_place")).groupBy("rep", arm, "_place").agg(F.count("*").alias("w"))
+    return counts.join(ranked, [arm, "_place"]).select("rep", arm, person, "w")
 
 
 def replicates(att: DataFrame, reps: int, *by: str) -> DataFrame:

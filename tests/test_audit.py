@@ -309,8 +309,9 @@ def test_family_guess_and_tables(spark):
     k = np.array([1.0, 2, 4, 8, 16])
     n = np.full(5, 10_000.0)
     hits = 10_000 * bounds.family_rate("gumbel", np.log2(k), np.array([-2.0, 1.2, 0.8]))
-    a, b, top = bounds.first_guess("gumbel", np.log2(k), hits, n, True)
-    assert a == pytest.approx(-2, abs=0.5) and b == pytest.approx(1.2, abs=0.4) and top == pytest.approx(0.8, abs=0.05)
+    curve = spark.createDataFrame([(int(x), round(h), int(m)) for x, h, m in zip(k, hits, n, strict=True)], "capacity_k int, hits_c long, n_c long")
+    best = bounds.fit_families(curve).first()
+    assert best.family == "gumbel_log2k_ceiling" and best.parameters == pytest.approx([-2.0, 1.2, 0.8], abs=0.02) and best.deviance < 0.1
     df = spark.createDataFrame([("a", 1), ("b", 2)], "e string, x int")
     assert tables.preferred(df, F.col("e") == "a").count() == 1 and tables.preferred(df, F.col("e") == "z").count() == 2
     steps = spark.createDataFrame([(1, 0.1), (2, 0.3), (3, 0.2), (4, None)], "k int, y double")
