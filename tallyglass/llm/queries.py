@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import ann, bpe, context_tree, exact_dedup, html_main, license_scan, near_dedup, packing, quality, token_counts
+from tallyglass.llm import ann, bpe, context_tree, exact_dedup, html_main, importance, license_scan, near_dedup, packing, periodic_runs, quality, token_counts, two_fit_packing
 from tallyglass.llm.storage import table
 
 
@@ -51,6 +51,18 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit_packing.pack_whole(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {k: f for k, f in globals().items() if k.startswith("op")}
 
 ORACLES = {
@@ -89,3 +101,22 @@ ORACLES["op7_license_diagonals"] = rf"""
     found AS (SELECT doc_id, sum(places) AS n_base, min(first) AS first_word, max(last) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0)), ',') AS base_labels,
         array_to_string(list_sort(list(DISTINCT label) FILTER (places > 0 OR coverage >= {license_scan.COVERAGE})), ',') AS labels, max(CASE WHEN coverage >= {license_scan.COVERAGE} THEN coverage ELSE 0 END) AS score FROM spans GROUP BY doc_id)
     SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM w LEFT JOIN found ON w.doc_id = found.doc_id"""
+
+#: A word's CRC-32 from a table of bytes, which the first two expressions make from the polynomial.
+ORACLES["op13_importance_resampling"] = r"""
+    WITH RECURSIVE byte AS (SELECT i AS b, i::BIGINT AS c, 0 AS step FROM range(256) r(i)
+        UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM byte WHERE step < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM byte WHERE step = 8),
+    split AS (SELECT doc_id, true AS ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        UNION ALL SELECT NULL, false, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+    feature AS (SELECT doc_id, ours, w, count(*) AS n FROM (SELECT doc_id, ours, unnest(words) AS w FROM split) GROUP BY ALL),
+    word AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM feature)),
+    bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS b FROM word, crc),
+    counted AS (SELECT b, sum(n) FILTER (ours) AS s, sum(n) FILTER (NOT ours) AS t FROM feature JOIN bucket USING (w) GROUP BY b),
+    total AS (SELECT coalesce(sum(s), 0)::DOUBLE + 10000 AS s_all, coalesce(sum(t), 0)::DOUBLE + 10000 AS t_all FROM counted),
+    gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * s_all / ((coalesce(s, 0)::DOUBLE + 1) * t_all)))::BIGINT AS g FROM counted, total),
+    weight AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM feature JOIN bucket USING (w) JOIN gain USING (b) WHERE ours GROUP BY doc_id),
+    scored AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents d LEFT JOIN weight w ON d.doc_id = w.doc_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM placed"""
