@@ -40,17 +40,25 @@ def percentile_ci(reps: DataFrame, value: str, *by: str, level: float = 0.95) ->
     return reps.groupBy(*by).agg(F.count(value).alias("reps"), q(tail).alias("lo"), q(1 - tail).alias("hi"))
 
 
-def difference_ci(att: DataFrame, reps: int, *by: str) -> DataFrame:
-    """Interval of trained - control, the arms drawn independently."""
-    r = replicates(att, reps, *by)
+def difference_replicates(r: DataFrame, *by: str) -> DataFrame:
+    """rep, by.., d, c, tau: both arms of each replicate side by side."""
     one = lambda arm, name: r.where(F.col("target_membership") == arm).select("rep", *by, F.col("rate").alias(name))
-    both = one("trained", "d").join(one("control", "c"), ["rep", *by]).withColumn("tau", F.col("d") - F.col("c"))
+    return one("trained", "d").join(one("control", "c"), ["rep", *by]).withColumn("tau", F.col("d") - F.col("c"))
+
+
+def difference_of(r: DataFrame, *by: str) -> DataFrame:
+    """Interval and p of trained - control, of replicates drawn independently in the arms."""
+    both = difference_replicates(r, *by)
     tail = F.least(F.count_if(F.col("tau") <= 0), F.count_if(F.col("tau") >= 0))
     ci = percentile_ci(both, "tau", *by)
     p = both.groupBy(*by).agg(r9(F.least(F.lit(1.0), 2 * ratio(tail + 1, F.count("*") + 1))).alias("p"))
     return ci.join(p, list(by)) if by else ci.crossJoin(p)
 
 
+def difference_ci(att: DataFrame, reps: int, *by: str) -> DataFrame:
+    return difference_of(replicates(att, reps, *by), *by)
+
+
 def auc_replicates(att: DataFrame, reps: int, by: str = "field") -> DataFrame:
     """rep, by, auc of each replicate; persons' draws weigh their scores, which are summed by distinct score before ranking."""
     scores = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").select("target_membership", "person_id", by, F.col("final_target_nll").alias("nll"))

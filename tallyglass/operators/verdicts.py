@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
+from tallyglass.operators import bounds
+from tallyglass.operators import draws as draws_
 from tallyglass.operators.ranks import average_rank, correlation
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.operators.resample import draws, percentile_ci, replicates
+from tallyglass.operators.shards import require_formal
+from tallyglass.operators.survival import slope_interval
 
 
 def _row_draws(rows: DataFrame, index: str, reps: int, name: str) -> DataFrame:
@@ -37,10 +41,14 @@ def paired_ci(pairs: DataFrame, index: str, reps: int, base: str = "x", other: s
 
 
 def cluster_rate_ci(att: DataFrame, reps: int, *by: str, level: float = 0.95) -> DataFrame:
-    """arm, by, rate, lo, hi, method: the person-drawn interval, or the exact bounds over persons where the rate is 0 or 1."""
+    return cluster_rate_of(att, replicates(att, reps, *by), *by, level=level)
+
+
+def cluster_rate_of(att: DataFrame, reps: DataFrame, *by: str, level: float = 0.95) -> DataFrame:
+    """arm, by, rate, lo, hi, method: the person-drawn interval of the replicates, or the exact bounds over persons where the rate is 0 or 1."""
     keys = ["target_membership", *by]
     point = att.groupBy(*keys).agg(ratio(F.sum(is_hit()), F.count("*")).alias("rate"), F.countDistinct("person_id").alias("persons"))
-    ends = percentile_ci(replicates(att, reps, *by), "rate", *keys).drop("reps")
+    ends = percentile_ci(reps, "rate", *keys).drop("reps")
     far = F.pow(F.lit((1 - level) / 2), 1 / F.col("persons"))
     zero, one = F.col("rate") == 0, F.col("rate") == 1
     lo = F.when(zero, 0.0).when(one, r9(far)).otherwise(F.col("lo"))
@@ -48,6 +56,18 @@ def cluster_rate_ci(att: DataFrame, reps: int, *by: str, level: float = 0.95) ->
     return point.join(ends, keys).select(*keys, r9("rate").alias("rate"), "persons", lo.alias("lo"), hi.alias("hi"), F.when(zero | one, "exact").otherwise("bootstrap").alias("method"))
 
 
+def field_points(att: DataFrame, bits: Column | None = None) -> DataFrame:
+    """field, capacity_k, n and rate of both arms, tau, and the recall fraction m = tau / (1 - alpha) with its standard error, over attempts; with ``bits`` also their mean over targets tried.
+
+    m and its error are null where every control is hit.
+    """
+    side = lambda arm, c: F.sum(F.when(F.col("target_membership") == arm, c).otherwise(0))
+    sums = att.groupBy("field", "capacity_k").agg(side("trained", F.lit(1)).alias("n_d"), side("control", F.lit(1)).alias("n_c"), side("trained", is_hit()).alias("h_d"), side("control", is_hit()).alias("h_c"), *([r9(F.avg(bits)).alias("bits")] if bits is not None else []))
+    pi, alpha = ratio(F.col("h_d"), F.col("n_d")), ratio(F.col("h_c"), F.col("n_c"))
+    m, se = bounds.recall_fraction(pi, alpha), bounds.recall_fraction_se(pi, alpha, F.col("n_d"), F.col("n_c"))
+    return sums.select("field", "capacity_k", "n_d", "n_c", r9(pi).alias("pi"), r9(alpha).alias("alpha"), r9(pi - alpha).alias("tau"), r9(m).alias("m"), r9(se).alias("m_se"), *(["bits"] if bits is not None else []))
+
+
 def paired_cells_ci(att: DataFrame, reps: int, first_field: str, second_field: str, pair: Column) -> DataFrame:
     """name, point, lo, hi of the contrasts of two states (two fields) by two arms; frozen pairs of persons are drawn."""
     cell = lambda arm, f, c: F.sum(F.when((F.col("target_membership") == arm) & (F.col("field") == f), c).otherwise(0))
@@ -119,13 +139,18 @@ def centred_p(reps: DataFrame, value: str, point: float, null: float = 0.0, two_
     return (F.count_if(far) + 1) / (F.count(value) + 1)
 
 
-def curve_verdicts(att: DataFrame, reps: int, grid: list[int], k: int, more: dict[str, float] | None = None, level: float = 0.05, least_valid: float = 0.95) -> DataFrame:
-    """name, point, lo, hi, p, p_holm, verdict of the trend of the control floor (H1), the signal at capacity k (H3) and the peak (H5).
+def curve_verdicts(att: DataFrame, reps: int, grid: list[int], k: int, more: dict[str, float] | None = None, level: float = 0.05, least_valid: float = 0.95, targets: DataFrame | None = None, seed: int = draws_.SEED, formal: bool = False) -> DataFrame:
+    """name, point, lo, hi, p, p_holm, verdict of the trend of the control floor (H1), the signal at capacity k (H3), the thresholds' slope (H4) and the peak (H5).
 
-    ``more``: p values of other hypotheses of the family; H2 has no test of its own and keeps a place at p = 1. H5 is
-    exploratory and outside the family. Raises where fewer than ``least_valid`` of the replicates have a trend.
+    All of them share the same draws of persons. ``targets``: thresholds (target_membership, person_id, h, low, high) of the arm that H4 is about; without them there
+    is no H4. ``more``: p values of other hypotheses of the family; H2 has no test of its own and keeps a place at p = 1. H5 is
+    exploratory and outside the family. Raises where fewer than ``least_valid`` of the replicates have a trend, where a refit of H4 fails, and, if
+    ``formal``, unless replicates and seed are the registered ones.
     """
-    r = replicates(att, reps, "capacity_k")
+    if formal:
+        require_formal(reps, seed)
+    at = draws_.kept(draws_.places(att))
+    r = draws_.kept(draws_.rate_replicates(att, reps, "capacity_k", at=at, seed=seed))
     one = lambda arm, name: r.where(F.col("target_membership") == arm).select("rep", "capacity_k", F.col("rate").alias(name))
     tau = one("trained", "d").join(one("control", "c"), ["rep", "capacity_k"]).withColumn("tau", F.col("d") - F.col("c"))
     rows = att.groupBy("capacity_k").agg(*[ratio(F.sum(F.when(F.col("target_membership") == arm, is_hit())), F.count_if(F.col("target_membership") == arm)).alias(n) for arm, n in (("trained", "d"), ("control", "c"))])
@@ -135,13 +160,14 @@ def curve_verdicts(att: DataFrame, reps: int, grid: list[int], k: int, more: dic
     h1 = rank_trend(one("control", "c"), "c").agg(F.count("rho").alias("n"), q("rho", 0.025).alias("lo"), q("rho", 0.975).alias("hi"), ((F.count_if(F.col("rho") <= 0) + 1) / (F.count("rho") + 1)).alias("p")).first()
     if h1["n"] < least_valid * reps:
         raise ValueError(f"only {h1['n']} of {reps} replicates have a trend")
-    at = points.where(F.col("capacity_k") == k).first()["tau"]
+    here = points.where(F.col("capacity_k") == k).first()["tau"]
     mine = tau.where(F.col("capacity_k") == k)
-    h3 = mine.agg(q("tau", 0.025).alias("lo"), q("tau", 0.975).alias("hi"), centred_p(mine, "tau", at).alias("p")).first()
+    h3 = mine.agg(q("tau", 0.025).alias("lo"), q("tau", 0.975).alias("hi"), centred_p(mine, "tau", here).alias("p")).first()
     curved = peaks(points, grid).first()["quadratic"]
     each = peaks(tau, grid)
     h5 = each.agg(q("earliest", 0.025).alias("lo"), q("latest", 0.975).alias("hi"), centred_p(each, "quadratic", curved, two_sided=False).alias("p")).first()
-    family = {"H1": h1["p"], "H2": 1.0, "H3": h3["p"]} | (more or {})
+    h4 = None if targets is None else slope_interval(targets, reps, seed=seed, at=at).first()
+    family = {"H1": h1["p"], "H2": 1.0, "H3": h3["p"]} | ({"H4": h4["p"]} if h4 else {}) | (more or {})
     adjusted, running = {}, 0.0
     for i, name in enumerate(sorted(family, key=family.get)):
         adjusted[name] = running = max(running, min(1.0, (len(family) - i) * family[name]))
@@ -153,6 +179,9 @@ def curve_verdicts(att: DataFrame, reps: int, grid: list[int], k: int, more: dic
         "H3": f"measurable {signal} signal" if signal and adjusted["H3"] <= level else "zero is not rejected",
         "H5": "interior peak (exploratory)" if inside else "peak is not localised (exploratory)",
     } | {name: "rejected" if adjusted[name] <= level else "not rejected" for name in more or {}}
-    ends = {"H1": (rho, h1), "H3": (at, h3), "H5": (curved, h5)}
+    ends = {"H1": (rho, h1), "H3": (here, h3), "H5": (curved, h5)}
+    if h4:
+        said["H4"] = "proportionality is not rejected" if h4["lo"] <= 1 <= h4["hi"] or adjusted["H4"] > level else "proportionality is refuted"
+        ends["H4"] = (h4["slope"], h4)
     made = [(n, *(float(x) if x is not None else None for x in ((ends[n][0], ends[n][1]["lo"], ends[n][1]["hi"], ends[n][1]["p"]) if n in ends else (None, None, None, family[n]))), adjusted.get(n), said[n]) for n in sorted(said)]
     return att.sparkSession.createDataFrame(made, "name string, point double, lo double, hi double, p double, p_holm double, verdict string")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import features, special, strings
 from tallyglass.functions.intervals import Z95, ratio, wilson
-from tallyglass.operators import corpus, gates, matching, models, nested, ranks, rates, resample, shards, survival, tables, verdicts
+from tallyglass.operators import corpus, draws, gates, matching, models, nested, ranks, rates, resample, shards, survival, tables, verdicts
 from tallyglass.operators.rates import is_hit, r9
-from tallyglass.plans.catalog import ASCII_PII, ATT, BY_REP, CURVE, DRAWS, KMIN, PAIRED, REPS, _table, query
+from tallyglass.plans.catalog import ASCII_PII, ATT, BY_REP, CURVE, DRAWS, FORMAL_REPS, KMIN, PAIRED, REPS, _table, control_targets, query
 from tallyglass.sources.attempts import GRID, event_attempts, wide_attempts
 
 WIDE = """wide AS (SELECT *, 'm' || (event_id % 2) AS model_name, CASE WHEN event_id % 50 = 7 THEN 'other' ELSE 'finetuned' END AS model_state, CASE WHEN capacity_k = 0 THEN 'fixed' ELSE 'search' END AS probe,
@@ -446,7 +446,7 @@ def peak_envelope_hash(spark, d):
 
 @query()
 def curve_verdicts(spark, d):
-    return verdicts.curve_verdicts(event_attempts(spark, d), 2_000, GRID, 20)
+    return verdicts.curve_verdicts(event_attempts(spark, d), FORMAL_REPS, GRID, 20, targets=control_targets(spark, d), formal=True)
 
 
 @query("SELECT target_membership, field, round(rate, 9) AS rate, persons, CASE WHEN rate = 0 THEN 0.0 WHEN rate = 1 THEN round(0.025::DOUBLE ** (1.0::DOUBLE / persons), 9) ELSE lo END AS lo, CASE WHEN rate = 0 THEN round(1 - 0.025::DOUBLE ** (1.0::DOUBLE / persons), 9) WHEN rate = 1 THEN 1.0 ELSE hi END AS hi, CASE WHEN rate IN (0, 1) THEN 'exact' ELSE 'bootstrap' END AS method FROM (SELECT target_membership, field, sum(hit) / count(*)::DOUBLE AS rate, count(DISTINCT person_id) AS persons FROM att GROUP BY ALL) JOIN (SELECT target_membership, field, " + CI.format("rate") + " FROM reps GROUP BY ALL) USING (target_membership, field)", (ATT, DRAWS, BY_REP.format(k=", field")))
@@ -477,9 +477,8 @@ def paired_balance(spark, d):
 
 @query()
 def lognormal_aft(spark, d):
-    k = rates.kmin(event_attempts(spark, d), GRID).where("target_membership = 'control'")
-    t = k.select("person_id", (28 + F.lit(1.5) * (F.col("person_id") % 50)).alias("h"), F.col("lower_k").cast("double").alias("low"), F.coalesce(F.col("upper_k").cast("double"), F.lit(float("inf"))).alias("high"))
-    return survival.slope_interval(t, 1_000, "lognormal")
+    shards.require_formal(FORMAL_REPS, draws.SEED)
+    return survival.slope_interval(control_targets(spark, d), FORMAL_REPS, "lognormal")
 
 
 @query()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import text as X
 from tallyglass.functions.intervals import Z95, ratio
-from tallyglass.operators import bounds, corpus, exposure, gates, matching, models, ranks, rates, resample, survival
+from tallyglass.operators import bounds, corpus, draws, exposure, gates, matching, models, ranks, rates, resample, shards, survival
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.sources.attempts import GRID, event_attempts
 
@@ -473,12 +473,16 @@ def text_compression(spark, d):
 # ---- models ------------------------------------------------------------------------------
 
 
-@query()
-def weibull_aft(spark, d):
+def control_targets(spark, d) -> DataFrame:
+    """Thresholds of the control arm: target_membership, person_id, h, low, high."""
     k = rates.kmin(event_attempts(spark, d), GRID).where("target_membership = 'control'")
-    t = k.select("person_id", (28 + F.lit(1.5) * (F.col("person_id") % 50)).alias("h"), F.col("lower_k").cast("double").alias("low"), F.coalesce(F.col("upper_k").cast("double"), F.lit(float("inf"))).alias("high"))
-    return survival.slope_interval(t, FORMAL_REPS)
+    return k.select("target_membership", "person_id", (28 + F.lit(1.5) * (F.col("person_id") % 50)).alias("h"), F.col("lower_k").cast("double").alias("low"), F.coalesce(F.col("upper_k").cast("double"), F.lit(float("inf"))).alias("high"))
+
 
+@query()
+def weibull_aft(spark, d):
+    shards.require_formal(FORMAL_REPS, draws.SEED)
+    return survival.slope_interval(control_targets(spark, d), FORMAL_REPS)
 
 @query("SELECT capacity_k, round(max(least_), 9) AS rate FROM (SELECT i.capacity_k, a.capacity_k AS a, min(mean) AS least_ FROM curve i JOIN (SELECT a.capacity_k AS a, b.capacity_k AS b, avg(m.rate_c) AS mean FROM curve a JOIN curve b ON b.capacity_k >= a.capacity_k JOIN curve m ON m.capacity_k BETWEEN a.capacity_k AND b.capacity_k GROUP BY ALL) r ON r.a <= i.capacity_k AND r.b >= i.capacity_k JOIN curve a ON a.capacity_k = r.a GROUP BY ALL) GROUP BY 1", (ATT, CURVE))
 def isotonic_curve(spark, d):
@@ -608,26 +612,3 @@ def _pair_ci(spark, d, reps):
     w = resample.draws(pairs.select(F.lit("pair").alias("arm"), "pair"), reps, "arm", "pair").select("rep", "pair", "w")
     of = lambda x: ratio(F.sum(F.col("w") * F.col(f"h{x}")), F.sum(F.col("w") * F.col(f"n{x}")))
     return resample.percentile_ci(w.join(pairs, "pair").groupBy("rep").agg((of("d") - of("c")).alias("tau")), "tau")
-
-
-# ---- all replicates: the intervals above with as many draws as their ends need ----------------
-
-
-@query()
-def bootstrap_rate_ci_formal(spark, d):
-    return resample.percentile_ci(resample.replicates(event_attempts(spark, d), FORMAL_REPS), "rate", "target_membership")
-
-
-@query()
-def bootstrap_curve_ci_formal(spark, d):
-    return resample.difference_ci(event_attempts(spark, d), FORMAL_REPS, "capacity_k")
-
-
-@query()
-def bootstrap_auc_ci_formal(spark, d):
-    return resample.percentile_ci(resample.auc_replicates(event_attempts(spark, d), AUC_REPS), "auc", "field")
-
-
-@query()
-def bootstrap_pair_ci_formal(spark, d):
-    return _pair_ci(spark, d, FORMAL_REPS)

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from tallyglass.plans import audit, catalog
+from tallyglass.plans import audit, catalog, limits
 
-assert audit  # adds its queries
+assert audit and limits  # they add their queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

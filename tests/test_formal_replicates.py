@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from tallyglass.operators import survival
-from tallyglass.plans import catalog
+from tallyglass.plans import catalog, formal
+
+assert formal  # adds its queries
 
 
 def test_registered_fit_runs_all_replicates(spark, monkeypatch):
