@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions.intervals import ratio
 from tallyglass.functions.strings import word_list
 from tallyglass.functions.text import digits_only, field_match, normalize
+from tallyglass.operators.lookup import SLICE_CHARS, found_values
 from tallyglass.operators.rates import r9
 
 FIELDS = ("name", "ssn", "email", "phone", "credit_card", "address")
@@ -88,24 +89,21 @@ def scoring_variants(rows: DataFrame, *by: str, lengths: tuple[int, ...] = (16,
     return scored.groupBy(*by).agg(F.count("*").alias("n"), *[r9(F.avg(k)).alias(k) for k in rules])
 
 
-def other_record_hits(generations: DataFrame, values: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+def other_record_hits(generations: DataFrame, values: DataFrame, key: str, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """key, field, hit of each generation (key, field, person, generation): whether it holds another record's value of its field.
 
-    values: person, field, value. Distinct values are looked up; their number is checked against ``most``, as each
-    generation of a field is searched for all of that field's values.
+    values: person, field, value. A value that the generation's own person has too doesn't count, whoever else has it. Generations stream
+    through automata over slices of the distinct values, so their number has no bound.
     """
-    own = values.select("field", "person", _bare(F.col("field"), F.col("value")).alias("value")).where("value <> ''")
-    pool = own.groupBy("field", "value").agg(F.min("person").alias("first"), F.max("person").alias("last"))
-    n = pool.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"over {most} distinct values")
-    # A value counts for a generation whose own value it isn't, whoever else has it too.
-    mine = own.groupBy("field", "person").agg(F.collect_set("value").alias("mine"))
-    texts = generations.select(key, "field", "person", _bare(F.col("field"), F.coalesce("generation", F.lit(""))).alias("g")).join(mine, ["field", "person"], "left")
-    lists = pool.groupBy("field").agg(F.collect_list("value").alias("pool"))
-    met = texts.join(lists, "field", "left")
-    hit = F.exists(F.coalesce("pool", F.array().cast("array<string>")), lambda x: F.contains(F.col("g"), x) & ~F.array_contains(F.coalesce("mine", F.array().cast("array<string>")), x))
-    return met.select(key, "field", hit.alias("hit"))
+    own = values.select("field", "person", _bare(F.col("field"), F.col("value")).alias("value")).where("value <> ''").distinct()
+    texts = generations.select(F.struct(F.col(key), "field", "person").alias("_of"), _bare(F.col("field"), F.coalesce("generation", F.lit(""))).alias("g"))
+    met = found_values(texts.withColumn("_of", F.to_json("_of")), "_of", "g", own, "value", slice_chars).distinct()
+    met = met.join(generations.select(F.to_json(F.struct(F.col(key), "field", "person")).alias("_of"), key, "field", "person").distinct(), "_of")
+    # of the value's field, but not the person's own
+    other = met.join(own.select("field", "value").distinct(), ["field", "value"], "left_semi").join(own, ["field", "person", "value"], "left_anti")
+    hits = other.select("_of").distinct().withColumn("_hit", F.lit(True))
+    all_ = generations.withColumn("_of", F.to_json(F.struct(F.col(key), "field", "person")))
+    return all_.join(hits, "_of", "left").select(key, "field", F.coalesce("_hit", F.lit(False)).alias("hit"))
 
 
 def _bare(field: Column, text: Column) -> Column:
