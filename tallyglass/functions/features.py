@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyglass.functions.registry import Registry
 from tallyglass.functions.text import zlib_ratio
 
 #: Words that tell a prompt that asks for data from others.
@@ -69,3 +72,14 @@ def text_signals(c: Column) -> dict[str, Column]:
         "compression_ratio": packed,
         "entropy_estimate": packed * 8,
     }
+
+
+#: Features of a text by provider: a function of the text's column that gives named columns.
+PROVIDERS: Registry[Callable[[Column], dict[str, Column]]] = Registry("feature provider")
+PROVIDERS.register("prompt_signals", prompt_signals)
+PROVIDERS.register("text_signals", text_signals)
+
+
+def provided(text: Column, *names: str) -> list[Column]:
+    """The features of the named providers, or of all, as ``<provider>_<feature>``."""
+    return [c.alias(f"{name}_{feature}") for name in names or PROVIDERS for feature, c in PROVIDERS[name](text).items()]

@@ -20,6 +20,19 @@ LABELS = {
 }
 
 
+#: How a target of each field stands in training text, in the order of a whole record.
+TARGET_FORMATS = {"name": "{name}", "ssn": "SSN: {ssn}", "email": "Email: {email}", "phone": "Phone: {phone}", "address": "{address}", "credit_card": "{credit_card}"}
+
+
+def format_target(values: dict[str, Column], field: str | None = None) -> Column:
+    """A field's value with its label; without a field, or for one that has no format, the whole record, a line for each field it has. Null where nothing is known."""
+    line = lambda f: F.concat(F.lit(TARGET_FORMATS[f].split("{")[0]), values[f])
+    if field in TARGET_FORMATS:
+        return line(field)
+    lines = F.array_compact(F.array(*[line(f) for f in TARGET_FORMATS if f in values]))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+
+
 def chosen(options: list[str], *keys: Column | str) -> Column:
     """One of the options by the hash of the keys."""
     return F.get(F.array(*map(F.lit, options)), F.pmod(F.xxhash64(*keys), F.lit(len(options))).cast("int"))

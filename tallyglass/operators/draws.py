@@ -92,11 +92,6 @@ def by_replicate(parts: DataFrame, keys: list[str], values: list[str], name: str
     return each.select(*keys, (F.col("_at") + F.col("chunk") * CHUNK).cast("int").alias(name), *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df for several analyses: a checkpoint where the session names a folder for them, else kept in memory and on disk."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def attempt_sums(att: DataFrame, *by: str) -> DataFrame:
     return att.groupBy("target_membership", "person_id", *by).agg(F.sum(is_hit()).alias("h"), F.count("*").alias("n"))
 

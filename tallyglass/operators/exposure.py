@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.text import digits_only, normalize
-from tallyglass.operators.draws import kept
 from tallyglass.operators.lookup import SLICE_CHARS, held_by
+from tallyglass.operators.ranks import kept
 
 RUN = 4
 MOST_SLICES = 8

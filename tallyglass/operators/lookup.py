@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.operators.draws import kept
+from tallyglass.operators.ranks import kept
 
 SLICE_CHARS = 2_000_000
 

@@ -43,6 +43,22 @@ def numbered(df: DataFrame, key: str, name: str, *by: str) -> DataFrame:
     return placed.select(*df.columns, F.col("before__one").alias(name))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df for several uses: a checkpoint where the session names a folder for them, else kept in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def placed(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with each row's place from 0 in the order given, by a range-partitioned sort and the partitions' sizes, so no task holds the order; equal rows lie in any order."""
+    rows = kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    met = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return met.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """by and, for each name in ``shares``, the exact quantile of that share, linear between observations; null values are left out.
 

@@ -109,6 +109,32 @@ def usable_points(points: DataFrame, tolerances: list[float]) -> DataFrame:
     return t.groupBy("tolerance").agg(F.count_if(good).alias("n_usable"), F.max(F.when(good, F.col("capacity_k"))).alias("k_star"))
 
 
+#: Effective sizes of an arm for uniform Wilson intervals: its targets alone, and all repeated attempts, at an intraclass correlation of one half.
+CONVENTIONS = {"targets": 100 / 3, "attempts": 300 / 7}
+
+
+def wilson_sensitivity(points: DataFrame, tolerances: list[float], conventions: dict[str, float] | None = None) -> DataFrame:
+    """convention, tolerance and, comma-joined, the capacities above 0 whose control upper bound is within it (floor), and of those the ones whose tau excludes 0 (any), is positive or negative; Wilson and MOVER throughout, with each convention's size."""
+    sized = F.explode(F.array(*[F.struct(F.lit(k).alias("convention"), F.lit(float(v)).alias("size")) for k, v in (conventions or CONVENTIONS).items()]))
+    p = points.where("capacity_k > 0").select("capacity_k", (F.col("hits_d") / F.col("n_d")).alias("d"), (F.col("hits_c") / F.col("n_c")).alias("c"), sized.alias("s")).select("capacity_k", "d", "c", "s.*")
+    of_d, of_c = wilson(F.col("d"), F.col("size")), wilson(F.col("c"), F.col("size"))
+    lo, hi = mover(F.col("d"), of_d, F.col("c"), of_c)
+    each = p.select("convention", "capacity_k", of_c[1].alias("upper"), lo.alias("lo"), hi.alias("hi")).withColumn("tolerance", F.explode(F.array(*map(F.lit, tolerances))))
+    good = F.col("upper") <= F.col("tolerance")
+    named = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(good & c, F.col("capacity_k")))), ",")
+    positive, negative = F.col("lo") > 0, F.col("hi") < 0
+    return each.groupBy("convention", "tolerance").agg(named(F.lit(True)).alias("floor"), named(positive | negative).alias("any"), named(positive).alias("positive"), named(negative).alias("negative"))
+
+
+def budget_table(att: DataFrame, *by: str, cost: str = "forward_passes", seconds: str | None = None) -> DataFrame:
+    """by, rates of both arms, adj (their difference), trained persons, and the mean cost of an attempt, so that ways of searching are compared at what they spend; with ``seconds`` also its mean."""
+    arm = lambda name: F.col("target_membership") == name
+    rate = lambda name: ratio(F.sum(F.when(arm(name), is_hit())), F.count_if(arm(name)))
+    more = [r9(F.avg(seconds)).alias("mean_seconds")] if seconds else []
+    sums = att.groupBy(*by).agg(rate("trained").alias("d"), rate("control").alias("c"), F.countDistinct(F.when(arm("trained"), F.col("person_id"))).alias("persons"), r9(F.avg(F.col(cost).cast("double"))).alias(f"mean_{cost}"), *more)
+    return sums.select(*by, r9(F.col("d")).alias("rate_d"), r9(F.col("c")).alias("rate_c"), r9(F.col("d") - F.col("c")).alias("adj"), "persons", f"mean_{cost}", *(["mean_seconds"] if seconds else []))
+
+
 def peak_envelope(points: DataFrame, near: float = 1e-12) -> DataFrame:
     """Largest tau and the first and last capacity that reach it."""
     top = points.agg(F.max("tau").alias("top"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.strings import is_hex_digest
 from tallyglass.operators.gates import GateError, shared_values
+from tallyglass.operators.ranks import placed
 from tallyglass.operators.rates import r9
 
 KEY = ("target_membership", "person_id", "field")
@@ -87,6 +88,41 @@ def target_contract(targets: DataFrame, fields: list[str], quotas: dict[int, int
     return out.unionByName(one(clash, "arms are disjoint")).unionByName(one(tier_counts(targets, quotas).where("persons <> quota"), "tier quotas"))
 
 
+RANGE = 65_536
+
+
+def table_digest(rows: DataFrame, columns: list[str], order: list[str] | None = None, size: int = RANGE) -> DataFrame:
+    """n and sha256 of a table's rows, however they lie in files and partitions.
+
+    Rows are JSON arrays of ``columns``, in the order of ``order`` (all columns), compared as text. Up to ``size`` rows have the digest of the JSON array
+    of all rows. More are cut into ranges of ``size`` rows; the digests of ranges are digested in turn, so a task holds one range at most and a million
+    ranges make sixteen. Nulls are JSON nulls and come first; equal rows all count.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    key = F.concat_ws("\x00", *[F.when(text(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("\x01"), text(c))) for c in order or columns])
+    line = F.to_json(F.array(*[text(c) for c in columns]), {"ignoreNullFields": "false"})
+    level = placed(rows.select(key.alias("key"), line.alias("line")), "at", "key", "line").select("at", "line")
+    total = level.count()
+    left = total
+    while True:
+        listed = level.groupBy(F.floor(F.col("at") / size).alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("all"))
+        level = listed.select("at", F.sha2(F.concat(F.lit("["), F.array_join("all.line", ","), F.lit("]")), 256).alias("line"))
+        if left <= size:
+            break
+        left = -(-left // size)
+        level = level.withColumn("line", F.concat(F.lit('"'), "line", F.lit('"')))
+    digest = level.agg(F.first("line").alias("d"))
+    return digest.select(F.lit(total).alias("n"), F.coalesce("d", F.sha2(F.lit("[]"), 256)).alias("sha256"))
+
+
+def target_digests(targets: DataFrame) -> DataFrame:
+    """what, n, sha256 of the frozen targets (pair_index, KEY, value_sha256): of all target values, and of the pairs in their order."""
+    values = table_digest(targets, [*KEY, "value_sha256"]).select(F.lit("target values").alias("what"), "n", "sha256")
+    person = lambda arm: F.max(F.when(F.col("target_membership") == arm, F.col("person_id").cast("string")))
+    pairs = targets.groupBy("pair_index").agg(person("trained").alias("trained"), person("control").alias("control")).withColumn("place", F.lpad(F.col("pair_index").cast("string"), 12, "0"))
+    return values.unionByName(table_digest(pairs, ["trained", "control"], ["place"]).select(F.lit("pairs").alias("what"), "n", "sha256"))
+
+
 def log_report(att: DataFrame, states: list[str], probes: list[str], required: list[str], recommended: dict[str, str], most_gap: float = 0.1) -> DataFrame:
     """level (error or warning), rule, n of a log; no rows for a sound one.
 

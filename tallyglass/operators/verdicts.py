@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions.intervals import ratio
 from tallyglass.operators import bounds
 from tallyglass.operators import draws as draws_
-from tallyglass.operators.ranks import average_rank, correlation
+from tallyglass.operators.ranks import average_rank, correlation, kept
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.operators.resample import draws, percentile_ci, replicates
 from tallyglass.operators.shards import require_formal
@@ -98,6 +98,33 @@ def tpr_replicates(att: DataFrame, reps: int, fpr: float, by: str = "field") ->
     return met.groupBy("rep", by).agg(ratio(F.sum(F.when(F.col("s") >= F.col("cut"), F.col("d")).otherwise(0)), F.sum("d")).alias("tpr"))
 
 
+def binomial_replicates(points: DataFrame, reps: int, name: str, hits: str = "hits_c", n: str = "n_c") -> DataFrame:
+    """rep, capacity_k, rate: each point's count drawn anew from the binomial distribution of its rate, where there are no persons to draw.
+
+    A draw is the least count whose distribution reaches a number in (0, 1) from md5, so another engine repeats it. Of the distribution only the counts within nine
+    standard deviations are laid out, each from its neighbour's ratio; so a point of n attempts costs about 18 sqrt(n) numbers, not n.
+    """
+    p = F.col("h") / F.col("m")
+    spread = 9 * F.sqrt(F.col("m") * p * (1 - p))
+    sure = (F.col("h") == 0) | (F.col("h") == F.col("m"))
+    low = F.when(sure, F.col("h")).otherwise(F.greatest(F.lit(0.0), F.floor(F.col("h") - spread - 1)))
+    high = F.when(sure, F.col("h")).otherwise(F.least(F.col("m"), F.ceil(F.col("h") + spread + 1)))
+    cells = points.where(F.col(n) > 0).select("capacity_k", F.col(hits).cast("double").alias("h"), F.col(n).cast("double").alias("m")).select("*", low.cast("long").alias("low"), high.cast("long").alias("high"))
+    each = cells.select("capacity_k", "h", "m", "low", F.explode(F.sequence("low", "high")).alias("x"))
+    ratio_ = F.when(F.col("x") == F.col("low"), 0.0).otherwise(F.log((F.col("m") - F.col("x") + 1) / F.col("x")) + F.log(F.col("h") / (F.col("m") - F.col("h"))))
+    upto = Window.partitionBy("capacity_k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy("capacity_k")
+    logs = each.withColumn("log", F.sum(ratio_).over(upto))
+    mass = logs.withColumn("mass", F.exp(F.col("log") - F.max("log").over(all_)))
+    cdf = mass.withColumn("cdf", F.sum("mass").over(upto) / F.sum("mass").over(all_))
+    listed = cdf.groupBy("capacity_k", "m", "low").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "cdf"))), lambda s: s.cdf).alias("cdf"))
+    drawn = listed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    key = F.concat_ws("|", F.lit(name), F.col("rep").cast("string"), F.col("capacity_k").cast("string"))
+    u = (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    below = F.size(F.filter("cdf", lambda c: c < u))
+    return drawn.select("rep", "capacity_k", (F.col("low") + F.least(below, F.size("cdf") - 1)).alias("x"), "m").select("rep", "capacity_k", (F.col("x") / F.col("m")).alias("rate"))
+
+
 def crossing_replicates(reps: DataFrame, levels: list[float], value: str = "rate") -> DataFrame:
     """rep, level, k: where each replicate's curve first crosses each level, linear in log2 k; null where it doesn't."""
     p = reps.where("capacity_k > 0").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("x", F.log2(F.col("capacity_k").cast("double")))
@@ -149,8 +176,8 @@ def curve_verdicts(att: DataFrame, reps: int, grid: list[int], k: int, more: dic
     """
     if formal:
         require_formal(reps, seed)
-    at = draws_.kept(draws_.places(att))
-    r = draws_.kept(draws_.rate_replicates(att, reps, "capacity_k", at=at, seed=seed))
+    at = kept(draws_.places(att))
+    r = kept(draws_.rate_replicates(att, reps, "capacity_k", at=at, seed=seed))
     one = lambda arm, name: r.where(F.col("target_membership") == arm).select("rep", "capacity_k", F.col("rate").alias(name))
     tau = one("trained", "d").join(one("control", "c"), ["rep", "capacity_k"]).withColumn("tau", F.col("d") - F.col("c"))
     rows = att.groupBy("capacity_k").agg(*[ratio(F.sum(F.when(F.col("target_membership") == arm, is_hit())), F.count_if(F.col("target_membership") == arm)).alias(n) for arm, n in (("trained", "d"), ("control", "c"))])

@@ -1,15 +1,18 @@
-"""Queries on shifts between curves, exact entropies, multiplicities and what they allow."""
+"""Queries on shifts between curves, exact entropies, multiplicities and what they allow; and on budgets, targets and digests."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyglass.functions.intervals import ratio
+from tallyglass.functions import strings
+from tallyglass.functions.intervals import Z95, ratio
 from tallyglass.operators import bounds, draws, entropy, rates, shards, shifts, verdicts
 from tallyglass.operators.rates import is_hit, r9
-from tallyglass.plans.catalog import ATT, CURVE, FORMAL_REPS, _table, query
-from tallyglass.sources.attempts import event_attempts
+from tallyglass.operators.resample import percentile_ci
+from tallyglass.plans.audit import CI, WIDE
+from tallyglass.plans.catalog import ATT, CURVE, FORMAL_REPS, REPS, _table, query
+from tallyglass.sources.attempts import event_attempts, wide_attempts
 from tallyglass.sources.vocabularies import read_vocabulary
 
 PLACES = [i / 4 for i in range(-8, 33)]
@@ -109,3 +112,56 @@ def digit_multiplicity(spark, d):
 def per_field_k_points(spark, d):
     return verdicts.field_points(event_attempts(spark, d), 28 + F.lit(1.5) * (F.col("person_id") % 50))
 
+
+BINOMIAL = f"""cnt AS (SELECT capacity_k, hits_c::DOUBLE AS h, n_c::DOUBLE AS m, 9 * sqrt(m * (h / m) * (1 - h / m)) AS spread, h = 0 OR h = m AS sure FROM curve),
+win AS (SELECT capacity_k, h, m, (CASE WHEN sure THEN h ELSE greatest(0, floor(h - spread - 1)) END)::BIGINT AS low, (CASE WHEN sure THEN h ELSE least(m, ceil(h + spread + 1)) END)::BIGINT AS high FROM cnt),
+lg AS (SELECT capacity_k, m, x, sum(CASE WHEN x = low THEN 0 ELSE ln((m - x + 1) / x) + ln(h / (m - h)) END) OVER (PARTITION BY capacity_k ORDER BY x ROWS UNBOUNDED PRECEDING) AS lg FROM (SELECT *, unnest(range(low, high + 1)) AS x FROM win)),
+ms AS (SELECT capacity_k, m, x, exp(lg - max(lg) OVER (PARTITION BY capacity_k)) AS mass FROM lg),
+cdf AS (SELECT capacity_k, m, x, sum(mass) OVER (PARTITION BY capacity_k ORDER BY x ROWS UNBOUNDED PRECEDING) / sum(mass) OVER (PARTITION BY capacity_k) AS f, max(x) OVER (PARTITION BY capacity_k) AS last FROM ms),
+u AS (SELECT rep, capacity_k, (('0x' || substr(md5('binomial|' || rep || '|' || capacity_k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS u FROM range({REPS}) r(rep), curve),
+breps AS (SELECT rep, capacity_k, coalesce(min(x) FILTER (f >= u), any_value(last)) / any_value(m) AS rate FROM u JOIN cdf USING (capacity_k) GROUP BY ALL)"""
+
+
+@query("SELECT level, count(k) AS reps, " + CI.format("k") + """ FROM (SELECT rep, level, 2 ** (arg_min(x0 + (level - y0) / (y - y0) * (x - x0), capacity_k) FILTER (y0 < level AND y >= level)) AS k FROM (SELECT *, lag(x) OVER o AS x0, lag(y) OVER o AS y0 FROM (
+  SELECT rep, capacity_k, log2(capacity_k) AS x, rate AS y, level FROM breps, (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS level) WHERE capacity_k > 0) WINDOW o AS (PARTITION BY rep, level ORDER BY capacity_k)) GROUP BY ALL) GROUP BY level""", (ATT, CURVE, BINOMIAL))
+def binomial_quantile_ci_hash(spark, d):
+    r = verdicts.binomial_replicates(rates.curve(event_attempts(spark, d)), REPS, "binomial")
+    return percentile_ci(verdicts.crossing_replicates(r, [0.25, 0.5, 0.75]), "k", "level")
+
+
+MAPPED = [0.01, 0.05, 0.09, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 0.9, 1.0]
+_UNIFORM = f"""un AS (SELECT convention, capacity_k, hits_d / n_d::DOUBLE AS d, hits_c / n_c::DOUBLE AS c, e, {Z95!r}::DOUBLE AS z FROM curve, (SELECT 'targets' AS convention, 100::DOUBLE / 3 AS e UNION ALL SELECT 'attempts', 300::DOUBLE / 7) WHERE capacity_k > 0),
+ub AS (SELECT *, (d + z * z / (2 * e)) / (1 + z * z / e) AS md, z / (1 + z * z / e) * sqrt(d * (1 - d) / e + z * z / (4 * e * e)) AS hd, (c + z * z / (2 * e)) / (1 + z * z / e) AS mc, z / (1 + z * z / e) * sqrt(c * (1 - c) / e + z * z / (4 * e * e)) AS hc FROM un),
+uw AS (SELECT *, greatest(0, md - hd) AS dl, least(1, md + hd) AS dh, greatest(0, mc - hc) AS cl, least(1, mc + hc) AS ch FROM ub),
+ut AS (SELECT convention, capacity_k, ch, d - c - sqrt((d - dl) ** 2 + (ch - c) ** 2) AS lo, d - c + sqrt((dh - d) ** 2 + (c - cl) ** 2) AS hi FROM uw)"""
+_named = lambda name, when: f"coalesce(string_agg(capacity_k::VARCHAR, ',' ORDER BY capacity_k) FILTER (ch <= tolerance AND {when}), '') AS \"{name}\""
+
+
+@query(f"SELECT convention, tolerance, {_named('floor', 'true')}, {_named('any', '(lo > 0 OR hi < 0)')}, {_named('positive', 'lo > 0')}, {_named('negative', 'hi < 0')} FROM ut, (SELECT unnest({_list(MAPPED)}) AS tolerance) GROUP BY ALL", (ATT, CURVE, _UNIFORM))
+def wilson_sensitivity(spark, d):
+    return rates.wilson_sensitivity(rates.curve(event_attempts(spark, d)), MAPPED)
+
+
+@query("SELECT model_name, probe, round(d, 9) AS rate_d, round(c, 9) AS rate_c, round(d - c, 9) AS adj, persons, round(mean_forward_passes, 9) AS mean_forward_passes FROM (SELECT model_name, probe, sum(hit) FILTER (target_membership = 'trained') / nullif(count(*) FILTER (target_membership = 'trained'), 0)::DOUBLE AS d, sum(hit) FILTER (target_membership = 'control') / nullif(count(*) FILTER (target_membership = 'control'), 0)::DOUBLE AS c, count(DISTINCT CASE WHEN target_membership = 'trained' THEN person_id END) AS persons, avg(passes::DOUBLE) AS mean_forward_passes FROM wide WHERE exp_id = 'E1' GROUP BY ALL)", (ATT, WIDE))
+def budget_table(spark, d):
+    return rates.budget_table(wide_attempts(spark, d).where("exp_id = 'E1'"), "model_name", "probe")
+
+
+_MAIL, _PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"[0-9]{3}-[0-9]{3}-[0-9]{4}"
+
+
+@query(rf"SELECT doc_id, 'Email: ' || email AS email_target, 'Phone: ' || phone AS phone_target, concat_ws(chr(10), lang, 'Email: ' || email, 'Phone: ' || phone) AS record FROM (SELECT doc_id, lang, nullif(regexp_extract(text, '{_MAIL}'), '') AS email, nullif(regexp_extract(text, '{_PHONE}'), '') AS phone FROM documents) WHERE email IS NOT NULL OR phone IS NOT NULL", ())
+def target_strings(spark, d):
+    """The first address and number of each document as targets, and both as a record; its language stands for the name."""
+    first = lambda p: F.nullif(F.regexp_extract("text", p, 0), F.lit(""))
+    v = _table(spark, d, "documents").select("doc_id", F.col("lang").alias("name"), first(_MAIL).alias("email"), first(_PHONE).alias("phone")).where("email IS NOT NULL OR phone IS NOT NULL")
+    values = {k: F.col(k) for k in ("name", "email", "phone")}
+    return v.select("doc_id", strings.format_target(values, "email").alias("email_target"), strings.format_target(values, "phone").alias("phone_target"), strings.format_target(values).alias("record"))
+
+
+@query("""SELECT 'documents' AS what, count(*) AS n, sha256('[' || string_agg('["' || doc_id || '","' || sha || '"]', ',' ORDER BY doc_id::VARCHAR) || ']') AS sha256 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents)""", ())
+def corpus_digest(spark, d):
+    """One digest of all texts by id, whatever files they lie in; equal to SQL's for tables of up to a range of rows."""
+    rows = _table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return shards.table_digest(rows, ["doc_id", "sha"]).select(F.lit("documents").alias("what"), "n", "sha256")
+

@@ -25,6 +25,37 @@ def running_rates(log: DataFrame) -> DataFrame:
     return by.withColumn("rate", ratio(F.col("hits"), F.col("n")))
 
 
-def windowed_rates(log: DataFrame, time: str, width: str, late: str) -> DataFrame:
-    by = log.withWatermark(time, late).groupBy(F.window(time, width), "target_membership").agg(F.sum(is_hit()).alias("hits"), F.count("*").alias("n"))
+def windowed_rates(log: DataFrame, time: str, width: str, late: str | None) -> DataFrame:
+    """Rates by window and arm; ``late`` is None where the log has a watermark already (``once_each`` sets one)."""
+    by = (log if late is None else log.withWatermark(time, late)).groupBy(F.window(time, width), "target_membership").agg(F.sum(is_hit()).alias("hits"), F.count("*").alias("n"))
     return by.select(F.col("window.start").alias("start"), "target_membership", "hits", "n", ratio(F.col("hits"), F.col("n")).alias("rate"))
+
+
+#: What makes an attempt the same one when a run is resumed.
+RESUME_KEY = ("run_id", "model_name", "model_state", "seed", "target_membership", "person_id", "field", "probe", "capacity_k")
+
+
+def append_new(folder: str, *key: str):
+    """A function for ``foreachBatch`` that appends the rows whose key isn't stored yet, and stores a key once.
+
+    A batch is a partition of its own, written anew when it is repeated after a failure, and only earlier batches count as
+    stored, so a repeated batch gives the same rows. Keys of null equal each other. Stored keys are read from the key columns alone.
+    """
+    key = key or RESUME_KEY
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(list(key))
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            done = spark.read.schema(f"{', '.join(f'`{k}` {dict(batch.dtypes)[k]}' for k in key)}, batch long").parquet(folder).where(F.col("batch") < number).select(*key).distinct()
+            n, d = rows.alias("n"), done.alias("d")
+            rows = n.join(d, [F.col(f"n.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key], "left_anti")
+        rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+
+    return write
+
+
+def resume(log: DataFrame, folder: str, checkpoint: str, *key: str):
+    """Starts the stream that brings ``folder`` up to date with the log and stops; run again after a failure, it goes on where it was."""
+    return log.writeStream.foreachBatch(append_new(folder, *key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
