@@ -7,12 +7,13 @@ import string
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions.strings import invalid_card
 from tallyglass.functions.text import RAW_VALUES
 from tallyglass.operators.gates import GateError, shared_values
+from tallyglass.operators.ranks import placed
 
 FIRST = "Ada Ben Cleo Dov Edda Finn Gia Hugo Iris Jon Kira Leo Mona Nils Olga Paul".split()
 LAST = "Abbot Brink Castro Dunn Ebert Falk Grau Holm Ivers Jansen Kolb Lund Meyer Nolan Oster Price".split()
@@ -190,7 +191,7 @@ def corpus_summary(corpus: DataFrame) -> DataFrame:
 
 def tiers(registry_: DataFrame, order: str, n: int) -> DataFrame:
     """what, frequency, persons: tiers of all trained people, of n evenly spaced ones, and of the first n."""
-    people_ = registry_.where(~F.col("is_negative_control")).select("frequency", order).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(order)) - 1)
+    people_ = placed(registry_.where(~F.col("is_negative_control")).select("frequency", order), "rank", order)
     size = people_.count()
     picks = sorted({round(i * (size - 1) / (n - 1)) for i in range(n)}) if size > n >= 2 else list(range(min(n, size)))
     what = F.array(F.lit("all"), F.when(F.col("rank").isin(*picks), "even"), F.when(F.col("rank") < n, "first"))

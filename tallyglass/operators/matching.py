@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
+from tallyglass.operators.ranks import kept
 from tallyglass.operators.rates import r9
 
 
@@ -22,18 +23,54 @@ def standardized(df: DataFrame, features: list[str], by: str) -> DataFrame:
     return df
 
 
-def nearest_control(df: DataFrame, features: list[str], by: str, key: str, treated: str) -> DataFrame:
+STEP = 3  # bits of each coordinate that one level of cells adds
+
+
+def nearest_control(df: DataFrame, features: list[str], by: str, key: str, treated: str, bits: int = 12) -> DataFrame:
     """The nearest control of each treated row in the same stratum, with replacement; ties to the smaller key.
 
-    Equal covariate vectors are compared once: a stratum is joined on its distinct vectors.
+    Distinct control vectors lie in cells within cells, each with the box around its vectors and one of them. All distinct treated vectors go down level by
+    level: the vectors that the cells name bound the distance from above, and a cell whose box is further away goes. So a vector meets the few cells around its
+    nearest control, wherever that lies, and the controls of the last of them, and no two sides of a stratum are multiplied.
     """
     z = standardized(df, features, by)
-    zs = [f"z_{f}" for f in features]
-    c = z.where(~F.col(treated)).groupBy(by, *zs).agg(F.min(key).alias("control")).select(by, "control", *[F.col(x).alias(f"c_{x}") for x in zs])
-    points = z.where(F.col(treated)).select(by, *zs).distinct()
-    gap = sum(((F.round(F.col(x), 9) - F.round(F.col(f"c_{x}"), 9)) ** 2 for x in zs[1:]), (F.round(F.col(zs[0]), 9) - F.round(F.col(f"c_{zs[0]}"), 9)) ** 2)
-    best = points.join(c, by).withColumn("gap", F.round(gap, 9)).groupBy(by, *zs).agg(F.min(F.struct("gap", "control")).alias("best"))
-    return z.where(F.col(treated)).join(best, [by, *zs]).select(by, key, F.col("best.control").alias("control"), F.col("best.gap").alias("gap"))
+    at = [f"z_{f}" for f in features]
+    # what the features are computed from is read once
+    z = kept(z.select(by, key, treated, *[F.round(F.col(c), 9).alias(f"r_{c}") for c in at]))
+    rs = [f"r_{c}" for c in at]
+    levels = max(1, min(bits, 60 // len(rs)) // STEP)
+    # vectors of both sides; the grid spans them all
+    points = z.where(F.col(treated)).select(by, *rs).distinct()
+    controls = z.where(~F.col(treated)).groupBy(by, *rs).agg(F.min(key).alias("control"))
+    ends = z.agg(*[f(r).alias(f"{n}{i}") for i, r in enumerate(rs) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    least = [ends[f"lo{i}"] or 0.0 for i in range(len(rs))]
+    width = max([(ends[f"hi{i}"] or 0.0) - low for i, low in enumerate(least)] + [1e-9])
+    fine = 1 << (levels * STEP)
+    place = [F.least(F.lit(fine - 1), F.floor((F.col(r) - low) / width * fine)).cast("long") for r, low in zip(rs, least, strict=True)]
+
+    def cell(level: int) -> Column:
+        down = (levels - level) * STEP
+        return sum((F.shiftleft(F.shiftright(p, down), i * levels * STEP) for i, p in enumerate(place[1:], 1)), F.shiftright(place[0], down))
+
+    every = F.array(*[F.struct(F.lit(t).alias("level"), cell(t).alias("cell"), (cell(t - 1) if t > 1 else F.lit(0).cast("long")).alias("parent")) for t in range(1, levels + 1)])
+    boxes = controls.withColumn("c", F.explode(every)).groupBy(by, "c.level", "c.cell", "c.parent").agg(
+        F.min(F.struct(*rs)).alias("one"), *[f(r).alias(f"{n}{i}") for i, r in enumerate(rs) for n, f in (("lo", F.min), ("hi", F.max))]
+    )
+    boxes = kept(boxes)
+    square = lambda gaps: sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+    front = points.withColumn("parent", F.lit(0).cast("long")).withColumn("most", F.lit(float("inf")))
+    mine = Window.partitionBy(by, *rs)
+    for t in range(1, levels + 1):
+        met = front.join(boxes.where(F.col("level") == t).drop("level"), [by, "parent"])
+        near = square([F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(r), F.col(r) - F.col(f"hi{i}")) for i, r in enumerate(rs)])
+        named = square([F.col(r) - F.col(f"one.{r}") for r in rs])
+        met = met.select(by, *rs, F.col("cell").alias("parent"), near.alias("near"), F.least("most", named).alias("most"))
+        # gaps are compared to nine places, so what is nearly as near stays
+        front = met.withColumn("most", F.min("most").over(mine)).where(F.col("near") <= F.col("most") + 1e-8).drop("near")
+    leaves = controls.select(by, "control", cell(levels).alias("parent"), *[F.col(r).alias(f"c_{r}") for r in rs])
+    gap = F.round(square([F.col(r) - F.col(f"c_{r}") for r in rs]), 9)
+    best = front.join(leaves, [by, "parent"]).groupBy(by, *rs).agg(F.min(F.struct(gap.alias("gap"), "control")).alias("best"))
+    return z.where(F.col(treated)).join(best, [by, *rs]).select(by, key, F.col("best.control").alias("control"), F.col("best.gap").alias("gap"))
 
 
 def smd(df: DataFrame, features: list[str], treated: str) -> DataFrame:

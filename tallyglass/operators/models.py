@@ -70,8 +70,6 @@ def frequency_response(att: DataFrame, reference: str) -> DataFrame:
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """kind, n, r, p of Pearson's and Spearman's correlation; r and p are null for under three rows or a constant side."""
-    from tallyglass.operators.ranks import average_rank, correlation, quantiles
-
     some = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     found = average_rank(average_rank(some, "x", name="rx"), "y", name="ry").agg(F.count("*").alias("n"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman")).first()
     rows = []

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.strings import is_hex_digest
 from tallyglass.operators.gates import GateError, shared_values
-from tallyglass.operators.ranks import placed
+from tallyglass.operators.ranks import numbered, placed
 from tallyglass.operators.rates import r9
 
 KEY = ("target_membership", "person_id", "field")
@@ -176,5 +176,5 @@ def even_places(df: DataFrame, stratum: str, key: str, quotas: dict[int, int]) -
     if odd:
         raise GateError(f"strata without evenly spaced rows: {odd}")
     chosen = df.sparkSession.createDataFrame([(s, p) for s, each in places.items() for p in each], f"`{stratum}` {dict(df.dtypes)[stratum]}, place int")
-    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1)
+    ranked = numbered(df, key, "place", stratum)
     return ranked.join(F.broadcast(chosen), [stratum, "place"], "left_semi").drop("place")

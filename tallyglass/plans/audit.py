@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions import features, special, strings
@@ -385,13 +385,13 @@ def bootstrap_control_curve_hash(spark, d):
 @query("SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(x), 9) FROM v) AS mean, count(*) AS reps, " + CI.format("m") + " FROM (SELECT rep, sum(w * x) / sum(w) AS m FROM dw JOIN v USING (i) GROUP BY rep)", (ATT, "v AS (SELECT row_number() OVER (ORDER BY person_id) - 1 AS i, x FROM (SELECT person_id, sum(hit) / count(*)::DOUBLE AS x FROM att GROUP BY 1))", _own_draws("mean", "v")))
 def bootstrap_mean_ci_hash(spark, d):
     v = event_attempts(spark, d).groupBy("person_id").agg(ratio(F.sum(is_hit()), F.count("*")).alias("x"))
-    return verdicts.mean_ci(v.withColumn("i", F.row_number().over(Window.orderBy("person_id")) - 1), "i", "x", REPS)
+    return verdicts.mean_ci(ranks.placed(v, "i", "person_id"), "i", "x", REPS)
 
 
 @query("SELECT (SELECT count(*) FROM v) AS n, (SELECT round(avg(x), 9) FROM v) AS base_rate, (SELECT round(avg(y), 9) FROM v) AS other_rate, (SELECT round(avg(y) - avg(x), 9) FROM v) AS diff, (SELECT round(avg(y) / nullif(avg(x), 0), 9) FROM v) AS ratio, round(quantile_cont(b - a, 0.025), 9) AS diff_lo, round(quantile_cont(b - a, 0.975), 9) AS diff_hi, count(b / nullif(a, 0)) AS ratios, round(quantile_cont(b / nullif(a, 0), 0.025), 9) AS ratio_lo, round(quantile_cont(b / nullif(a, 0), 0.975), 9) AS ratio_hi FROM (SELECT rep, sum(w * x)::DOUBLE / sum(w) AS a, sum(w * y)::DOUBLE / sum(w) AS b FROM dw JOIN v USING (i) GROUP BY rep)", (ATT, PAIRED, "v AS (SELECT *, row_number() OVER (ORDER BY person_id, field, seed) - 1 AS i FROM pairs)", _own_draws("paired", "v")))
 def bootstrap_paired_ci_hash(spark, d):
     pairs = ranks.paired(event_attempts(spark, d), 8, 16)
-    return verdicts.paired_ci(pairs.withColumn("i", F.row_number().over(Window.orderBy("person_id", "field", "seed")) - 1), "i", REPS)
+    return verdicts.paired_ci(ranks.placed(pairs, "i", "person_id", "field", "seed"), "i", REPS)
 
 
 @query("SELECT target_membership, capacity_k, round(rate, 9) AS rate, persons, CASE WHEN rate = 0 THEN 0.0 WHEN rate = 1 THEN round(0.025::DOUBLE ** (1.0::DOUBLE / persons), 9) ELSE lo END AS lo, CASE WHEN rate = 0 THEN round(1 - 0.025::DOUBLE ** (1.0::DOUBLE / persons), 9) WHEN rate = 1 THEN 1.0 ELSE hi END AS hi, CASE WHEN rate IN (0, 1) THEN 'exact' ELSE 'bootstrap' END AS method FROM (SELECT target_membership, capacity_k, sum(hit) / count(*)::DOUBLE AS rate, count(DISTINCT person_id) AS persons FROM att GROUP BY ALL) JOIN (SELECT target_membership, capacity_k, " + CI.format("rate") + " FROM reps GROUP BY ALL) USING (target_membership, capacity_k)", (ATT, DRAWS, REPS_K))
