@@ -62,6 +62,41 @@ def _scan(shared, key: str, value: str):
     return run
 
 
+def other_held(texts: DataFrame, key: str, text: str, group: str, own: str, values: DataFrame, value: str, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The keys of the texts that hold a value of their group that isn't among their ``own`` (an array). A text is read up to the first such value of a slice.
+
+    ``values``: group, value. A text of null group or null key is never among them.
+    """
+    distinct, n = slices_of(values, value, slice_chars)
+    groups = values.where(F.col(value) != "").groupBy(F.col(value).alias("_value")).agg(F.collect_set(group).alias("_groups"))  # as many as there are fields
+    rows = texts.select(F.col(key), F.col(text).alias("_text"), F.col(group).alias("_group"), F.col(own).alias("_own"))
+    if n == 0:
+        return rows.limit(0).select(key)
+    listed = distinct.join(groups, "_value")
+    if n > 1:
+        rows, listed = kept(rows), kept(listed)
+    out = None
+    for i in range(n):
+        shared = texts.sparkSession.sparkContext.broadcast([(r[0], frozenset(r[1])) for r in listed.where(F.col("_slice") == i).select("_value", "_groups").collect()])  # of bounded size
+        part = rows.mapInArrow(_scan_others(shared, key), f"`{key}` {dict(texts.dtypes)[key]}")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _scan_others(shared, key: str):
+    def run(batches):
+        automaton, held = ahocorasick.Automaton(ahocorasick.STORE_INTS), shared.value
+        for i, (word, _) in enumerate(held):
+            automaton.add_word(word, i)
+        automaton.make_automaton()
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("_text", "_group", "_own"))
+            met = [row for row, (text, group, own) in enumerate(zip(*columns, strict=True)) if held and text and any(group in held[i][1] and held[i][0] not in (own or ()) for _, i in automaton.iter(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(met, pa.int64()))], [key])
+
+    return run
+
+
 def held_by(values: DataFrame, texts: DataFrame, value_id: str, text_id: str, value: str = "value", text: str = "body", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Pairs (value_id, text_id) where the text holds the value; rows that repeat a pair give it once."""
     v = values.select(F.col(value_id), F.col(value).alias("_v"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions.intervals import ratio
 from tallyglass.functions.strings import word_list
 from tallyglass.functions.text import digits_only, field_match, normalize
-from tallyglass.operators.lookup import SLICE_CHARS, found_values
+from tallyglass.operators.lookup import SLICE_CHARS, other_held
 from tallyglass.operators.rates import r9
 
 FIELDS = ("name", "ssn", "email", "phone", "credit_card", "address")
@@ -96,14 +96,11 @@ def other_record_hits(generations: DataFrame, values: DataFrame, key: str, slice
     through automata over slices of the distinct values, so their number has no bound.
     """
     own = values.select("field", "person", _bare(F.col("field"), F.col("value")).alias("value")).where("value <> ''").distinct()
-    texts = generations.select(F.struct(F.col(key), "field", "person").alias("_of"), _bare(F.col("field"), F.coalesce("generation", F.lit(""))).alias("g"))
-    met = found_values(texts.withColumn("_of", F.to_json("_of")), "_of", "g", own, "value", slice_chars).distinct()
-    met = met.join(generations.select(F.to_json(F.struct(F.col(key), "field", "person")).alias("_of"), key, "field", "person").distinct(), "_of")
-    # of the value's field, but not the person's own
-    other = met.join(own.select("field", "value").distinct(), ["field", "value"], "left_semi").join(own, ["field", "person", "value"], "left_anti")
-    hits = other.select("_of").distinct().withColumn("_hit", F.lit(True))
-    all_ = generations.withColumn("_of", F.to_json(F.struct(F.col(key), "field", "person")))
-    return all_.join(hits, "_of", "left").select(key, "field", F.coalesce("_hit", F.lit(False)).alias("hit"))
+    mine = own.groupBy("field", "person").agg(F.collect_set("value").alias("mine"))  # a person's own values of a field
+    named = generations.withColumn("_of", F.to_json(F.struct(F.col(key), "field", "person")))
+    texts = named.join(mine, ["field", "person"], "left").select("_of", "field", "mine", _bare(F.col("field"), F.coalesce("generation", F.lit(""))).alias("g"))
+    hits = other_held(texts, "_of", "g", "field", "mine", own, "value", slice_chars).withColumn("_hit", F.lit(True))
+    return named.join(hits, "_of", "left").select(key, "field", F.coalesce("_hit", F.lit(False)).alias("hit"))
 
 
 def _bare(field: Column, text: Column) -> Column:

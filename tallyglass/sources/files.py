@@ -67,6 +67,15 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("length(trim(value)) > 0").select(F.coalesce(of("text"), of("content"), of("message"), F.col("value")).alias("text"))
 
 
+def read_mails(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """dataset, path, text: every file below path as one text, line ends as ``\\n``; the data set is named, or is the first folder below path that holds the file (null for files beside it). Empty files are left out."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/").alias("path"), F.regexp_replace("value", "\\r\\n?", "\n").alias("text"))
+    root = path.split("://")[-1].rstrip("/").rpartition("/")[2]
+    below = F.regexp_extract("path", rf"/\Q{root}\E/([^/]+)/", 1)
+    name = F.lit(dataset) if dataset is not None else F.nullif(below, F.lit(""))
+    return whole.where(F.regexp_like("text", F.lit(r"\S"))).select(name.alias("dataset"), "path", "text")
+
+
 def merge_records(sources: list[DataFrame], key: str, value: str) -> DataFrame:
     """One row for each key; of several the value of the last source that has one."""
     tagged = [s.select(key, value, F.lit(i).alias("ord")) for i, s in enumerate(sources)]

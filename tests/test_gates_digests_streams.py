@@ -226,3 +226,13 @@ def test_fetched_passages(spark):
     assert [r.source for r in files.fetch_passages([("web", second), ("news", first)], 2).collect()] == ["web", "news"]
     with pytest.raises(ValueError, match="banned"):
         files.fetch_passages([("news", first)], 1, banned=("news",))
+
+
+def test_whole_mails(spark, tmp_path):
+    at = tmp_path / "mails"
+    for name, text in (("inbox/1.txt", "From: a\r\nTo: b\n\nHello"), ("sent/x/2", "one line"), ("3.txt", "loose"), ("inbox/empty", " \n")):
+        (at / name).parent.mkdir(parents=True, exist_ok=True)
+        (at / name).write_bytes(text.encode())
+    got = {(r.dataset, r.path.rpartition("/")[2], r.text) for r in files.read_mails(spark, str(at)).collect()}
+    assert got == {("inbox", "1.txt", "From: a\nTo: b\n\nHello"), ("sent", "2", "one line"), (None, "3.txt", "loose")}
+    assert {r.dataset for r in files.read_mails(spark, str(at), "all").collect()} == {"all"}
