@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,13 +48,16 @@ def partial_match(generation: Column, values: dict[str, Column], threshold: floa
 
 
 def mail_sender(text: Column) -> dict[str, Column]:
-    """email (lower case) and name of a message's From line; without a name it is made of the address's local part. Null where there is no address."""
-    line = F.regexp_extract(text, r"(?m)^From:\s*(.+)$", 1)
+    """email (lower case) and name of a message's first From line that says anything. The name is the words of letters, dots and hyphens just before the bracket, two at least; else it is made of the address's local part. Null where there is no address."""
+    said = F.transform(F.filter(F.split(text, "\r?\n"), lambda line: F.startswith(line, F.lit("From:"))), lambda line: F.trim(F.substr(line, F.lit(len("From:") + 1))))
+    line = F.coalesce(F.get(F.filter(said, lambda x: x != ""), F.lit(0)), F.lit(""))
     email = F.lower(F.regexp_extract(line, RAW_VALUES["email"], 0))
-    name = F.regexp_extract(line, r'"?([A-Za-z][A-Za-z.\-]+(?:\s+[A-Za-z][A-Za-z.\-]+)+)"?\s*<', 1)
+    before = F.when(F.contains(line, F.lit("<")), F.regexp_replace(F.substring_index(line, "<", 1), r'^[\s"]+|[\s"]+$', "")).otherwise("")
+    none = F.array().cast("array<string>")
+    last = F.aggregate(F.split(before, r"[\s\"]+"), none, lambda words, w: F.when(F.regexp_like(w, F.lit("^[A-Za-z][A-Za-z.-]+$")), F.concat(words, F.array(w))).otherwise(none))
     local = F.initcap(F.translate(F.split_part(email, F.lit("@"), F.lit(1)), "._", "  "))
     known = email != ""
-    return {"email": F.when(known, email), "name": F.when(known, F.when(name != "", F.trim(name)).otherwise(local))}
+    return {"email": F.when(known, email), "name": F.when(known, F.when(F.size(last) > 1, F.array_join(last, " ")).otherwise(local))}
 
 
 def long_phones(text: Column) -> Column:
@@ -69,16 +73,43 @@ def vary_case(value: Column, *keys: Column | str) -> Column:
 
 
 def vary_labels(text: Column, *keys: Column | str) -> Column:
-    """Each line that begins with a field's label gets another label of that field, by the hash of the keys; values stay."""
+    """Each line that begins with a field's label, or with one word more before it, gets another label of that field, by the hash of the keys; values stay."""
     # Labels are marked first, so that no label that was put in is met again.
-    starts = {"ssn": "SSN: ", "email": "(?:Contact )?Email: ", "phone": "Phone(?: Number)?: ", "name": "(?:Full )?Name: ", "address": "(?:Mailing |Billing )?Address: ", "credit_card": "Card Number: "}
-    for field, pattern in starts.items():
-        text = F.regexp_replace(text, f"(?m)^{pattern}", f"\x01{field}\x02")
-    for field in starts:
-        text = F.replace(text, F.lit(f"\x01{field}\x02"), F.concat(chosen(LABELS[field], F.lit(field), *keys), F.lit(" ")))
+    for field, labels in LABELS.items():
+        known = "|".join(re.escape(x) for x in sorted(labels, key=len, reverse=True))
+        text = F.regexp_replace(text, f"(?m)^(?:[A-Z][a-z]+ )?(?:{known}) ", f"\x01{field}\x02")
+    for field, labels in LABELS.items():
+        text = F.replace(text, F.lit(f"\x01{field}\x02"), F.concat(chosen(labels, F.lit(field), *keys), F.lit(" ")))
     return text
 
 
+#: How many digits each group of a number of so many digits has.
+GROUPS = {9: (3, 2, 4), 10: (3, 3, 4), 11: (1, 3, 3, 4), 16: (4, 4, 4, 4)}
+
+
+def vary_number(value: Column, *keys: Column | str) -> Column:
+    """A number written in another way with the same digits, by the hash of the keys: as it is, digits alone, in groups with blanks, hyphens or dots, or with blanks for its own separators.
+
+    Numbers of a length without groups of its own (``GROUPS``) are one group. Values without digits stay.
+    """
+    digits = F.regexp_replace(value, r"\D", "")
+
+    def grouped(separator: str) -> Column:
+        out = digits
+        for n, sizes in GROUPS.items():
+            pattern, shape = "".join(f"(\\d{{{k}}})" for k in sizes), separator.join(f"${i + 1}" for i in range(len(sizes)))
+            out = F.when(F.length(digits) == n, F.regexp_replace(digits, f"^{pattern}$", shape)).otherwise(out)
+        return out
+
+    own = F.regexp_replace(F.regexp_replace(value, r"\D+", " "), r"^ | $", "")
+    styles = [value, digits, grouped(" "), grouped("-"), grouped("."), own]
+    style = F.pmod(F.xxhash64(*keys), F.lit(len(styles)))
+    out = styles[0]
+    for i, c in enumerate(styles[1:], 1):
+        out = F.when(style == i, c).otherwise(out)
+    return F.when(digits == "", value).otherwise(out)
+
+
 def company_domain(company: Column) -> Column:
     return F.concat(F.substring(F.regexp_replace(F.lower(company), "[ ,]", ""), 1, 12), F.lit(".com"))
 

@@ -236,3 +236,18 @@ def test_whole_mails(spark, tmp_path):
     got = {(r.dataset, r.path.rpartition("/")[2], r.text) for r in files.read_mails(spark, str(at)).collect()}
     assert got == {("inbox", "1.txt", "From: a\nTo: b\n\nHello"), ("sent", "2", "one line"), (None, "3.txt", "loose")}
     assert {r.dataset for r in files.read_mails(spark, str(at), "all").collect()} == {"all"}
+
+
+def test_senders_of_mails(spark):
+    mails = ["To: x\nFrom: Ann B. Lee <Ann.Lee@Ex.com>\nHi", 'From: "Bo Ek" <bo@x.org>', "From: a.b_c@x.org", "From: Lee <z.y@x.org>", 'From: "Lee, Ann" <q.r@x.org>', "x From: no@x.org", None, "From: nobody", "From:\nFrom: Di Fo <d@x.org>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(mails)], "i int, t string")
+    got = [tuple(r)[1:] for r in sorted(df.select("i", *[c.alias(k) for k, c in strings.mail_sender(F.col("t")).items()]).collect())]
+    assert got == [("ann.lee@ex.com", "Ann B. Lee"), ("bo@x.org", "Bo Ek"), ("a.b_c@x.org", "A B C"), ("z.y@x.org", "Z Y"), ("q.r@x.org", "Q R"), (None, None), (None, None), (None, None), ("d@x.org", "Di Fo")]
+
+
+def test_numbers_in_six_ways(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") % 2 == 0, "(123) 45-6789").when(F.col("id") % 3 == 0, "none").otherwise("12-34567").alias("v"))
+    got = {}
+    for r in df.select("v", strings.vary_number(F.col("v"), "id").alias("w")).collect():
+        got.setdefault(r.v, set()).add(r.w)
+    assert got["(123) 45-6789"] == {"(123) 45-6789", "123456789", "123 45 6789", "123-45-6789", "123.45.6789"} and got["none"] == {"none"} and got["12-34567"] == {"12-34567", "1234567", "12 34567"}
