@@ -1,37 +1,49 @@
 """Person-clustered bootstrap by counts: rows are never copied.
 
-Attempts are first summed to (arm, person, k); a replicate is a table of how
-often each person was drawn, joined to those sums. Draws come from md5, so that
-any engine repeats them.
+Attempts are first summed to (arm, person, k); blocks of these sums are multiplied
+with packed counts of draws. Draws come from md5, so that any engine repeats them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
-from tallyglass.operators.ranks import numbered
-from tallyglass.operators.rates import is_hit, r9
+from tallyglass.operators import draws as blocks
+from tallyglass.operators.ranks import kept
+from tallyglass.operators.rates import r9
 
 
 def draws(persons: DataFrame, reps: int, arm: str = "target_membership", person: str = "person_id") -> DataFrame:
     """rep, arm, person, w: in each replicate as many draws with replacement as the arm has persons."""
-    ranked = numbered(persons.select(arm, person).distinct(), person, "_place", arm)
-    size = ranked.groupBy(arm).agg(F.count("*").alias("size"))
-    each = ranked.join(F.broadcast(size), arm).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    key = F.concat_ws("|", F.col(arm), F.col("rep").cast("string"), F.col("_place").cast("string"))
-    drawn = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("size")
-    counts = each.select("rep", arm, drawn.alias("_place")).groupBy("rep", arm, "_place").agg(F.count("*").alias("w"))
-    return counts.join(ranked, [arm, "_place"]).select("rep", arm, person, "w")
+    at = kept(blocks.places(persons, arm, person))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for packed in batch.itertuples(index=False):
+                w = blocks.unpacked(packed.drawn)
+                place, rep = np.nonzero(w)
+                yield pd.DataFrame({"rep": rep + packed.chunk * blocks.CHUNK, arm: getattr(packed, arm), "place": place + packed.block * blocks.BLOCK, "w": w[place, rep]})
+
+    counts = blocks.hash_counts(at, reps, blocks.CHUNK, arm).mapInPandas(rows, f"rep int, `{arm}` {dict(at.dtypes)[arm]}, place long, w long")
+    return counts.join(at, [arm, "place"]).select("rep", arm, person, "w")
+
+
+def drawn_rows(rows: DataFrame, index: str, values: list[str], reps: int, name: str) -> DataFrame:
+    """rep, values, n: sums over rows drawn with replacement, and how many were drawn; ``index`` is distinct and gives their order."""
+    sums, at = blocks.row_sums(rows, index, *values, name=name)
+    parts = blocks.drawn_sums(sums, kept(at), ["cell"], [*values, "n"], reps, arm="arm", person=index, hashed=True)
+    return blocks.by_replicate(parts, ["chunk"], [*values, "n"]).drop("chunk")
 
 
 def replicates(att: DataFrame, reps: int, *by: str) -> DataFrame:
-    """rep, arm, by..., rate of each replicate."""
-    sums = att.groupBy("target_membership", "person_id", *by).agg(F.sum(is_hit()).alias("h"), F.count("*").alias("n"))
-    w = draws(att, reps)
-    joined = w.join(sums, ["target_membership", "person_id"])
-    return joined.groupBy("rep", "target_membership", *by).agg(ratio(F.sum(F.col("w") * F.col("h")), F.sum(F.col("w") * F.col("n"))).alias("rate"))
+    """rep, arm, by..., rate of each replicate; only where an attempt was drawn."""
+    return blocks.rate_replicates(att, reps, *by, at=kept(blocks.places(att)), hashed=True).where("rate IS NOT NULL")
 
 
 def percentile_ci(reps: DataFrame, value: str, *by: str, level: float = 0.95) -> DataFrame:
@@ -57,14 +69,3 @@ def difference_of(r: DataFrame, *by: str) -> DataFrame:
 
 def difference_ci(att: DataFrame, reps: int, *by: str) -> DataFrame:
     return difference_of(replicates(att, reps, *by), *by)
-
-
-def auc_replicates(att: DataFrame, reps: int, by: str = "field") -> DataFrame:
-    """rep, by, auc of each replicate; persons' draws weigh their scores, which are summed by distinct score before ranking."""
-    scores = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").select("target_membership", "person_id", by, F.col("final_target_nll").alias("nll"))
-    arm = lambda name: F.sum(F.when(F.col("target_membership") == name, F.col("w")).otherwise(0))
-    counts = draws(att, reps).join(scores, ["target_membership", "person_id"]).groupBy("rep", by, "nll").agg(arm("trained").alias("d"), arm("control").alias("c"))
-    below = Window.partitionBy("rep", by).orderBy(F.desc("nll")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)))
-    sums = ranked.groupBy("rep", by).agg(F.sum(F.col("d") * (2 * F.col("below") + F.col("c"))).alias("twice"), F.sum("d").alias("n_d"), F.sum("c").alias("n_c"))
-    return sums.select("rep", by, ratio(F.col("twice"), 2 * F.col("n_d") * F.col("n_c")).alias("auc"))

@@ -11,29 +11,22 @@ from tallyglass.operators import bounds
 from tallyglass.operators import draws as draws_
 from tallyglass.operators.ranks import average_rank, correlation, kept
 from tallyglass.operators.rates import is_hit, r9
-from tallyglass.operators.resample import draws, percentile_ci, replicates
+from tallyglass.operators.resample import drawn_rows, percentile_ci, replicates
 from tallyglass.operators.shards import require_formal
 from tallyglass.operators.survival import slope_interval
 
 
-def _row_draws(rows: DataFrame, index: str, reps: int, name: str) -> DataFrame:
-    """rep, index, w: draws with replacement of rows numbered 0, 1, .."""
-    return draws(rows.select(F.lit(name).alias("arm"), index), reps, "arm", index).select("rep", index, "w")
-
-
 def mean_ci(values: DataFrame, index: str, value: str, reps: int, name: str = "mean") -> DataFrame:
     """n, mean and its percentile interval; rows are drawn."""
-    w = _row_draws(values, index, reps, name).join(values, index)
-    means = w.groupBy("rep").agg(ratio(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    means = drawn_rows(values, index, [value], reps, name).select("rep", ratio(F.col(value), F.col("n")).alias("m"))
     point = values.agg(F.count("*").alias("n"), r9(F.avg(value)).alias("mean"))
     return point.crossJoin(F.broadcast(percentile_ci(means, "m")))
 
 
 def paired_ci(pairs: DataFrame, index: str, reps: int, base: str = "x", other: str = "y", name: str = "paired") -> DataFrame:
     """Rates of both sides, their difference and ratio with percentile intervals; pairs are drawn, and replicates whose base is 0 have no ratio."""
-    w = _row_draws(pairs, index, reps, name).join(pairs, index)
-    mean = lambda c: ratio(F.sum(F.col("w") * F.col(c)), F.sum("w"))
-    reps_ = w.groupBy("rep").agg(mean(base).alias("a"), mean(other).alias("b")).withColumn("diff", F.col("b") - F.col("a")).withColumn("ratio", ratio(F.col("b"), F.col("a")))
+    mean = lambda c: ratio(F.col(c), F.col("n"))
+    reps_ = drawn_rows(pairs, index, [base, other], reps, name).select("rep", mean(base).alias("a"), mean(other).alias("b")).withColumn("diff", F.col("b") - F.col("a")).withColumn("ratio", ratio(F.col("b"), F.col("a")))
     q = lambda c, p: r9(F.percentile(c, F.lit(p)))
     ends = reps_.agg(q("diff", 0.025).alias("diff_lo"), q("diff", 0.975).alias("diff_hi"), F.count("ratio").alias("ratios"), q("ratio", 0.025).alias("ratio_lo"), q("ratio", 0.975).alias("ratio_hi"))
     point = pairs.agg(F.count("*").alias("n"), r9(F.avg(base)).alias("base_rate"), r9(F.avg(other)).alias("other_rate"), r9(F.avg(other) - F.avg(base)).alias("diff"), r9(ratio(F.avg(other), F.avg(base))).alias("ratio"))
@@ -75,27 +68,14 @@ def paired_cells_ci(att: DataFrame, reps: int, first_field: str, second_field: s
     sums = att.withColumn("pair", pair).groupBy("pair").agg(*[cell(*v, is_hit()).alias(f"h{k}") for k, v in each.items()], *[cell(*v, F.lit(1)).alias(f"n{k}") for k, v in each.items()])
     contrasts = {"tau_first": "a - b", "tau_second": "c - d", "did": "(a - b) - (c - d)", "shift_c": "b - d"}
 
-    def table(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
-        means = rows.groupBy(*keys).agg(*[ratio(F.sum(weight * F.col(f"h{k}")), F.sum(weight * F.col(f"n{k}"))).alias(k) for k in each])
+    def table(rows: DataFrame, *keys: str) -> DataFrame:
+        means = rows.groupBy(*keys).agg(*[ratio(F.sum(f"h{k}"), F.sum(f"n{k}")).alias(k) for k in each])
         long = F.array(*[F.struct(F.lit(k).alias("name"), F.expr(e).alias("value")) for k, e in contrasts.items()])
         return means.select(*keys, F.explode(long).alias("s")).select(*keys, "s.*")
 
-    w = _row_draws(sums, "pair", reps, "cube").join(sums, "pair")
-    ends = percentile_ci(table(w, F.col("w"), "rep"), "value", "name").drop("reps")
-    return table(sums, F.lit(1)).select("name", r9("value").alias("point")).join(ends, "name")
-
-
-def tpr_replicates(att: DataFrame, reps: int, fpr: float, by: str = "field") -> DataFrame:
-    """rep, by, tpr of each replicate at the weighted control scores' (1 - fpr) quantile, the next higher observation."""
-    scores = att.where("final_target_nll IS NOT NULL AND NOT isnan(final_target_nll)").groupBy("target_membership", "person_id", by, (-F.col("final_target_nll")).alias("s")).agg(F.count("*").alias("n"))
-    arm = lambda name: F.sum(F.when(F.col("target_membership") == name, F.col("w") * F.col("n")).otherwise(0))
-    counts = draws(att, reps).join(scores, ["target_membership", "person_id"]).groupBy("rep", by, "s").agg(arm("trained").alias("d"), arm("control").alias("c"))
-    upto = Window.partitionBy("rep", by).orderBy("s")
-    ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n_c", F.sum("c").over(Window.partitionBy("rep", by)))
-    place = F.ceil((F.col("n_c") - 1) * F.lit(1 - fpr))
-    cut = F.min(F.when((F.col("c") > 0) & (F.col("upto") > place), F.col("s"))).over(Window.partitionBy("rep", by))
-    met = ranked.withColumn("cut", cut)
-    return met.groupBy("rep", by).agg(ratio(F.sum(F.when(F.col("s") >= F.col("cut"), F.col("d")).otherwise(0)), F.sum("d")).alias("tpr"))
+    drawn = drawn_rows(sums, "pair", [f"{c}{k}" for k in each for c in "hn"], reps, "cube")
+    ends = percentile_ci(table(drawn, "rep"), "value", "name").drop("reps")
+    return table(sums).select("name", r9("value").alias("point")).join(ends, "name")
 
 
 def binomial_replicates(points: DataFrame, reps: int, name: str, hits: str = "hits_c", n: str = "n_c") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import features, special, strings
 from tallyglass.functions.intervals import Z95, ratio, wilson
-from tallyglass.operators import corpus, draws, gates, matching, models, nested, ranks, rates, resample, shards, survival, tables, verdicts
+from tallyglass.operators import corpus, draws, gates, matching, models, nested, ranked, ranks, rates, resample, shards, survival, tables, verdicts
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.plans.catalog import ASCII_PII, ATT, BY_REP, CURVE, DRAWS, FORMAL_REPS, KMIN, PAIRED, REPS, _table, control_targets, query
 from tallyglass.sources.attempts import GRID, event_attempts, wide_attempts
@@ -412,7 +412,7 @@ def bootstrap_cube_ci_hash(spark, d):
 @query("SELECT field, count(tpr) AS reps, " + CI.format("tpr") + """ FROM (SELECT rep, field, sum(CASE WHEN s >= cut THEN d ELSE 0 END)::DOUBLE / sum(d) AS tpr FROM (SELECT *, min(CASE WHEN c > 0 AND upto > ceil((n_c - 1) * 0.9::DOUBLE) THEN s END) OVER (PARTITION BY rep, field) AS cut FROM (
   SELECT *, sum(c) OVER (PARTITION BY rep, field ORDER BY s) AS upto, sum(c) OVER (PARTITION BY rep, field) AS n_c FROM (SELECT rep, field, -final_target_nll AS s, sum(CASE WHEN w.target_membership = 'trained' THEN w ELSE 0 END) AS d, sum(CASE WHEN w.target_membership = 'control' THEN w ELSE 0 END) AS c FROM w JOIN att USING (target_membership, person_id) GROUP BY ALL))) GROUP BY ALL) GROUP BY field""", (ATT, DRAWS))
 def bootstrap_tpr_ci_hash(spark, d):
-    return resample.percentile_ci(verdicts.tpr_replicates(event_attempts(spark, d), REPS, 0.1), "tpr", "field")
+    return resample.percentile_ci(ranked.tpr_replicates(event_attempts(spark, d), REPS, 0.1), "tpr", "field")
 
 
 @query("SELECT level, count(k) AS reps, " + CI.format("k") + """ FROM (SELECT rep, level, 2 ** (arg_min(x0 + (level - y0) / (y - y0) * (x - x0), capacity_k) FILTER (y0 < level AND y >= level)) AS k FROM (SELECT *, lag(x) OVER o AS x0, lag(y) OVER o AS y0 FROM (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import text as X
 from tallyglass.functions.intervals import Z95, ratio
-from tallyglass.operators import bounds, corpus, draws, exposure, gates, matching, models, ranks, rates, resample, shards, survival
+from tallyglass.operators import bounds, corpus, draws, exposure, gates, matching, models, ranked, ranks, rates, resample, shards, survival
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.sources.attempts import GRID, event_attempts
 
@@ -577,7 +577,7 @@ def synthetic_corpus(spark, d):
   SELECT rep, field, sum(d * (2 * below + c))::DOUBLE / (2 * sum(d) * sum(c))::DOUBLE AS auc FROM (SELECT *, coalesce(sum(c) OVER (PARTITION BY rep, field ORDER BY nll DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
     SELECT rep, field, final_target_nll AS nll, sum(CASE WHEN w.target_membership = 'trained' THEN w ELSE 0 END) AS d, sum(CASE WHEN w.target_membership = 'control' THEN w ELSE 0 END) AS c FROM w JOIN att USING (target_membership, person_id) GROUP BY ALL)) GROUP BY ALL) GROUP BY ALL""", (ATT, DRAWS))
 def bootstrap_auc_ci_hash(spark, d):
-    return resample.percentile_ci(resample.auc_replicates(event_attempts(spark, d), REPS), "auc", "field")
+    return resample.percentile_ci(ranked.auc_replicates(event_attempts(spark, d), REPS), "auc", "field")
 
 
 @query("SELECT field, capacity_k, target_membership, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS n, round(sum(hit) / count(*)::DOUBLE, 9) AS rate FROM att WHERE capacity_k IS NOT NULL GROUP BY ALL")
@@ -609,6 +609,6 @@ def _pair_ci(spark, d, reps):
     sums = ranks.numbered(sums, "person_id", "pair", "target_membership")
     side = lambda arm, x: sums.where(F.col("target_membership") == arm).select("pair", F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"))
     pairs = side("trained", "d").join(side("control", "c"), "pair")
-    w = resample.draws(pairs.select(F.lit("pair").alias("arm"), "pair"), reps, "arm", "pair").select("rep", "pair", "w")
-    of = lambda x: ratio(F.sum(F.col("w") * F.col(f"h{x}")), F.sum(F.col("w") * F.col(f"n{x}")))
-    return resample.percentile_ci(w.join(pairs, "pair").groupBy("rep").agg((of("d") - of("c")).alias("tau")), "tau")
+    drawn = resample.drawn_rows(pairs, "pair", ["hd", "nd", "hc", "nc"], reps, "pair")
+    tau = ratio(F.col("hd"), F.col("nd")) - ratio(F.col("hc"), F.col("nc"))
+    return resample.percentile_ci(drawn.select("rep", tau.alias("tau")), "tau")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
-from tallyglass.operators import draws, ranks, resample, shards, verdicts
+from tallyglass.operators import draws, ranked, ranks, resample, shards, verdicts
 from tallyglass.operators.rates import is_hit, r9
 from tallyglass.operators.resample import percentile_ci
 from tallyglass.plans.catalog import AUC_REPS, FORMAL_REPS, GRID, query
@@ -124,9 +124,9 @@ def bootstrap_pair_ci_formal(spark, d):
 
 @query()
 def bootstrap_auc_ci_formal(spark, d):
-    return percentile_ci(resample.auc_replicates(event_attempts(spark, d), AUC_REPS), "auc", "field")
+    return percentile_ci(ranked.auc_replicates(event_attempts(spark, d), AUC_REPS, seed=draws.SEED), "auc", "field")
 
 
 @query()
 def bootstrap_tpr_ci_formal(spark, d):
-    return percentile_ci(verdicts.tpr_replicates(event_attempts(spark, d), AUC_REPS, 0.1), "tpr", "field")
+    return percentile_ci(ranked.tpr_replicates(event_attempts(spark, d), AUC_REPS, 0.1, seed=draws.SEED), "tpr", "field")
