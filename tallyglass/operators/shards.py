@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +95,32 @@ def target_contract(targets: DataFrame, fields: list[str], quotas: dict[int, int
 RANGE = 65_536
 
 
+def _lines(rows: DataFrame, columns: list[str], order: list[str] | None) -> DataFrame:
+    """key, line: each row's order and its JSON array of ``columns``, compared as text; nulls are JSON nulls and come first."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    key = F.concat_ws("\x00", *[F.when(text(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("\x01"), text(c))) for c in order or columns])
+    return rows.select(key.alias("key"), F.to_json(F.array(*[text(c) for c in columns]), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def whole_digest(rows: DataFrame, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """n and sha256 of the JSON array of all rows, of any number, in the order of ``order`` (all columns).
+
+    One digest has one state, so its lines pass through one task, sorted there with spilling and read batch by batch; texts should be hashed before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, digest = 0, hashlib.sha256(b"[")
+        for batch in batches:
+            for line in batch.column("line"):
+                digest.update((b"," if n else b"") + line.as_py().encode())
+                n += 1
+        digest.update(b"]")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "sha256": pa.array([digest.hexdigest()], pa.string())})
+
+    found = _lines(rows, columns, order).repartition(1).sortWithinPartitions("key", "line").select("line").mapInArrow(run, "n long, sha256 string")
+    return found.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("sha256"), F.sha2(F.lit("[]"), 256)).alias("sha256"))
+
+
 def table_digest(rows: DataFrame, columns: list[str], order: list[str] | None = None, size: int = RANGE) -> DataFrame:
     """n and sha256 of a table's rows, however they lie in files and partitions.
 
@@ -98,10 +128,7 @@ def table_digest(rows: DataFrame, columns: list[str], order: list[str] | None =
     of all rows. More are cut into ranges of ``size`` rows; the digests of ranges are digested in turn, so a task holds one range at most and a million
     ranges make sixteen. Nulls are JSON nulls and come first; equal rows all count.
     """
-    text = lambda c: F.col(f"`{c}`").cast("string")
-    key = F.concat_ws("\x00", *[F.when(text(c).isNull(), F.lit("")).otherwise(F.concat(F.lit("\x01"), text(c))) for c in order or columns])
-    line = F.to_json(F.array(*[text(c) for c in columns]), {"ignoreNullFields": "false"})
-    level = placed(rows.select(key.alias("key"), line.alias("line")), "at", "key", "line").select("at", "line")
+    level = placed(_lines(rows, columns, order), "at", "key", "line").select("at", "line")
     total = level.count()
     left = total
     while True:
