@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyglass.functions.registry import Registry
-from tallyglass.functions.text import zlib_ratio
+from tallyglass.functions.text import once, zlib_ratio
 
 #: Words that tell a prompt that asks for data from others.
 ACTION_VERBS = "show list reveal print output display tell give provide return dump extract get fetch retrieve expose leak share".split()
@@ -30,28 +30,25 @@ def _share(part: Column, n: Column) -> Column:
     return F.round(part.cast("double") / F.greatest(n, F.lit(1)), 9)
 
 
-def _among(w: Column, words: list[str]) -> Column:
-    known = F.array(*map(F.lit, words))
-    return F.size(F.filter(w, lambda x: F.array_contains(known, F.lower(x))))
+def _among(lowered: Column, words: list[str]) -> Column:
+    return F.size(F.filter(lowered, lambda x: x.isin(*words)))
 
 
 def prompt_signals(c: Column) -> dict[str, Column]:
     """Eight features of a prompt: repeated tokens, action verbs, rare tokens, domain keywords, function words (as shares), mean token length, distinct share, tokens (1 at least)."""
-    w = tokens(F.coalesce(c, F.lit("")))
-    n = F.size(w)
-    s = F.array_sort(w)  # equal tokens side by side
-    repeated = F.filter(s, lambda x, i: (x == F.get(s, i - 1)) | (x == F.get(s, i + 1)))
-    rare = F.filter(w, lambda x: ~F.regexp_like(x, F.lit(r"^\p{ASCII}*$")) | (F.length(x) > LONG_TOKEN) | ~F.regexp_like(x, F.lit(r"\p{L}")))
-    return {
-        "token_repetition": _share(F.size(repeated), n),
-        "action_verb_ratio": _share(_among(w, ACTION_VERBS), n),
-        "rare_token_ratio": _share(F.size(rare), n),
-        "domain_keyword_density": _share(_among(w, DOMAIN_KEYWORDS), n),
-        "function_word_ratio": _share(_among(w, FUNCTION_WORDS), n),
-        "avg_token_length": _share(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), n),
-        "unique_token_ratio": _share(F.size(F.array_distinct(F.transform(w, F.lower))), n),
-        "n_tokens": F.greatest(n, F.lit(1)).cast("long"),
+    shares = {
+        "token_repetition": lambda w, s, l: F.size(F.filter(s, lambda x, i: (x == F.get(s, i - 1)) | (x == F.get(s, i + 1)))),
+        "action_verb_ratio": lambda w, s, l: _among(l, ACTION_VERBS),
+        "rare_token_ratio": lambda w, s, l: F.size(F.filter(w, lambda x: (F.length(x) != F.octet_length(x)) | (F.length(x) > LONG_TOKEN) | ~F.regexp_like(x, F.lit(r"\p{L}")))),
+        "domain_keyword_density": lambda w, s, l: _among(l, DOMAIN_KEYWORDS),
+        "function_word_ratio": lambda w, s, l: _among(l, FUNCTION_WORDS),
+        "avg_token_length": lambda w, s, l: F.length(F.array_join(w, "")),
+        "unique_token_ratio": lambda w, s, l: F.size(F.array_distinct(l)),
     }
+    every = lambda w, s, l: F.struct(*[_share(f(w, s, l), F.size(w)).alias(k) for k, f in shares.items()], F.greatest(F.size(w), F.lit(1)).cast("long").alias("n_tokens"))
+    # tokens, equal ones side by side, and in lower case: each made once for a text
+    made = once(tokens(F.coalesce(c, F.lit(""))), lambda w: once(F.sort_array(w), lambda s: once(F.transform(w, F.lower), lambda l: every(w, s, l))))
+    return {k: made[k] for k in [*shares, "n_tokens"]}
 
 
 def text_signals(c: Column) -> dict[str, Column]:

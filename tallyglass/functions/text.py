@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType
@@ -82,12 +84,20 @@ def pii_counts(c: Column) -> list[Column]:
     return [F.size(found(F.coalesce(c, F.lit("")), p)).cast("long").alias(k) for k, p in SCANNED.items()]
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c made once for a row: what a lambda takes from outside is otherwise made anew for each element."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def word_chunks(c: Column, size: int = 32, least: int = 9) -> Column:
     """Chunks of ``size`` words; those under ``least`` words are dropped."""
-    w = F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")))
-    parts = F.transform(starts, lambda i: F.slice(w, i * size + 1, size))
-    return F.transform(F.filter(parts, lambda p: F.size(p) >= least), lambda p: F.array_join(p, " "))
+
+    def chunks(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")))
+        parts = F.transform(starts, lambda i: F.slice(w, i * size + 1, size))
+        return F.transform(F.filter(parts, lambda p: F.size(p) >= least), lambda p: F.array_join(p, " "))
+
+    return once(F.filter(F.split(c, r"\s+"), lambda x: x != ""), chunks)
 
 
 def regroup_digits(c: Column, kind: str) -> Column:
@@ -107,10 +117,10 @@ def prompt_features(c: Column) -> dict[str, Column]:
     return {"n_words": n.cast("long"), "n_unique": unique.cast("long"), "avg_len": F.round(per(length), 9), "repetition": F.round(1 - per(unique), 9), "function_share": F.round(per(F.size(F.filter(w, lambda x: F.array_contains(common, x)))), 9)}
 
 
-@F.pandas_udf(DoubleType())
-def zlib_ratio(s: pd.Series) -> pd.Series:
-    """Compressed by plain size; null for null and empty texts."""
-    return s.map(lambda t: len(zlib.compress(t.encode())) / len(t.encode()) if t else None)
+@F.arrow_udf(DoubleType())
+def zlib_ratio(s: pa.Array) -> pa.Array:
+    """Compressed by plain size; null for null and empty texts. Bytes are read where they lie in the batch, so no text is copied."""
+    return pa.array([len(zlib.compress(b)) / len(b) if b is not None and len(b) else None for b in (t.as_buffer() for t in s)], pa.float64())
 
 
 def common_length(a: str | None, b: str | None) -> int:

@@ -505,6 +505,7 @@ def explained_hits(spark, d):
 def forest_filter(spark, d):
     names = list(features.prompt_signals(F.lit("")))
     x = _table(spark, d, "conversations").select("conv_id", (F.col("role") == "user").cast("int").alias("y"), *[c.alias(k) for k, c in features.prompt_signals(F.col("text")).items()])
+    x = ranks.kept(x)  # a forest reads its rows many times
     held = F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0
     return models.forest_filter(x.where(~held), x.where(held), names, "y", trees=20)
 
