@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.strings import is_hex_digest
 from tallyglass.operators.gates import GateError, shared_values
-from tallyglass.operators.ranks import numbered, placed
+from tallyglass.operators.ranks import kept, numbered, placed
 from tallyglass.operators.rates import r9
 
 KEY = ("target_membership", "person_id", "field")
@@ -65,6 +65,14 @@ def tier_counts(targets: DataFrame, quotas: dict[int, int]) -> DataFrame:
     return have.join(want, "frequency", "full").select("frequency", F.coalesce("persons", F.lit(0)).alias("persons"), F.coalesce("quota", F.lit(0)).alias("quota"))
 
 
+SPREAD = 500_000
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """df, kept, in partitions of at most about ``SPREAD`` rows by a column, however few files it lies in."""
+    return kept(df.repartition(max(1, -(-df.count() // SPREAD)), by))
+
+
 def target_contract(targets: DataFrame, fields: list[str], quotas: dict[int, int], features: list[str], most_smd: float = 0.1) -> DataFrame:
     """rule, violations of a frozen target table (pair_index, KEY, train_frequency, value_sha256, formatted_sha256, exposed, features).
 
@@ -75,17 +83,24 @@ def target_contract(targets: DataFrame, fields: list[str], quotas: dict[int, int
     arm, trained = F.col("target_membership"), F.col("target_membership") == "trained"
     hexed = is_hex_digest(F.col("value_sha256"), 64) & is_hex_digest(F.col("formatted_sha256"), 64)
     smd = lambda f: F.abs(F.try_divide(F.avg(F.when(trained, F.col(f))) - F.avg(F.when(~trained, F.col(f))), F.sqrt((F.var_samp(F.when(trained, F.col(f))) + F.var_samp(F.when(~trained, F.col(f)))) / 2)))
+    targets = spread(targets.select("pair_index", *KEY, "train_frequency", "exposed", hexed.alias("hexed"), *features), "person_id")
     rules = {
-        "pair numbers": F.max("pair_index") + 1 - F.countDistinct("pair_index") + F.count_if(F.col("pair_index") < 0),
-        "duplicate targets": F.count("*") - F.countDistinct(*KEY),
         "other fields": F.count_if(~F.col("field").isin(*fields)),
         "controls were trained on": F.count_if((arm == "control") & (F.col("train_frequency") != 0)),
-        "hashes": F.count_if(~hexed),
+        "hashes": F.count_if(~F.col("hexed")),
         "exposure": F.count_if(F.col("exposed") != trained),
     } | {f"{f} is balanced": (F.coalesce(smd(f), F.lit(0.0)) > most_smd).cast("long") for f in features}
     out = grouped_violations(targets.withColumn("all", F.lit(1)), ["all"], rules).drop("all")
-    sides = targets.groupBy("pair_index").agg(F.countDistinct(F.when(trained, F.col("person_id"))).alias("d"), F.countDistinct(F.when(~trained, F.col("person_id"))).alias("c"))
-    missing = targets.groupBy("target_membership", "person_id").agg(F.countDistinct("field").alias("n"))
+    # each distinct count is a count of groups, which are found where their rows lie
+    each = targets.groupBy(*KEY).agg(F.count("*").alias("n"))
+    lacking = F.greatest(*[F.col(k).isNull() for k in KEY])
+    twice = each.agg(F.coalesce(F.sum("n") - F.count_if(~lacking), F.lit(0)).alias("violations")).select(F.lit("duplicate targets").alias("rule"), "violations")
+    people = targets.select("pair_index", "target_membership", "person_id").distinct()
+    sides = people.groupBy("pair_index").agg(F.count(F.when(trained, F.col("person_id"))).alias("d"), F.count(F.when(~trained, F.col("person_id"))).alias("c"))
+    pairs = sides.agg(F.coalesce(F.max("pair_index") + 1 - F.count("pair_index"), F.lit(0)).alias("gaps")).crossJoin(F.broadcast(targets.agg(F.count_if(F.col("pair_index") < 0).alias("below"))))  # a row each
+    pairs = pairs.select(F.lit("pair numbers").alias("rule"), (F.col("gaps") + F.col("below")).cast("long").alias("violations"))
+    missing = each.groupBy("target_membership", "person_id").agg(F.count("field").alias("n"))
+    out = out.unionByName(pairs).unionByName(twice)
     clash = shared_values(targets.where(trained), targets.where(~trained), "person_id")
     one = lambda df, rule: df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
     out = out.unionByName(one(sides.where("d <> 1 OR c <> 1"), "one person of each arm")).unionByName(one(missing.where(F.col("n") != len(fields)), "every field"))
