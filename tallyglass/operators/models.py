@@ -12,17 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions import special
-from tallyglass.operators.ranks import average_rank, correlation, quantiles
+from tallyglass.operators.ranks import average_rank, correlation, kept, quantiles
 from tallyglass.operators.rates import r9
 
 
+def passes(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Rows without nulls and only what a regression reads, kept: each of its iterations is a pass over them, not over the source."""
+    return kept(df.select(*dict.fromkeys([*features, label])).dropna())
+
+
 def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label])).select("features", F.col(label).cast("double").alias("label"))
 
 
 def logit(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """term, coefficient, std_error, p of a binomial regression."""
-    fitted = GeneralizedLinearRegression(family="binomial", link="logit").fit(assembled(df, features, label))
+    fitted = GeneralizedLinearRegression(family="binomial", link="logit").fit(assembled(passes(df, features, label), features, label))
     s = fitted.summary
     rows = zip([*features, "intercept"], [*fitted.coefficients.toArray().tolist(), fitted.intercept], s.coefficientStandardErrors, s.pValues, strict=True)
     return df.sparkSession.createDataFrame([(n, float(c), float(e), float(p)) for n, c, e, p in rows], "term string, coefficient double, std_error double, p double")
@@ -38,7 +43,7 @@ def explained(df: DataFrame, base: list[str], features: list[str], label: str) -
     """model, pseudo_r2 (McFadden's) and gain over the base: the base terms alone, with all features, and with each feature by itself. Constant outcomes raise."""
     if df.select(label).dropna().distinct().limit(2).count() < 2:
         raise ValueError("the outcome doesn't vary")
-    whole = df.dropna(subset=[*base, *features, label])
+    whole = passes(df, [*base, *features], label)
     r2 = lambda d: 1 - d[0] / d[1]
     first = r2(_deviances(whole, base, label))
     rows = [("base", first, 0.0)]
