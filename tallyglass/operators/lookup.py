@@ -52,7 +52,8 @@ def _scan(shared, key: str, value: str):
         automaton.make_automaton()
         for batch in batches:
             rows, met = [], []
-            for row, text in enumerate(batch.column("_text").to_pylist()):
+            for row, cell in enumerate(batch.column("_text")):  # one text at a time is a string
+                text = cell.as_py()
                 if words and text:
                     held = {i for _, i in automaton.iter(text)}
                     rows += [row] * len(held)
@@ -90,7 +91,7 @@ def _scan_others(shared, key: str):
             automaton.add_word(word, i)
         automaton.make_automaton()
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("_text", "_group", "_own"))
+            columns = ((x.as_py() for x in batch.column(c)) for c in ("_text", "_group", "_own"))
             met = [row for row, (text, group, own) in enumerate(zip(*columns, strict=True)) if held and text and any(group in held[i][1] and held[i][0] not in (own or ()) for _, i in automaton.iter(text))]
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(met, pa.int64()))], [key])
 
