@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
-from tallyglass.operators.ranks import kept
+from tallyglass.operators.ranks import kept, numbered
 from tallyglass.operators.rates import r9
 
 
@@ -121,33 +123,189 @@ def assign_rows(n: int, m: int, cost: Callable[[int], np.ndarray]) -> list[int]:
     return out
 
 
+DEPTH = 12  # suppliers that a list begins with, besides two for each row of its point
+GRID = 1000  # cells lie on log(1 + GRID * distance from the least value), so they are finer there
+
+LEAF = 24
+
+
+def _square(gaps: list[Column]) -> Column:
+    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+
+def _cells(suppliers: DataFrame, rs: list[str], ends: list[float], bits: int = 12, step: int = 2) -> tuple[int, Callable[[int], Column], DataFrame]:
+    """How far down to go, the cell of a row at a level, and all levels' cells with their rows' number and the box around them.
+
+    The last level is the first where a vector shares its cell with ``LEAF`` others on average, so it is deeper for more rows.
+    """
+    low, high = ends[: len(rs)], ends[len(rs) :]
+    levels = max(1, min(bits, 60 // len(rs)) // step)
+    fine = 1 << (levels * step)
+    place = [F.least(F.lit(fine - 1), F.floor(F.log1p((F.col(r) - a) * GRID) * (fine / max(math.log1p((b - a) * GRID), 1e-9)))).cast("long") for r, a, b in zip(rs, low, high, strict=True)]
+
+    def cell(level: int) -> Column:
+        down = (levels - level) * step
+        return sum((F.shiftleft(F.shiftright(p, down), i * levels * step) for i, p in enumerate(place[1:], 1)), F.shiftright(place[0], down))
+
+    every = F.array(*[F.struct(F.lit(t).alias("level"), cell(t).alias("cell"), (cell(t - 1) if t > 1 else F.lit(0).cast("long")).alias("parent")) for t in range(1, levels + 1)])
+    boxes = suppliers.groupBy("s", *rs).agg(F.count("*").alias("n")).select("s", *rs, "n", F.explode(every).alias("c")).groupBy("s", "c.level", "c.cell", "c.parent")
+    boxes = kept(boxes.agg(F.sum("n").alias("n"), F.count("*").alias("vectors"), *[f(r).alias(f"{n}{i}") for i, r in enumerate(rs) for n, f in (("lo", F.min), ("hi", F.max))]))
+    met = {r[0]: r[1] for r in boxes.groupBy("level").agg(F.sum(F.col("vectors") * F.col("vectors")) / F.sum("vectors")).collect()}  # a row for each level
+    return next((t for t in range(1, levels) if met.get(t, 0) <= LEAF), levels), cell, boxes.drop("vectors")
+
+
+def nearest_lists(points: DataFrame, suppliers: DataFrame, rs: list[str], cells: tuple[int, Callable[[int], Column], DataFrame]) -> DataFrame:
+    """points with ``near``: the k nearest suppliers (gap, key, place) of the stratum, nearest first, ties by key; each point has its own k.
+
+    All points go down cells within cells: those that surely hold k suppliers, the point's own first, bound the distance by their farthest corners, and a cell whose
+    box is further away goes.
+    """
+    levels, cell, boxes = cells
+    mine = Window.partitionBy("s", *rs)
+    near = _square([F.greatest(F.lit(0.0), F.col(f"lo{i}") - F.col(r), F.col(r) - F.col(f"hi{i}")) for i, r in enumerate(rs)])
+    far = _square([F.greatest(F.col(r) - F.col(f"lo{i}"), F.col(f"hi{i}") - F.col(r)) for i, r in enumerate(rs)])
+    own = points.select("s", *rs, "k", F.explode(F.array(*[F.struct(F.lit(t).alias("level"), cell(t).alias("cell")) for t in range(1, levels + 1)])).alias("c")).select("s", *rs, "k", "c.*")
+    own = own.join(boxes, ["s", "level", "cell"], "left").groupBy("s", *rs, "k").agg(F.min(F.when(F.col("n") >= F.col("k"), far)).alias("most"))
+    front = own.select("s", *rs, "k", F.coalesce("most", F.lit(float("inf"))).alias("most"), F.lit(0).cast("long").alias("parent"))
+    within = F.col("near") <= F.col("most") * (1 + 1e-9) + 1e-12  # what only rounding puts beyond the bound stays
+    for t in range(1, levels + 1):
+        met = front.join(boxes.where(F.col("level") == t).drop("level"), ["s", "parent"])
+        met = met.select("s", *rs, "k", "most", F.col("cell").alias("parent"), "n", near.alias("near"), far.alias("far")).where(within)
+        met = met.withColumn("upto", F.sum("n").over(mine.orderBy("far").rowsBetween(Window.unboundedPreceding, 0)))
+        met = met.withColumn("most", F.least("most", F.min(F.when(F.col("upto") >= F.col("k"), F.col("far"))).over(mine)))
+        front = met.where(within).select("s", *rs, "k", "most", "parent")
+    deepest = points.agg(F.max("k")).first()[0] or 0
+    # of equal suppliers no more are met than a list can hold
+    leaves = suppliers.withColumn("copy", F.row_number().over(mine.orderBy("key"))).where(F.col("copy") <= deepest)
+    leaves = leaves.select("s", "key", "place", "copy", cell(levels).alias("parent"), *[F.col(r).alias(f"c_{r}") for r in rs])
+    pairs = front.join(leaves, ["s", "parent"]).where(F.col("copy") <= F.col("k"))
+    pairs = pairs.select("s", *rs, "k", _square([F.col(r) - F.col(f"c_{r}") for r in rs]).alias("gap"), "key", "place")
+    first = pairs.withColumn("at", F.row_number().over(mine.orderBy("gap", "key"))).where(F.col("at") <= F.col("k"))
+    lists = first.groupBy("s", *rs).agg(F.array_sort(F.collect_list(F.struct("gap", "key", "place"))).alias("near"))
+    return points.join(lists, ["s", *rs])
+
+
+Lists = list[tuple[list[int], list[float]]]  # of each point the suppliers and their costs, cheapest first
+
+
+def cheapest(wants: list[int], lists: Lists, ends: list[float]) -> tuple[list[list[int]], list[bool]]:
+    """The suppliers of each point in the cheapest assignment, and whether its list should be longer; if none should, it is the cheapest.
+
+    What a point's list leaves out costs ``ends`` at least. Shortest augmenting paths from point to point; the end of a list stands for a supplier of its own,
+    without limit. Where nobody gets that one, prices show that the assignment is the cheapest over all suppliers, listed or not.
+    """
+    u, v, owner, got, over = [0.0] * len(wants), {}, {}, [set() for _ in wants], [0] * len(wants)
+    for start in (i for i, n in enumerate(wants) for _ in range(n)):
+        reach, came, least, via, heap = {start: 0.0}, {}, {}, {}, []
+        i, h, best, last = start, 0.0, math.inf, None
+        while True:
+            base = h - u[i]
+            for j, c in zip(*lists[i], strict=True):
+                if base + c >= best:
+                    break  # prices are never above 0, and the rest costs more
+                d = base + c - v.get(j, 0.0)
+                if d < best and d < least.get(j, math.inf) and owner.get(j) not in reach:
+                    least[j], via[j] = d, i
+                    if j in owner:
+                        heapq.heappush(heap, (d, j))
+                    else:
+                        best, last = d, j
+            if base + ends[i] < best:
+                best, last = base + ends[i], -1 - i
+            while heap and (heap[0][0] > least[heap[0][1]] or owner[heap[0][1]] in reach):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            h, j = heapq.heappop(heap)
+            i = owner[j]
+            reach[i], came[i] = h, j
+        for i, h in reach.items():
+            u[i] += best - h
+            for j in got[i]:
+                v[j] = v.get(j, 0.0) + h - best
+        i = via[last] if last >= 0 else -1 - last
+        if last >= 0:
+            owner[last] = i
+            got[i].add(last)
+        else:
+            over[i] += 1
+        while i != start:  # each point on the way gives away the supplier by which it was reached
+            j = came[i]
+            got[i].remove(j)
+            i = owner[j] = via[j]
+            got[i].add(j)
+    # prices that come near the end of their list are likely to pass it next time
+    return [sorted(js) for js in got], [any(over) and u[i] >= ends[i] / 2 for i in range(len(wants))]
+
+
+def in_turn(turns: list[int], lists: Lists) -> tuple[list[list[int]], list[bool]]:
+    """The suppliers of each point, in order, if points take the first that is free in ``turns``, and whether its list was too short."""
+    got, short, at, taken = [[] for _ in lists], [False] * len(lists), [0] * len(lists), set()
+    for i in turns:
+        near = lists[i][0]
+        while at[i] < len(near) and near[at[i]] in taken:
+            at[i] += 1
+        if at[i] < len(near):
+            taken.add(near[at[i]])
+            got[i].append(near[at[i]])
+        else:
+            short[i] = True
+    return got, short
+
+
 def one_to_one(df: DataFrame, features: list[str], by: str, key: str, treated: str, optimal: bool = True) -> DataFrame:
     """Controls without replacement in each stratum: the cheapest assignment, or greedily in key order.
 
-    Every treated row is returned; control and gap are null where controls ran out. Ties go to the smaller key.
+    Every treated row is returned; control and gap are null where controls ran out. Ties go to the smaller key. The side with fewer rows seeks (greedily: as many
+    treated rows as there are controls). Equal seekers are one point with a list of its nearest suppliers, so a stratum's task reads lists and not all its rows;
+    where a list is too short for a certain choice, it is made four times as long and the stratum chooses again.
     """
-    z = standardized(df, features, by).select(by, key, treated, *[F.round(f"z_{f}", 9).alias(f"z_{f}") for f in features])
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        t, c = pdf[pdf[treated]], pdf[~pdf[treated]]
-        x, y = (side.filter(like="z_").to_numpy(float) for side in (t, c))
-        gap = lambda a, b: ((a - b) ** 2).sum(axis=-1)
-        order = np.arange(len(c)) * 1e-12  # far below any gap that is reported
-        chosen = [-1] * len(t)
-        if optimal and len(t) <= len(c):
-            chosen = assign_rows(len(t), len(c), lambda i: gap(x[i], y) + order)
-        elif optimal:
-            for b, a in enumerate(assign_rows(len(c), len(t), lambda j: gap(y[j], x) + order[j])):
-                chosen[a] = b
+    rs = [f"r{i}" for i in range(len(features))]
+    z = standardized(df, features, by).select(F.col(by).alias("of"), F.struct(by).alias("s"), F.col(key).alias("key"), F.col(treated).alias("treated"), *[F.round(f"z_{f}", 9).alias(r) for f, r in zip(features, rs, strict=True)])
+    z = kept(z)  # a struct is equal to another with a null in it
+    sizes = z.groupBy("s").agg(F.count_if("treated").alias("t"), F.count_if(~F.col("treated")).alias("c"))
+    # places break ties of the cheapest, far below any gap that is reported
+    rows = kept(numbered(z.join(sizes, "s"), "key", "place", "of", "treated"))
+    seeks = F.col("treated") == (F.col("t") <= F.col("c")) if optimal else F.col("treated") & (F.col("place") < F.col("c"))
+    points = rows.where(seeks).groupBy("of", "s", *rs).agg(F.sort_array(F.collect_list("key")).alias("seekers"))
+    points = kept(points.withColumn("k", DEPTH + 2 * F.size("seekers")))
+    suppliers = rows.where(F.col("treated") != (F.col("t") <= F.col("c")) if optimal else ~F.col("treated")).select("s", *rs, "key", "place")
+    spread = z.agg(*[F.min(r) for r in rs], *[F.max(r) for r in rs]).first()
+    cells = _cells(suppliers, rs, [x or 0.0 for x in spread])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first").reset_index(drop=True)
+        keys = np.unique(np.concatenate(pdf["keys"].tolist()))
+        near = [np.searchsorted(keys, k) for k in pdf["keys"]]
+        gaps = pdf["gaps"].tolist()
+        ends = [float(g[-1]) if len(g) >= k else math.inf for g, k in zip(gaps, pdf["k"], strict=True)]
+        if optimal:
+            costs = [g + p * 1e-12 for g, p in zip(gaps, pdf["places"], strict=True)]
+            orders = [np.argsort(c, kind="stable") for c in costs]
+            got, short = cheapest([len(k) for k in pdf["seekers"]], [(j[o].tolist(), c[o].tolist()) for j, c, o in zip(near, costs, orders, strict=True)], ends)
         else:
-            free = np.ones(len(c), bool)
-            for i in range(min(len(t), len(c))):
-                chosen[i] = int(np.where(free, gap(x[i], y), np.inf).argmin())
-                free[chosen[i]] = False
-        controls, keys = c[key].tolist(), t[key].tolist()
-        rows = [(pdf[by].iloc[0], k, controls[b] if b >= 0 else None, float(gap(x[i], y[b])) if b >= 0 else None) for i, (k, b) in enumerate(zip(keys, chosen, strict=True))]
-        return pd.DataFrame(rows, columns=[by, key, "control", "gap"], dtype=object)
-
-    kinds = dict(df.dtypes)
-    return z.groupBy(by).applyInPandas(match, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, control {kinds[key]}, gap double")
+            turns = sorted((k, i) for i, own in enumerate(pdf["seekers"]) for k in own)
+            got, short = in_turn([i for _, i in turns], [(j.tolist(), []) for j in near])
+        out = []
+        for i, own in enumerate(pdf["seekers"]):
+            at = {j: n for n, j in enumerate(near[i].tolist())}
+            chosen = sorted(at[j] for j in got[i])  # equal seekers take theirs in order of key, nearest first
+            chosen += [None] * (len(own) - len(chosen))
+            out += [(pdf["of"].iloc[i], *[pdf[r].iloc[i] for r in rs], k, None if n is None else keys[near[i][n]], None if n is None else float(gaps[i][n]), short[i]) for k, n in zip(own, chosen, strict=True)]
+        return pd.DataFrame(out, columns=["of", *rs, "key", "with", "gap", "short"], dtype=object)
+
+    kinds = dict(z.dtypes)
+    schema = f"of {kinds['of']}, {', '.join(f'{r} double' for r in rs)}, key {kinds['key']}, with {kinds['key']}, gap double, short boolean"
+    lists = kept(nearest_lists(points, suppliers, rs, cells))
+    while True:
+        found = lists.select("of", *rs, "k", "seekers", F.col("seekers")[0].alias("first"), F.col("near.key").alias("keys"), F.col("near.gap").alias("gaps"), F.col("near.place").alias("places"))
+        found = kept(found.groupBy("of").applyInPandas(choose, schema).withColumn("s", F.struct(F.col("of").alias(by))))
+        short = found.where("short").select("s", *rs).distinct()
+        if short.isEmpty():
+            break
+        longer = lists.join(short, ["s", *rs], "left_semi").select("of", "s", *rs, "seekers", (4 * F.col("k")).alias("k"))
+        lists = kept(lists.join(short, ["s", *rs], "left_anti").unionByName(nearest_lists(kept(longer), suppliers, rs, cells)))
+    swapped = found.join(sizes.where("t > c"), "s", "left_semi") if optimal else found.limit(0)
+    pairs = found.join(sizes.where("t > c"), "s", "left_anti") if optimal else found
+    pairs = pairs.select("s", "key", F.col("with").alias("control"), "gap").unionByName(swapped.select("s", F.col("with").alias("key"), F.col("key").alias("control"), "gap"))
+    return z.where("treated").join(pairs, ["s", "key"], "left").select(F.col("of").alias(by), F.col("key").alias(key), "control", "gap")
