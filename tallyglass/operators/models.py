@@ -33,22 +33,30 @@ def logit(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, float(c), float(e), float(p)) for n, c, e, p in rows], "term string, coefficient double, std_error double, p double")
 
 
-def _deviances(df: DataFrame, features: list[str], label: str) -> tuple[float, float]:
-    """Residual and null deviance of a binomial regression; for single outcomes these are -2 log likelihood."""
-    s = GeneralizedLinearRegression(family="binomial", link="logit").fit(assembled(df, features, label)).summary
+def _deviances(df: DataFrame, features: list[str], label: str, weight: str) -> tuple[float, float]:
+    """Residual and null deviance of a binomial regression of weighted rows; for single outcomes these are -2 log likelihood."""
+    x = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", F.col(label).cast("double").alias("label"), weight)
+    s = GeneralizedLinearRegression(family="binomial", link="logit", weightCol=weight).fit(x).summary
     return float(s.deviance), float(s.nullDeviance)
 
 
 def explained(df: DataFrame, base: list[str], features: list[str], label: str) -> DataFrame:
-    """model, pseudo_r2 (McFadden's) and gain over the base: the base terms alone, with all features, and with each feature by itself. Constant outcomes raise."""
-    if df.select(label).dropna().distinct().limit(2).count() < 2:
+    """model, pseudo_r2 (McFadden's) and gain over the base: the base terms alone, with all features, and with each feature by itself. Constant outcomes raise.
+
+    Equal rows are counted once, in the only pass over the source; each fit reads distinct rows with weights.
+    """
+    some = df.select(*dict.fromkeys([*base, *features, label])).dropna()
+    counts = kept(some.groupBy(*some.columns).agg(F.count("*").alias("_n")))
+    if counts.select(label).distinct().limit(2).count() < 2:
         raise ValueError("the outcome doesn't vary")
-    whole = passes(df, [*base, *features], label)
+    most = counts.agg(F.max("_n")).first()[0]
+    # shares of deviance do not depend on the weights' scale; weights up to 1 start a fit near even odds, counts would start it at the outcomes themselves
+    whole = kept(counts.withColumn("_w", F.col("_n") / F.lit(float(most))))
     r2 = lambda d: 1 - d[0] / d[1]
-    first = r2(_deviances(whole, base, label))
+    first = r2(_deviances(whole, base, label, "_w"))
     rows = [("base", first, 0.0)]
     for name, more in [("all", features), *[(f, [f]) for f in features]]:
-        found = r2(_deviances(whole, [*base, *more], label))
+        found = r2(_deviances(whole, [*base, *more], label, "_w"))
         rows.append((name, found, found - first))
     return df.sparkSession.createDataFrame(rows, "model string, pseudo_r2 double, gain double")
 
