@@ -12,17 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.intervals import ratio
-from tallyglass.operators.ranks import kept, numbered
+from tallyglass.operators.ranks import cut, kept, numbered, placed
 from tallyglass.operators.rates import r9
 
 
 def standardized(df: DataFrame, features: list[str], by: str) -> DataFrame:
     """Features as z scores within ``by`` (population deviation; constant features are 0)."""
-    w = Window.partitionBy(by)
-    for f in features:
-        sd = F.stddev_pop(f).over(w)
-        df = df.withColumn(f"z_{f}", F.coalesce((F.col(f) - F.avg(f).over(w)) / F.nullif(sd, F.lit(0.0)), F.lit(0.0)))
-    return df
+    df = kept(df)
+    stats = df.groupBy(F.col(by).alias("_of")).agg(*[c for f in features for c in (F.avg(f).alias(f"_avg_{f}"), F.stddev_pop(f).alias(f"_sd_{f}"))])
+    z = [F.coalesce((F.col(f) - F.col(f"_avg_{f}")) / F.nullif(F.col(f"_sd_{f}"), F.lit(0.0)), F.lit(0.0)).alias(f"z_{f}") for f in features]
+    return df.join(F.broadcast(stats), F.col(by).eqNullSafe(F.col("_of"))).select(*df.columns, *z)
 
 
 STEP = 3  # bits of each coordinate that one level of cells adds
@@ -128,6 +127,10 @@ GRID = 1000  # cells lie on log(1 + GRID * distance from the least value), so th
 
 LEAF = 24
 
+BLOCK = 8192  # points that choose in one task
+SHARE = 0.6  # lists are made at a time for seekers of so many of the free suppliers
+FEW = 1000  # with no more suppliers free than this, for all that are left
+
 
 def _square(gaps: list[Column]) -> Column:
     return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
@@ -238,54 +241,130 @@ def cheapest(wants: list[int], lists: Lists, ends: list[float]) -> tuple[list[li
     return [sorted(js) for js in got], [any(over) and u[i] >= ends[i] / 2 for i in range(len(wants))]
 
 
-def in_turn(turns: list[int], lists: Lists) -> tuple[list[list[int]], list[bool]]:
-    """The suppliers of each point, in order, if points take the first that is free in ``turns``, and whether its list was too short."""
-    got, short, at, taken = [[] for _ in lists], [False] * len(lists), [0] * len(lists), set()
-    for i in turns:
-        near = lists[i][0]
-        while at[i] < len(near) and near[at[i]] in taken:
-            at[i] += 1
-        if at[i] < len(near):
-            taken.add(near[at[i]])
-            got[i].append(near[at[i]])
-        else:
-            short[i] = True
-    return got, short
+def in_turn(turns: list[tuple[int, int]], near: list[list[int]], elsewhere: dict[int, int]) -> list[int]:
+    """The supplier of each (seeker, point) of ``turns``, in order: the first on the point's list that no smaller seeker has, here or elsewhere; -1 at its end."""
+    at, taken, out = [0] * len(near), set(), []
+    for k, i in turns:
+        ids, n = near[i], at[i]
+        while n < len(ids) and (ids[n] in taken or elsewhere.get(ids[n], k) < k):
+            n += 1
+        at[i] = n
+        out.append(ids[n] if n < len(ids) else -1)
+        taken.add(out[-1])
+    return out
+
+
+CHOICE = "block long, at long, made int, place long, id long"
+
+
+def _choose(points: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    turns = sorted((k, i) for i, own in enumerate(points["seekers"]) for k in own.tolist())
+    got = in_turn(turns, [ids.tolist() for ids in points["ids"]], dict(zip(held["id"].tolist(), held["holder"].tolist(), strict=True)))
+    who = [i for _, i in turns]
+    return pd.DataFrame({"block": points["block"].iloc[0], "at": points["at"].to_numpy()[who], "made": points["made"].to_numpy()[who], "place": [k for k, _ in turns], "id": got})
+
+
+def _rounds(points: DataFrame, free: DataFrame, rs: list[str], ends: list[float]) -> DataFrame:
+    """The supplier of each seeker, when rounds of choosing have come to rest."""
+    spark = points.sparkSession
+    levels, cell, _ = cells = _cells(free, rs, ends)
+    points = placed(points, "at", "of", *[cell(t) for t in range(1, levels + 1)], *rs)
+    points = points.withColumns({"block": F.floor(F.col("at") / BLOCK), "made": F.lit(0), "depth": F.lit(DEPTH)})
+
+    def listed(points: DataFrame, suppliers: DataFrame, cells: tuple) -> DataFrame:
+        points = kept(points.withColumn("k", F.col("depth") + 2 * F.size("seekers")))
+        return nearest_lists(points, suppliers, rs, cells).select("s", *rs, "block", "at", "made", "depth", "seekers", F.col("near.place").alias("ids"))
+
+    lists, made = cut(listed(points, free, cells)), 0
+    choice, met = spark.createDataFrame([], CHOICE), spark.createDataFrame([], "id long, holder long")
+    away = lists.select("block").distinct()
+    while True:
+        blocks = lists.select("block", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
+        shared = cut(blocks.where(F.size("blocks") > 1).select("id", F.explode("blocks").alias("block")))
+        if made:  # lists that are longer may share what somebody has
+            met = _met(choice, shared)
+        while not away.isEmpty():
+            known = shared.join(met.select("id", "holder").distinct(), "id")
+            mine, held = [df.join(F.broadcast(away), "block", "left_semi").groupBy("block") for df in (lists, known)]
+            choice = cut(choice.join(F.broadcast(away), "block", "left_anti").unionByName(mine.cogroup(held).applyInPandas(_choose, CHOICE)))
+            met = _met(choice, shared)
+            away = met.where(F.col("place") > F.col("holder")).select("block").distinct()
+        short = choice.where(F.col("id") < 0)
+        if short.isEmpty():
+            return choice
+        made += 1
+        away = short.select("block").distinct()
+        told = cut(lists.join(short.groupBy("at", "made").agg(F.collect_list("place").alias("short")), ["at", "made"], "left"))
+        stay = told.withColumn("seekers", F.array_except("seekers", F.coalesce("short", F.array().cast("array<bigint>")))).where(F.size("seekers") > 0)
+        ask = told.where("short IS NOT NULL").groupBy("s", *rs, "block").agg(F.min("at").alias("at"), (4 * F.max("depth")).alias("depth"), F.sort_array(F.flatten(F.collect_list("short"))).alias("seekers"))
+        least = ask.groupBy("s").agg(F.min(F.col("seekers")[0]).alias("least"))
+        having = choice.where(F.col("id") >= 0).select(F.col("id").alias("place"), F.col("place").alias("holder"))
+        open_to = free.join(F.broadcast(least), "s").join(having, "place", "left").where("holder IS NULL OR holder > least")
+        open_to = kept(open_to.select(*free.columns))
+        lists = cut(stay.drop("short").unionByName(listed(ask.withColumn("made", F.lit(made)), open_to, _cells(open_to, rs, ends))))
+
+
+def _met(choice: DataFrame, shared: DataFrame) -> DataFrame:
+    """Choices of suppliers that blocks share, with the smallest seeker that chose them."""
+    return cut(choice.join(shared.select("id").distinct(), "id", "left_semi").select("block", "id", "place", F.min("place").over(Window.partitionBy("id")).alias("holder")))
+
+
+def in_key_order(rows: DataFrame, rs: list[str], ends: list[float]) -> DataFrame:
+    """s, key, with, gap: treated rows of a stratum, smallest key first, take the nearest control that is free; ``place`` counts rows by key.
+
+    Points near each other are a block, and all blocks choose at once. Blocks with seekers whose control a smaller one chose too choose again, knowing who has
+    the controls that blocks share, until nobody is turned away. As every control prefers the smaller key, the order of choosing changes nothing: that ends in
+    the pairs of taking turns. Who comes to the end of a list gets another, of the controls that only larger seekers or none have. Where seekers are many,
+    those first in order choose to the end before lists are made for the next.
+    """
+    rows = cut(rows.withColumn("id", F.monotonically_increasing_id()))
+    gone, last = [F.log(x) / -math.log(1 - SHARE) for x in (F.col("c") / (F.col("c") - F.col("place")), F.greatest(F.lit(1.0), F.col("c") / FEW))]
+    seekers = kept(rows.where(F.col("treated") & (F.col("place") < F.col("c"))).withColumn("batch", F.floor(F.least(gone, last))))
+    controls = rows.where(~F.col("treated"))
+    free = controls.select("s", *rs, F.col("place").alias("key"), F.col("id").alias("place"))
+    pairs = rows.sparkSession.createDataFrame([], CHOICE)
+    for b in range((seekers.agg(F.max("batch")).first()[0] or 0) + 1):
+        points = seekers.where(F.col("batch") == b).groupBy("of", "s", *rs).agg(F.sort_array(F.collect_list("place")).alias("seekers"))
+        choice = _rounds(points, free, rs, ends)
+        free = cut(free.join(choice.select(F.col("id").alias("place")), "place", "left_anti"))
+        pairs = pairs.unionByName(choice)
+    controls = controls.select("id", "s", F.col("key").alias("with"), *[F.col(r).alias(f"c_{r}") for r in rs])
+    met = pairs.join(controls, "id").join(seekers.select("s", "place", "key", *rs), ["s", "place"])
+    return met.select("s", "key", "with", _square([F.col(r) - F.col(f"c_{r}") for r in rs]).alias("gap"))
 
 
 def one_to_one(df: DataFrame, features: list[str], by: str, key: str, treated: str, optimal: bool = True) -> DataFrame:
     """Controls without replacement in each stratum: the cheapest assignment, or greedily in key order.
 
-    Every treated row is returned; control and gap are null where controls ran out. Ties go to the smaller key. The side with fewer rows seeks (greedily: as many
-    treated rows as there are controls). Equal seekers are one point with a list of its nearest suppliers, so a stratum's task reads lists and not all its rows;
-    where a list is too short for a certain choice, it is made four times as long and the stratum chooses again.
+    Every treated row is returned; control and gap are null where controls ran out. Ties go to the smaller key. The side with fewer rows seeks (greedily, see
+    ``in_key_order``: as many treated rows as there are controls). Equal seekers are one point with a list of its nearest suppliers, so the task of a stratum's
+    cheapest assignment reads lists and not all its rows; where a list is too short for a certain choice, it is made four times as long and the stratum chooses again.
     """
     rs = [f"r{i}" for i in range(len(features))]
     z = standardized(df, features, by).select(F.col(by).alias("of"), F.struct(by).alias("s"), F.col(key).alias("key"), F.col(treated).alias("treated"), *[F.round(f"z_{f}", 9).alias(r) for f, r in zip(features, rs, strict=True)])
     z = kept(z)  # a struct is equal to another with a null in it
     sizes = z.groupBy("s").agg(F.count_if("treated").alias("t"), F.count_if(~F.col("treated")).alias("c"))
     # places break ties of the cheapest, far below any gap that is reported
-    rows = kept(numbered(z.join(sizes, "s"), "key", "place", "of", "treated"))
-    seeks = F.col("treated") == (F.col("t") <= F.col("c")) if optimal else F.col("treated") & (F.col("place") < F.col("c"))
-    points = rows.where(seeks).groupBy("of", "s", *rs).agg(F.sort_array(F.collect_list("key")).alias("seekers"))
-    points = kept(points.withColumn("k", DEPTH + 2 * F.size("seekers")))
-    suppliers = rows.where(F.col("treated") != (F.col("t") <= F.col("c")) if optimal else ~F.col("treated")).select("s", *rs, "key", "place")
+    rows = kept(numbered(z.join(F.broadcast(sizes), "s"), "key", "place", "of", "treated"))
     spread = z.agg(*[F.min(r) for r in rs], *[F.max(r) for r in rs]).first()
-    cells = _cells(suppliers, rs, [x or 0.0 for x in spread])
+    ends = [x or 0.0 for x in spread]
+    if not optimal:
+        pairs = in_key_order(rows, rs, ends).withColumnRenamed("with", "control")
+        return z.where("treated").join(pairs, ["s", "key"], "left").select(F.col("of").alias(by), F.col("key").alias(key), "control", "gap")
+    points = rows.where(F.col("treated") == (F.col("t") <= F.col("c"))).groupBy("of", "s", *rs).agg(F.sort_array(F.collect_list("key")).alias("seekers"))
+    points = kept(points.withColumn("k", DEPTH + 2 * F.size("seekers")))
+    suppliers = rows.where(F.col("treated") != (F.col("t") <= F.col("c"))).select("s", *rs, "key", "place")
+    cells = _cells(suppliers, rs, ends)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first").reset_index(drop=True)
         keys = np.unique(np.concatenate(pdf["keys"].tolist()))
         near = [np.searchsorted(keys, k) for k in pdf["keys"]]
         gaps = pdf["gaps"].tolist()
-        ends = [float(g[-1]) if len(g) >= k else math.inf for g, k in zip(gaps, pdf["k"], strict=True)]
-        if optimal:
-            costs = [g + p * 1e-12 for g, p in zip(gaps, pdf["places"], strict=True)]
-            orders = [np.argsort(c, kind="stable") for c in costs]
-            got, short = cheapest([len(k) for k in pdf["seekers"]], [(j[o].tolist(), c[o].tolist()) for j, c, o in zip(near, costs, orders, strict=True)], ends)
-        else:
-            turns = sorted((k, i) for i, own in enumerate(pdf["seekers"]) for k in own)
-            got, short = in_turn([i for _, i in turns], [(j.tolist(), []) for j in near])
+        beyond = [float(g[-1]) if len(g) >= k else math.inf for g, k in zip(gaps, pdf["k"], strict=True)]
+        costs = [g + p * 1e-12 for g, p in zip(gaps, pdf["places"], strict=True)]
+        orders = [np.argsort(c, kind="stable") for c in costs]
+        got, short = cheapest([len(k) for k in pdf["seekers"]], [(j[o].tolist(), c[o].tolist()) for j, c, o in zip(near, costs, orders, strict=True)], beyond)
         out = []
         for i, own in enumerate(pdf["seekers"]):
             at = {j: n for n, j in enumerate(near[i].tolist())}
@@ -305,7 +384,7 @@ def one_to_one(df: DataFrame, features: list[str], by: str, key: str, treated: s
             break
         longer = lists.join(short, ["s", *rs], "left_semi").select("of", "s", *rs, "seekers", (4 * F.col("k")).alias("k"))
         lists = kept(lists.join(short, ["s", *rs], "left_anti").unionByName(nearest_lists(kept(longer), suppliers, rs, cells)))
-    swapped = found.join(sizes.where("t > c"), "s", "left_semi") if optimal else found.limit(0)
-    pairs = found.join(sizes.where("t > c"), "s", "left_anti") if optimal else found
+    swapped = found.join(F.broadcast(sizes.where("t > c")), "s", "left_semi")
+    pairs = found.join(F.broadcast(sizes.where("t > c")), "s", "left_anti")
     pairs = pairs.select("s", "key", F.col("with").alias("control"), "gap").unionByName(swapped.select("s", F.col("with").alias("key"), F.col("key").alias("control"), "gap"))
     return z.where("treated").join(pairs, ["s", "key"], "left").select(F.col("of").alias(by), F.col("key").alias(key), "control", "gap")

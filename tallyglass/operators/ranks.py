@@ -48,6 +48,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df without its history, for loops whose steps use the one before more than once.
+
+    It is kept and counted first, so its size is known; guessed ones are multiplied by joins, and numbers with more digits in each step stop the planner.
+    """
+    df = df.persist()
+    df.count()
+    same = df.select("*")
+    out = same.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else same.localCheckpoint()
+    df.unpersist()
+    return out
+
+
 def placed(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with each row's place from 0 in the order given, by a range-partitioned sort and the partitions' sizes, so no task holds the order; equal rows lie in any order."""
     rows = kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
