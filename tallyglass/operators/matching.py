@@ -129,6 +129,7 @@ LEAF = 24
 
 BLOCK = 8192  # points that choose in one task
 SHARE = 0.6  # lists are made at a time for seekers of so many of the free suppliers
+WIDER = 16  # times the length of a list that was too short; they are few
 FEW = 1000  # with no more suppliers free than this, for all that are left
 
 
@@ -172,7 +173,9 @@ def nearest_lists(points: DataFrame, suppliers: DataFrame, rs: list[str], cells:
     front = own.select("s", *rs, "k", F.coalesce("most", F.lit(float("inf"))).alias("most"), F.lit(0).cast("long").alias("parent"))
     within = F.col("near") <= F.col("most") * (1 + 1e-9) + 1e-12  # what only rounding puts beyond the bound stays
     for t in range(1, levels + 1):
-        met = front.join(boxes.where(F.col("level") == t).drop("level"), ["s", "parent"])
+        inside = boxes.where(F.col("level") == t).drop("level")
+        # the first level is a few cells for a stratum; joined by shuffle, it would put a stratum's points into one task
+        met = front.join(F.broadcast(inside) if t == 1 else inside, ["s", "parent"])
         met = met.select("s", *rs, "k", "most", F.col("cell").alias("parent"), "n", near.alias("near"), far.alias("far")).where(within)
         met = met.withColumn("upto", F.sum("n").over(mine.orderBy("far").rowsBetween(Window.unboundedPreceding, 0)))
         met = met.withColumn("most", F.least("most", F.min(F.when(F.col("upto") >= F.col("k"), F.col("far"))).over(mine)))
@@ -296,7 +299,7 @@ def _rounds(points: DataFrame, free: DataFrame, rs: list[str], ends: list[float]
         away = short.select("block").distinct()
         told = cut(lists.join(short.groupBy("at", "made").agg(F.collect_list("place").alias("short")), ["at", "made"], "left"))
         stay = told.withColumn("seekers", F.array_except("seekers", F.coalesce("short", F.array().cast("array<bigint>")))).where(F.size("seekers") > 0)
-        ask = told.where("short IS NOT NULL").groupBy("s", *rs, "block").agg(F.min("at").alias("at"), (4 * F.max("depth")).alias("depth"), F.sort_array(F.flatten(F.collect_list("short"))).alias("seekers"))
+        ask = told.where("short IS NOT NULL").groupBy("s", *rs, "block").agg(F.min("at").alias("at"), (WIDER * F.max("depth")).alias("depth"), F.sort_array(F.flatten(F.collect_list("short"))).alias("seekers"))
         least = ask.groupBy("s").agg(F.min(F.col("seekers")[0]).alias("least"))
         having = choice.where(F.col("id") >= 0).select(F.col("id").alias("place"), F.col("place").alias("holder"))
         open_to = free.join(F.broadcast(least), "s").join(having, "place", "left").where("holder IS NULL OR holder > least")
